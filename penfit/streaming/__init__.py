@@ -1,0 +1,2 @@
+"""Streaming: the reference has no stream, watermark, window or stateful
+operator, so nothing is built here (see README, "Not built")."""

@@ -210,3 +210,23 @@ def predict(design: DataFrame, w: np.ndarray, features: str = "features",
                                              names=list(b.schema.names) + [out])
 
     return design.mapInArrow(task, schema)
+
+
+def column_sumsq_pass(design: DataFrame, p: int, features: str = "features",
+                      tasks: int | None = None) -> np.ndarray:
+    """Per-column sums of squares in one scan (the Arrow form of O20)."""
+
+    def task(it):
+        s = np.zeros(p)
+        n = 0
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            M = features_matrix(b.column(0), p)
+            s += np.einsum("ij,ij->j", M, M)
+            n += b.num_rows
+        if n:
+            yield emit_blocks(s)
+
+    parts = design.select(features).mapInArrow(task, PARTIAL_SCHEMA)
+    return sum_blocks(parts, p, tasks)

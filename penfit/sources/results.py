@@ -69,3 +69,17 @@ def read_wide_times(spark: SparkSession, path: str) -> DataFrame:
     typed = line_index(typed, "_run")
     return typed.unpivot([(F.col("_run") + 1).cast("int").alias("run")], methods,
                          "method", "ns")
+
+
+def read_run_times(spark: SparkSession, files) -> DataFrame:
+    """Run-time files of one number per line (nanoseconds), one file per
+    (method_no, n_rows, n_cols) -> (method_no, n_rows, n_cols, run, ns).
+    ``files`` maps (method_no, n_rows, n_cols) to a path."""
+    parts = [read_number_file(spark, path, "ns", "run", 1)
+             .select(F.lit(int(m)).alias("method_no"), F.lit(int(r)).cast("bigint").alias("n_rows"),
+                     F.lit(int(c)).cast("bigint").alias("n_cols"), "run", "ns")
+             for (m, r, c), path in files.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

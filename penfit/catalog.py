@@ -29,6 +29,7 @@ W_PRICE = [10.0, 0.0, 0.0, 0.0, 1.0, 0.0]           # weights on D1
 LAMBDA_PRICE = 500.0                                 # penalty on normalised D1
 LAMBDA_EMB = 0.5
 GD_ITERS = 30
+LABEL_UNIT = 1000.0                                  # fit label: price in thousands
 ACC_ITERS = 20
 
 
@@ -231,7 +232,10 @@ def _scratch(spark) -> str:
 
 
 def _normalised_price(spark, sf):
-    return linalg.normalize_columns(price_design(spark, sf))
+    """Price design with the label in thousands and unit-norm (uncentred)
+    columns: the fit problem of the registered fit queries."""
+    d = price_design(spark, sf).withColumn("label", F.col("label") / F.lit(LABEL_UNIT))
+    return linalg.normalize_columns(d)
 
 
 def q_gradient_descent(spark, sf):
@@ -256,6 +260,23 @@ def q_accelerated(spark, sf):
     return rounded(r.coefficients(spark))
 
 
+def q_optimality(spark, sf):
+    """L1 optimality residual of the accelerated weights, per
+    coefficient: |g + lam sign(w)| where w != 0, max(|g| - lam, 0) where w = 0."""
+    cfg = FitConfig(max_iter=ACC_ITERS, L0=10.0, convergence_test=False,
+                    backtrack_order="reference", strategy="fused")
+    d = _normalised_price(spark, sf)
+    r = fit_accelerated(d, LAMBDA_PRICE, cfg)
+    _, g, _ = linalg.loss_and_gradient(d, r.weights)
+    w = linalg.vector_table(spark, r.weights, "weight")
+    gt = linalg.vector_table(spark, g, "gradient")
+    lam = F.lit(LAMBDA_PRICE)
+    res_ = F.when(F.col("weight") != 0.0, F.abs(F.col("gradient") + lam * F.signum("weight"))) \
+        .otherwise(F.greatest(F.abs("gradient") - lam, F.lit(0.0)))
+    return rounded(w.join(gt, "col_id").select("col_id", "weight", "gradient",
+                                                res_.alias("residual")))
+
+
 def _fits(spark, sf, iters=ACC_ITERS):
     d = _normalised_price(spark, sf)
     out = {}
@@ -371,6 +392,7 @@ QUERIES = {
     "gradient_descent": q_gradient_descent,
     "gradient_descent_history": q_gradient_descent_history,
     "accelerated": q_accelerated,
+    "optimality": q_optimality,
     "strategy_agreement": q_strategy_agreement,
     "same_iterations": q_same_iterations,
     "timing_table": q_timing_table,
@@ -464,3 +486,98 @@ FROM d2 ORDER BY row_id LIMIT 10""",
         f"""SELECT row_id, {_s('label')} AS label,
   {_s('list_sum(list_transform(features, lambda v: v * v))')} AS sum_sq FROM d2""",
 }
+
+
+# Normal matrix of the normalised price design (label in thousands): G, c, bb.
+NORMAL = D1.replace("CAST(l_extendedprice AS DOUBLE) AS label",
+                    f"CAST(l_extendedprice AS DOUBLE) / {LABEL_UNIT} AS label") + """,
+raw AS (SELECT a.i, b.j, sum(features[a.i] * features[b.j]) AS g
+  FROM d1, range(1, 7) a(i), range(1, 7) b(j) GROUP BY a.i, b.j),
+nrm AS (SELECT i, sqrt(g) AS n FROM raw WHERE i = j),
+gn AS (SELECT raw.i, raw.j,
+    CASE WHEN ni.n <> 0 AND nj.n <> 0 THEN raw.g / (ni.n * nj.n) ELSE 0.0 END AS g
+  FROM raw JOIN nrm ni ON raw.i = ni.i JOIN nrm nj ON raw.j = nj.i),
+gm AS (SELECT list(rw ORDER BY i) AS G FROM (SELECT i, list(g ORDER BY j) AS rw FROM gn GROUP BY i)),
+cv AS (SELECT list(cc ORDER BY i) AS c FROM
+  (SELECT a.i, CASE WHEN nrm.n <> 0 THEN sum(features[a.i] * label) / nrm.n ELSE 0.0 END AS cc
+   FROM d1, range(1, 7) a(i), nrm WHERE nrm.i = a.i GROUP BY a.i, nrm.n)),
+bb AS (SELECT sum(label * label) AS bb FROM d1)"""
+
+_T = "(0.1 / sqrt(k + 1))"
+_V = f"(x[i] - {_T} * (list_dot_product(G[i], x) - c[i]))"
+GD_CTE = "WITH RECURSIVE " + NORMAL + f""",
+it(k, x) AS (
+  SELECT 0, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[]
+  UNION ALL
+  SELECT k + 1, list_transform(range(1, 7), lambda i:
+      sign({_V}) * greatest(abs({_V}) - {LAMBDA_PRICE} * {_T}, 0.0) + 0.0)
+  FROM it, gm, cv WHERE k < {GD_ITERS})
+"""
+OBJ = (f"0.5 * list_sum(list_transform(range(1, 7), lambda i: x[i] * list_dot_product(G[i], x)))"
+       f" - list_dot_product(c, x) + 0.5 * bb"
+       f" + {LAMBDA_PRICE} * list_sum(list_transform(x, lambda v: abs(v)))")
+
+ORACLES["gradient_descent"] = GD_CTE + f"""SELECT CAST(j AS INTEGER) AS col_id, {sig('x[j + 1]')} AS weight
+FROM it, range(0, 6) r(j) WHERE k = {GD_ITERS}"""
+ORACLES["gradient_descent_history"] = GD_CTE + f"""SELECT CAST(k + 1 AS INTEGER) AS iteration,
+  {sig(OBJ)} AS objective FROM it, gm, cv, bb WHERE k < {GD_ITERS}"""
+ORACLES["history_roundtrip"] = GD_CTE + f"""SELECT 'gd' AS method, CAST(k + 1 AS INTEGER) AS iteration,
+  {sig(OBJ)} AS objective FROM it, gm, cv, bb WHERE k < {GD_ITERS}"""
+
+
+def _lt(body: str) -> str:
+    return f"list_transform(range(1, 7), lambda i: {body})"
+
+
+def _quad(v: str) -> str:
+    """v^T G v for a 6-list v."""
+    return f"list_dot_product({v}, {_lt(f'list_dot_product(G[i], {v})')})"
+
+
+def _loss(v: str) -> str:
+    return f"(0.5 * {_quad(v)} - list_dot_product(c, {v}) + 0.5 * bb)"
+
+
+# Accelerated method (reference backtracking order), one recursion row per
+# inner step: (it, x_old, z_old, L_old, theta_old, L, simple).
+_ALPHA, _BETA, _L0 = ("CAST(0.9 AS DOUBLE)", "CAST(0.5 AS DOUBLE)", "CAST(10.0 AS DOUBLE)")
+ACC_CTE = "WITH RECURSIVE " + NORMAL + f""",
+st(it, xo, zo, lo, tho, l, simple, steps) AS (
+  SELECT 1, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[], [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[],
+         {_L0}, CAST('inf' AS DOUBLE), {_ALPHA} * {_L0}, true, 0
+  UNION ALL
+  SELECT CASE WHEN acc THEN it + 1 ELSE it END,
+         CASE WHEN acc THEN x ELSE xo END,
+         CASE WHEN acc AND rs THEN x WHEN acc THEN z ELSE zo END,
+         CASE WHEN acc THEN l ELSE lo END,
+         CASE WHEN acc AND rs THEN CAST('inf' AS DOUBLE) WHEN acc THEN th ELSE tho END,
+         CASE WHEN acc THEN {_ALPHA} * l
+              WHEN isinf(loc) THEN l / {_BETA} ELSE greatest(loc, loc / {_BETA}) END,
+         CASE WHEN acc AND rs THEN true ELSE sn END,
+         steps + 1
+  FROM (SELECT *, (q = 0.0 OR loc <= l) AS acc,
+               (list_dot_product(gy, {_lt('x[i] - xo[i]')}) > 0.0) AS rs,
+               CASE WHEN q = 0.0 OR NOT simple THEN simple
+                    ELSE abs(fy - fx) >= 1e-10 * greatest(abs(fx), abs(fy)) END AS sn
+  FROM (SELECT *, CASE WHEN q = 0.0 THEN 0.0
+                       WHEN simple THEN l + 2.0 * greatest(fx - (fy + list_dot_product(xy, gy) + 0.5 * l * q), 0.0) / q
+                       ELSE 2.0 * {_quad('xy')} / q END AS loc
+  FROM (SELECT *, list_dot_product(xy, xy) AS q, {_loss('x')} AS fx
+  FROM (SELECT *, {_lt('x[i] - y[i]')} AS xy
+  FROM (SELECT *, {_lt('(1.0 - th) * xo[i] + th * z[i]')} AS x
+  FROM (SELECT *, {_lt(f'sign(zo[i] - stp * gy[i]) * greatest(abs(zo[i] - stp * gy[i]) - {LAMBDA_PRICE} * stp, 0.0) + 0.0')} AS z
+  FROM (SELECT *, {_lt('list_dot_product(G[i], y) - c[i]')} AS gy, {_loss('y')} AS fy, 1.0 / (th * l) AS stp
+  FROM (SELECT *, {_lt('(1.0 - th) * xo[i] + th * zo[i]')} AS y
+  FROM (SELECT st.*, gm.G, cv.c, bb.bb,
+               2.0 / (1.0 + sqrt(1.0 + 4.0 * (st.l / st.lo) / (st.tho * st.tho))) AS th
+        FROM st, gm, cv, bb WHERE st.it <= {ACC_ITERS} AND st.steps < 10000)))))))))
+)
+"""
+ORACLES["accelerated"] = ACC_CTE + f"""SELECT CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight
+FROM st, range(0, 6) r(j) WHERE it = {ACC_ITERS + 1}"""
+
+_GX = "(list_dot_product(G[j + 1], xo) - c[j + 1])"
+ORACLES["optimality"] = ACC_CTE + f"""SELECT CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight,
+  {sig(_GX)} AS gradient,
+  {sig(f"CASE WHEN xo[j + 1] <> 0.0 THEN abs({_GX} + {LAMBDA_PRICE} * sign(xo[j + 1])) ELSE greatest(abs({_GX}) - {LAMBDA_PRICE}, 0.0) END")} AS residual
+FROM st, gm, cv, range(0, 6) r(j) WHERE it = {ACC_ITERS + 1}"""

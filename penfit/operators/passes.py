@@ -100,8 +100,9 @@ def sum_blocks(parts: DataFrame, length: int, tasks: int | None = None) -> np.nd
 @dataclass
 class PassResult:
     n: int
-    losses: np.ndarray      # (k,) half sums of squares of M@V[:, j] - flag_j * y
-    grads: np.ndarray       # (p, g) M.T @ r_j for the requested j
+    losses: np.ndarray      # (k,) half sums of squares of r_j = A v_j - flag_j b
+    grads: np.ndarray       # (p, g) A^T r_j for the requested j
+    cross: np.ndarray | None = None   # (k, k) r_j . r_l
 
 
 def _check_broadcast(nbytes: int) -> None:
@@ -113,8 +114,9 @@ def _check_broadcast(nbytes: int) -> None:
 def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
                label: str = "label", features: str = "features",
                tasks: int | None = None) -> PassResult:
-    """One scan: for every column v_j of V (p x k) the half squared norm of
-    ``A v_j - flag_j b``; for j in ``grad_for`` also ``A^T (A v_j - flag_j b)``."""
+    """One scan: for the columns v_j of V (p x k) the residuals
+    ``r_j = A v_j - flag_j b`` give all inner products r_j . r_l (so the half
+    squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``."""
     V = np.ascontiguousarray(np.asarray(V, dtype=np.float64).reshape(p, -1))
     k = V.shape[1]
     flags = np.asarray(use_label, dtype=np.float64).reshape(k)
@@ -127,7 +129,7 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
     def task(it):
         Vl = bc.value
         n = 0
-        losses = np.zeros(k)
+        C = np.zeros((k, k))
         G = np.zeros((p, g))
         for b in it:
             if b.num_rows == 0:
@@ -136,21 +138,23 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
             M = features_matrix(b.column(1), p)
             R = M @ Vl
             R -= np.outer(y, flags)
-            losses += 0.5 * np.einsum("ij,ij->j", R, R)
+            C += R.T @ R
             if g:
                 G += M.T @ R[:, gidx]
             n += b.num_rows
         if n:
-            yield emit_blocks(np.concatenate([[float(n)], losses, G.ravel(order="F")]))
+            yield emit_blocks(np.concatenate([[float(n)], C.ravel(), G.ravel(order="F")]))
 
     try:
         parts = design.select(F.col(label).cast("double"), F.col(features)) \
             .mapInArrow(task, PARTIAL_SCHEMA)
-        flat = sum_blocks(parts, 1 + k + g * p, tasks)
+        flat = sum_blocks(parts, 1 + k * k + g * p, tasks)
     finally:
         bc.unpersist()
-    return PassResult(int(round(flat[0])), flat[1:1 + k],
-                      flat[1 + k:].reshape((p, g), order="F"))
+    C = flat[1:1 + k * k].reshape(k, k)
+    C = 0.5 * (C + C.T)
+    return PassResult(int(round(flat[0])), 0.5 * np.diag(C).copy(),
+                      flat[1 + k * k:].reshape((p, g), order="F"), C)
 
 
 @dataclass

@@ -81,10 +81,11 @@ class GramEvaluator:
         V = np.asarray(V, dtype=np.float64).reshape(self.p, -1)
         flags = np.asarray(use_label, dtype=np.float64).reshape(V.shape[1])
         GV = self.g.G @ V
-        losses = 0.5 * np.einsum("ij,ij->j", V, GV) - flags * (self.g.c @ V) \
-            + 0.5 * flags * self.g.bb
+        cv = self.g.c @ V
+        C = V.T @ GV - np.outer(cv, flags) - np.outer(flags, cv) + np.outer(flags, flags) * self.g.bb
+        losses = 0.5 * np.einsum("ij,ij->j", V, GV) - flags * cv + 0.5 * flags * self.g.bb
         grads = GV[:, list(grad_for)] - np.outer(self.g.c, flags[list(grad_for)])
-        return PassResult(self.n, losses, grads)
+        return PassResult(self.n, losses, grads, C)
 
     def close(self):
         pass
@@ -147,9 +148,13 @@ class CellEvaluator:
         if gidx:
             res = res.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            lr = res.agg(*[F.sum(F.col(f"r{j}") * F.col(f"r{j}") / 2.0).alias(f"l{j}")
-                           for j in range(k)]).first()
-            losses = np.array([lr[f"l{j}"] for j in range(k)], dtype=np.float64)
+            lr = res.agg(*[F.sum(F.col(f"r{j}") * F.col(f"r{l}")).alias(f"c{j}_{l}")
+                           for j in range(k) for l in range(j, k)]).first()
+            C = np.zeros((k, k))
+            for j in range(k):
+                for l in range(j, k):
+                    C[j, l] = C[l, j] = lr[f"c{j}_{l}"]
+            losses = 0.5 * np.diag(C).copy()
             grads = np.zeros((self.p, len(gidx)))
             if gidx:
                 self.scans += 1
@@ -163,7 +168,7 @@ class CellEvaluator:
         finally:
             if gidx:
                 res.unpersist()
-        return PassResult(self.n, losses, grads)
+        return PassResult(self.n, losses, grads, C)
 
     def close(self):
         if self._persist:

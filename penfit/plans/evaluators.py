@@ -19,6 +19,9 @@ from penfit.sources.design import DesignInfo, validate_design
 
 # Largest p for the Gram strategy: a task partial holds p^2 doubles (8 MB here).
 GRAM_MAX_P = 1024
+# Below this many design bytes per task, a task's fixed cost (scheduling, the
+# Python round trip) outweighs its work: small cached designs are coalesced.
+MIN_TASK_BYTES = 8 * 1024 * 1024
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -35,15 +38,21 @@ class DenseEvaluator:
 
     def __init__(self, design: DataFrame, persist: bool = True, info: DesignInfo | None = None):
         self.df = design.select(F.col("label").cast("double").alias("label"), "features")
-        self._persisted = False
+        self._cached = None
         if persist:
             self.df = spread(self.df)
-            self.df = self.df.persist(StorageLevel.MEMORY_AND_DISK)
-            self._persisted = True
+            self.df = self._cached = self.df.persist(StorageLevel.MEMORY_AND_DISK)
         # validation is the pass that fills the cache
         self.info = info if info is not None else validate_design(self.df)
         self.n, self.p = self.info.n, self.info.p
         self.tasks = self.df.rdd.getNumPartitions()
+        if self._cached is not None:
+            # read several cached partitions per task when they are tiny
+            # (no shuffle); large designs keep every partition
+            want = max(1, -(-self.n * (self.p + 1) * 8 // MIN_TASK_BYTES))
+            if want < self.tasks:
+                self.df = self._cached.coalesce(want)
+                self.tasks = want
         self.scans = 1
 
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
@@ -54,9 +63,9 @@ class DenseEvaluator:
         return r
 
     def close(self):
-        if self._persisted:
-            self.df.unpersist()
-            self._persisted = False
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
 
 
 class GramEvaluator:

@@ -55,6 +55,87 @@ def features_matrix(col: pa.Array, p: int) -> np.ndarray:
     return vals.reshape(rows, p)
 
 
+INVALID = "penfit-invalid:"
+BLOCK_SCHEMA = "rows int, labels binary, features binary"
+MAX_BLOCK_BYTES = 4 * 1024 * 1024
+
+
+def check_finite(y: np.ndarray, M: np.ndarray) -> None:
+    if not (np.isfinite(y).all() and np.isfinite(M).all()):
+        raise ValueError(f"{INVALID} NaN or infinite label or feature")
+
+
+def _binary_slices(col: pa.Array):
+    """(data buffer, start offsets, end offsets) of a binary column."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if col.null_count:
+        raise ValueError(f"{INVALID} null block")
+    _, obuf, dbuf = col.buffers()
+    wide = pa.types.is_large_binary(col.type)
+    offs = np.frombuffer(obuf, dtype=np.int64 if wide else np.int32, count=len(col) + 1,
+                         offset=col.offset * (8 if wide else 4))
+    return dbuf, offs
+
+
+def iter_xy(batch: pa.RecordBatch, p: int, blocked: bool, validate: bool = False):
+    """(labels, feature matrix) pieces of one Arrow batch in either layout:
+    rows (label double, features array<double>) or blocks (rows, labels
+    binary, features binary) with row-major float64 buffers."""
+    if not blocked:
+        y = label_vector(batch.column(0))
+        M = features_matrix(batch.column(1), p)
+        if validate:
+            check_finite(y, M)
+        yield y, M
+        return
+    rows = batch.column(0).to_numpy()
+    lbuf, loff = _binary_slices(batch.column(1))
+    fbuf, foff = _binary_slices(batch.column(2))
+    for i, r in enumerate(rows):
+        r = int(r)
+        y = np.frombuffer(lbuf, dtype="<f8", count=r, offset=int(loff[i]))
+        M = np.frombuffer(fbuf, dtype="<f8", count=r * p, offset=int(foff[i])).reshape(r, p)
+        yield y, M
+
+
+def blockify(design: DataFrame, p: int, label: str = "label",
+             features: str = "features") -> DataFrame:
+    """Rows -> blocks of rows with packed little-endian float64 buffers (the
+    layout MLlib stacks instances into). Each block holds at most
+    MAX_BLOCK_BYTES of features, so Arrow batches stay small; checks every
+    value once (lengths, nulls, NaN, infinity). Later passes move a few large
+    binary values per task instead of one array per row."""
+    rows_per_block = max(1, min(65536, MAX_BLOCK_BYTES // (8 * p)))
+
+    def task(it):
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            try:
+                y = label_vector(b.column(0))
+                M = features_matrix(b.column(1), p)
+            except ValueError as e:
+                raise ValueError(f"{INVALID} {e}") from None
+            check_finite(y, M)
+            starts = np.arange(0, len(y), rows_per_block)
+            counts = np.minimum(rows_per_block, len(y) - starts).astype(np.int32)
+            # int32 offsets: an input batch is at most 64 MB (Spark's Arrow bound)
+            loffs = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64) * 8
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(counts),
+                 pa.Array.from_buffers(pa.binary(), len(counts),
+                                       [None, pa.py_buffer(loffs.astype(np.int32)),
+                                        pa.py_buffer(y.tobytes())]),
+                 pa.Array.from_buffers(pa.binary(), len(counts),
+                                       [None, pa.py_buffer((loffs * p).astype(np.int32)),
+                                        pa.py_buffer(np.ascontiguousarray(M).tobytes())])],
+                names=["rows", "labels", "features"])
+
+    return design.select(F.col(label).cast("double"), F.col(features)) \
+        .mapInArrow(task, BLOCK_SCHEMA)
+
+
 def label_vector(col: pa.Array) -> np.ndarray:
     if col.null_count:
         raise ValueError("null label")
@@ -113,7 +194,7 @@ def _check_broadcast(nbytes: int) -> None:
 
 def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
                label: str = "label", features: str = "features",
-               tasks: int | None = None) -> PassResult:
+               tasks: int | None = None, blocked: bool = False) -> PassResult:
     """One scan: for the columns v_j of V (p x k) the residuals
     ``r_j = A v_j - flag_j b`` give all inner products r_j . r_l (so the half
     squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``."""
@@ -134,20 +215,19 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
         for b in it:
             if b.num_rows == 0:
                 continue
-            y = label_vector(b.column(0))
-            M = features_matrix(b.column(1), p)
-            R = M @ Vl
-            R -= np.outer(y, flags)
-            C += R.T @ R
-            if g:
-                G += M.T @ R[:, gidx]
-            n += b.num_rows
+            for y, M in iter_xy(b, p, blocked):
+                R = M @ Vl
+                R -= np.outer(y, flags)
+                C += R.T @ R
+                if g:
+                    G += M.T @ R[:, gidx]
+                n += len(y)
         if n:
             yield emit_blocks(np.concatenate([[float(n)], C.ravel(), G.ravel(order="F")]))
 
     try:
-        parts = design.select(F.col(label).cast("double"), F.col(features)) \
-            .mapInArrow(task, PARTIAL_SCHEMA)
+        src = design if blocked else design.select(F.col(label).cast("double"), F.col(features))
+        parts = src.mapInArrow(task, PARTIAL_SCHEMA)
         flat = sum_blocks(parts, 1 + k * k + g * p, tasks)
     finally:
         bc.unpersist()
@@ -166,9 +246,11 @@ class GramResult:
 
 
 def gram_pass(design: DataFrame, p: int, label: str = "label",
-              features: str = "features", tasks: int | None = None) -> GramResult:
-    """One scan for A^T A, A^T b, b^T b, n (P14). Task partials are p^2 + p + 2
-    doubles, so callers keep p small (see plans.evaluators.GRAM_MAX_P)."""
+              features: str = "features", tasks: int | None = None,
+              blocked: bool = False, validate: bool = True) -> GramResult:
+    """One scan for A^T A, A^T b, b^T b, n (P14), checking every value on the
+    way. Task partials are p^2 + p + 2 doubles, so callers keep p small (see
+    plans.evaluators.GRAM_MAX_P)."""
 
     def task(it):
         G = np.zeros((p, p))
@@ -178,17 +260,21 @@ def gram_pass(design: DataFrame, p: int, label: str = "label",
         for b in it:
             if b.num_rows == 0:
                 continue
-            y = label_vector(b.column(0))
-            M = features_matrix(b.column(1), p)
-            G += M.T @ M
-            c += M.T @ y
-            bb += float(y @ y)
-            n += b.num_rows
+            try:
+                pieces = list(iter_xy(b, p, blocked, validate and not blocked))
+            except ValueError as e:
+                msg = str(e)
+                raise ValueError(msg if msg.startswith(INVALID) else f"{INVALID} {msg}") from None
+            for y, M in pieces:
+                G += M.T @ M
+                c += M.T @ y
+                bb += float(y @ y)
+                n += len(y)
         if n:
             yield emit_blocks(np.concatenate([[float(n), bb], c, G.ravel()]))
 
-    parts = design.select(F.col(label).cast("double"), F.col(features)) \
-        .mapInArrow(task, PARTIAL_SCHEMA)
+    src = design if blocked else design.select(F.col(label).cast("double"), F.col(features))
+    parts = src.mapInArrow(task, PARTIAL_SCHEMA)
     flat = sum_blocks(parts, 2 + p + p * p, tasks)
     G = flat[2 + p:].reshape(p, p)
     return GramResult(int(round(flat[0])), float(flat[1]), flat[2:2 + p], 0.5 * (G + G.T))

@@ -13,8 +13,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penfit.operators.passes import (MAX_BROADCAST_BYTES, GramResult, PassResult, gram_pass,
-                                     multi_pass)
+from penfit.operators.passes import (INVALID, MAX_BROADCAST_BYTES, GramResult, PassResult,
+                                     blockify, gram_pass, multi_pass)
 from penfit.sources.design import DesignInfo, validate_design
 
 # Largest p for the Gram strategy: a task partial holds p^2 doubles (8 MB here).
@@ -24,6 +24,25 @@ GRAM_MAX_P = 1024
 MIN_TASK_BYTES = 8 * 1024 * 1024
 
 
+def first_length(df: DataFrame, features: str = "features") -> int:
+    """Feature length of one row (a limit-1 job); every pass checks the rest."""
+    r = df.select(F.size(features).alias("p")).limit(1).collect()
+    if not r:
+        raise ValueError("design has no rows")
+    if r[0]["p"] is None or r[0]["p"] < 1:
+        raise ValueError("design has no features (null or empty feature array)")
+    return int(r[0]["p"])
+
+
+def invalid_input(e: Exception) -> ValueError | None:
+    """The ValueError a task raised for bad input, out of Spark's wrapper."""
+    msg = str(e)
+    i = msg.find(INVALID)
+    if i < 0:
+        return None
+    return ValueError(msg[i + len(INVALID):].strip().splitlines()[0])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Give a design at least one partition per core before it is cached.
     Designs read from many files already have more splits than cores and are
@@ -34,16 +53,37 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 class DenseEvaluator:
-    """Arrow passes over the persisted dense design."""
+    """Arrow passes over the persisted design.
+
+    The design is cached once in blocks of rows with packed float64 buffers
+    (``passes.blockify``); the job that fills the cache also checks every
+    value. Later passes read a few large binary values per task instead of
+    one array per row.
+    """
 
     def __init__(self, design: DataFrame, persist: bool = True, info: DesignInfo | None = None):
-        self.df = design.select(F.col("label").cast("double").alias("label"), "features")
+        rows = design.select(F.col("label").cast("double").alias("label"), "features")
+        p = info.p if info is not None else first_length(rows)
         self._cached = None
+        self.blocked = persist
         if persist:
-            self.df = spread(self.df)
-            self.df = self._cached = self.df.persist(StorageLevel.MEMORY_AND_DISK)
-        # validation is the pass that fills the cache
-        self.info = info if info is not None else validate_design(self.df)
+            self.df = self._cached = blockify(spread(rows), p) \
+                .persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                n = self.df.agg(F.sum("rows").alias("n")).first()["n"] or 0
+            except Exception as e:  # bad values found while filling the cache
+                self.close()
+                err = invalid_input(e)
+                if err is not None:
+                    raise err from None
+                raise
+            if n == 0:
+                self.close()
+                raise ValueError("design has no rows")
+            self.info = DesignInfo(int(n), p)
+        else:
+            self.df = rows
+            self.info = info if info is not None else validate_design(rows)
         self.n, self.p = self.info.n, self.info.p
         self.tasks = self.df.rdd.getNumPartitions()
         if self._cached is not None:
@@ -57,7 +97,8 @@ class DenseEvaluator:
 
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
         self.scans += 1
-        r = multi_pass(self.df, self.p, V, use_label, grad_for, tasks=self.tasks)
+        r = multi_pass(self.df, self.p, V, use_label, grad_for, tasks=self.tasks,
+                       blocked=self.blocked)
         if r.n != self.n:
             raise RuntimeError(f"pass saw {r.n} rows, expected {self.n}")
         return r
@@ -78,9 +119,17 @@ class GramEvaluator:
                  info: DesignInfo | None = None):
         if gram is None:
             df = design.select(F.col("label").cast("double").alias("label"), "features")
-            info = info if info is not None else validate_design(df)
-            gram = gram_pass(df, info.p, tasks=df.rdd.getNumPartitions())
-            self.scans = 2
+            p = info.p if info is not None else first_length(df)
+            try:
+                gram = gram_pass(df, p, tasks=df.rdd.getNumPartitions())
+            except Exception as e:  # bad values found by the pass
+                err = invalid_input(e)
+                if err is not None:
+                    raise err from None
+                raise
+            if gram.n == 0:
+                raise ValueError("design has no rows")
+            self.scans = 1
         else:
             self.scans = 0
         self.g = gram
@@ -195,9 +244,8 @@ def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str =
             cells, labels = to_cells(design)
         return CellEvaluator(cells, labels, persist=cfg.persist)
     if cfg.strategy in ("gram", "auto"):
-        # the first row's length decides; validation then checks every row
-        first = design.select(F.size("features").alias("p")).limit(1).collect()
-        p = int(first[0]["p"]) if first else 0
+        # the first row's length decides; the pass then checks every row
+        p = first_length(design)
         limit = max(cfg.gram_max_p, GRAM_MAX_P) if cfg.strategy == "gram" \
             else min(cfg.gram_max_p, GRAM_MAX_P)
         if cfg.strategy == "gram" and p > limit:

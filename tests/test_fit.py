@@ -45,7 +45,7 @@ def test_scan_counts(design):
     assert f.scans == 1 + 1 + inner          # validation, start, one per inner step
     inner_g = sum(h["evaluations"] for h in g.history)
     assert f.scans < g.scans <= 1 + 2 * inner_g   # two passes per step unless x == y
-    assert gr.scans == 2
+    assert gr.scans == 1                     # A^T A, A^T b, b^T b and checks in one scan
 
 
 def test_safe_order_same_until_first_switch(design):

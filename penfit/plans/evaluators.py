@@ -22,6 +22,17 @@ GRAM_MAX_P = 1024
 # Below this many design bytes per task, a task's fixed cost (scheduling, the
 # Python round trip) outweighs its work: small cached designs are coalesced.
 MIN_TASK_BYTES = 8 * 1024 * 1024
+# Every pass ships one partial vector per task, so tasks per pass are capped
+# at this many per core: the partial volume is bounded by cores x p, not by
+# the number of input splits (100 TB in 128 MB splits is ~800k tasks).
+TASKS_PER_CORE = 3
+
+
+def task_count(spark, parts: int, n: int, p: int) -> int:
+    """Tasks for a pass: fewer for tiny designs, at most TASKS_PER_CORE per core."""
+    want = max(1, -(-n * (p + 1) * 8 // MIN_TASK_BYTES))
+    cap = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    return max(1, min(parts, want, cap))
 
 
 def first_length(df: DataFrame, features: str = "features") -> int:
@@ -87,9 +98,10 @@ class DenseEvaluator:
         self.n, self.p = self.info.n, self.info.p
         self.tasks = self.df.rdd.getNumPartitions()
         if self._cached is not None:
-            # read several cached partitions per task when they are tiny
-            # (no shuffle); large designs keep every partition
-            want = max(1, -(-self.n * (self.p + 1) * 8 // MIN_TASK_BYTES))
+            # several cached partitions per task (coalesce: no shuffle, local
+            # blocks preferred) when they are tiny or when there are more
+            # than TASKS_PER_CORE per core
+            want = task_count(self.df.sparkSession, self.tasks, self.n, self.p)
             if want < self.tasks:
                 self.df = self._cached.coalesce(want)
                 self.tasks = want
@@ -120,8 +132,16 @@ class GramEvaluator:
         if gram is None:
             df = design.select(F.col("label").cast("double").alias("label"), "features")
             p = info.p if info is not None else first_length(df)
+            # a task partial is p^2 doubles: at most TASKS_PER_CORE tasks per
+            # core read the splits (coalesce, no shuffle), so the partials are
+            # bounded by cores x p^2
+            parts = df.rdd.getNumPartitions()
+            cap = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+            if parts > cap:
+                df = df.coalesce(cap)
+                parts = cap
             try:
-                gram = gram_pass(df, p, tasks=df.rdd.getNumPartitions())
+                gram = gram_pass(df, p, tasks=parts)
             except Exception as e:  # bad values found by the pass
                 err = invalid_input(e)
                 if err is not None:

@@ -180,11 +180,45 @@ def q_l1_penalty(spark, sf):
 
 
 def q_objective(spark, sf):
-    d = embedding_design(spark, sf)
-    loss = linalg.squared_error(linalg.residuals(d, W_EMB), out="loss")
-    pen = float(LAMBDA_EMB * np.abs(W_EMB).sum())
-    return rounded(loss.select("loss", F.lit(pen).alias("penalty"),
-                               (F.col("loss") + F.lit(pen)).alias("objective")))
+    return rounded(linalg.objective(embedding_design(spark, sf), W_EMB, LAMBDA_EMB))
+
+
+def _cells_emb(spark, sf):
+    return dsg.to_cells(embedding_design(spark, sf), keep_zeros=True)
+
+
+def q_cell_norms(spark, sf):
+    cells, _ = _cells_emb(spark, sf)
+    return rounded(linalg.column_norms_cells(cells))
+
+
+def q_cell_normalized(spark, sf):
+    cells, _ = _cells_emb(spark, sf)
+    return rounded(linalg.normalize_cells(cells, p=64))
+
+
+def q_cell_predict(spark, sf):
+    cells, labels = _cells_emb(spark, sf)
+    w = linalg.vector_table(spark, W_EMB, "weight")
+    return rounded(linalg.predict_cells(cells, labels, w).select("row_id", "prediction"))
+
+
+def q_cell_transpose_product(spark, sf):
+    cells, labels = _cells_emb(spark, sf)
+    w = linalg.vector_table(spark, W_EMB, "weight")
+    pred = linalg.predict_cells(cells, labels, w)
+    res_ = pred.select("row_id", (F.col("prediction") - F.col("label")).alias("residual"))
+    return rounded(linalg.transpose_product_cells(cells, res_))
+
+
+def q_cell_fit(spark, sf):
+    """O44 cell layout: the accelerated fit evaluated with SQL joins and
+    group-bys (no Arrow), 10 iterations on the embedding design."""
+    cells, labels = _cells_emb(spark, sf)
+    cfg = FitConfig(max_iter=CELL_FIT_ITERS, L0=10.0, convergence_test=False, layout="cells",
+                    backtrack_order="reference")
+    r = fit_accelerated(None, LAMBDA_EMB, cfg, cells=cells, labels=labels)
+    return rounded(r.coefficients(spark))
 
 
 def q_signal_power(spark, sf):
@@ -383,6 +417,11 @@ QUERIES = {
     "prox_step": q_prox_step,
     "l1_penalty": q_l1_penalty,
     "objective": q_objective,
+    "cell_norms": q_cell_norms,
+    "cell_normalized": q_cell_normalized,
+    "cell_predict": q_cell_predict,
+    "cell_transpose_product": q_cell_transpose_product,
+    "cell_fit": q_cell_fit,
     "signal_power": q_signal_power,
     "penalty_level": q_penalty_level,
     "align_counts": q_align_counts,
@@ -525,26 +564,32 @@ ORACLES["history_roundtrip"] = GD_CTE + f"""SELECT 'gd' AS method, CAST(k + 1 AS
   {sig(OBJ)} AS objective FROM it, gm, cv, bb WHERE k < {GD_ITERS}"""
 
 
-def _lt(body: str) -> str:
-    return f"list_transform(range(1, 7), lambda i: {body})"
+def _lt(body: str, p: int = 6) -> str:
+    return f"list_transform(range(1, {p + 1}), lambda i: {body})"
 
 
-def _quad(v: str) -> str:
-    """v^T G v for a 6-list v."""
-    return f"list_dot_product({v}, {_lt(f'list_dot_product(G[i], {v})')})"
+def _quad(v: str, p: int = 6) -> str:
+    """v^T G v for a p-list v."""
+    return f"list_dot_product({v}, {_lt(f'list_dot_product(G[i], {v})', p)})"
 
 
-def _loss(v: str) -> str:
-    return f"(0.5 * {_quad(v)} - list_dot_product(c, {v}) + 0.5 * bb)"
+def _loss(v: str, p: int = 6) -> str:
+    return f"(0.5 * {_quad(v, p)} - list_dot_product(c, {v}) + 0.5 * bb)"
 
 
 # Accelerated method (reference backtracking order), one recursion row per
 # inner step: (it, x_old, z_old, L_old, theta_old, L, simple).
 _ALPHA, _BETA, _L0 = ("CAST(0.9 AS DOUBLE)", "CAST(0.5 AS DOUBLE)", "CAST(10.0 AS DOUBLE)")
-ACC_CTE = "WITH RECURSIVE " + NORMAL + f""",
+
+
+def acc_cte(normal: str, p: int, lam: float, iters: int) -> str:
+    """Recursive CTE of the accelerated method over a normal matrix
+    (gm.G, cv.c, bb.bb), reference backtracking order, L0 10."""
+    zeros = "[" + ", ".join(["0.0"] * p) + "]::DOUBLE[]"
+    lt = lambda body: _lt(body, p)
+    return "WITH RECURSIVE " + normal + f""",
 st(it, xo, zo, lo, tho, l, simple, steps) AS (
-  SELECT 1, [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[], [0.0, 0.0, 0.0, 0.0, 0.0, 0.0]::DOUBLE[],
-         {_L0}, CAST('inf' AS DOUBLE), {_ALPHA} * {_L0}, true, 0
+  SELECT 1, {zeros}, {zeros}, {_L0}, CAST('inf' AS DOUBLE), {_ALPHA} * {_L0}, true, 0
   UNION ALL
   SELECT CASE WHEN acc THEN it + 1 ELSE it END,
          CASE WHEN acc THEN x ELSE xo END,
@@ -556,23 +601,41 @@ st(it, xo, zo, lo, tho, l, simple, steps) AS (
          CASE WHEN acc AND rs THEN true ELSE sn END,
          steps + 1
   FROM (SELECT *, (q = 0.0 OR loc <= l) AS acc,
-               (list_dot_product(gy, {_lt('x[i] - xo[i]')}) > 0.0) AS rs,
+               (list_dot_product(gy, {lt('x[i] - xo[i]')}) > 0.0) AS rs,
                CASE WHEN q = 0.0 OR NOT simple THEN simple
                     ELSE abs(fy - fx) >= 1e-10 * greatest(abs(fx), abs(fy)) END AS sn
   FROM (SELECT *, CASE WHEN q = 0.0 THEN 0.0
                        WHEN simple THEN l + 2.0 * greatest(fx - (fy + list_dot_product(xy, gy) + 0.5 * l * q), 0.0) / q
-                       ELSE 2.0 * {_quad('xy')} / q END AS loc
-  FROM (SELECT *, list_dot_product(xy, xy) AS q, {_loss('x')} AS fx
-  FROM (SELECT *, {_lt('x[i] - y[i]')} AS xy
-  FROM (SELECT *, {_lt('(1.0 - th) * xo[i] + th * z[i]')} AS x
-  FROM (SELECT *, {_lt(f'sign(zo[i] - stp * gy[i]) * greatest(abs(zo[i] - stp * gy[i]) - {LAMBDA_PRICE} * stp, 0.0) + 0.0')} AS z
-  FROM (SELECT *, {_lt('list_dot_product(G[i], y) - c[i]')} AS gy, {_loss('y')} AS fy, 1.0 / (th * l) AS stp
-  FROM (SELECT *, {_lt('(1.0 - th) * xo[i] + th * zo[i]')} AS y
+                       ELSE 2.0 * {_quad('xy', p)} / q END AS loc
+  FROM (SELECT *, list_dot_product(xy, xy) AS q, {_loss('x', p)} AS fx
+  FROM (SELECT *, {lt('x[i] - y[i]')} AS xy
+  FROM (SELECT *, {lt('(1.0 - th) * xo[i] + th * z[i]')} AS x
+  FROM (SELECT *, {lt(f'sign(zo[i] - stp * gy[i]) * greatest(abs(zo[i] - stp * gy[i]) - CAST({lam} AS DOUBLE) * stp, 0.0) + 0.0')} AS z
+  FROM (SELECT *, {lt('list_dot_product(G[i], y) - c[i]')} AS gy, {_loss('y', p)} AS fy, 1.0 / (th * l) AS stp
+  FROM (SELECT *, {lt('(1.0 - th) * xo[i] + th * zo[i]')} AS y
   FROM (SELECT st.*, gm.G, cv.c, bb.bb,
                2.0 / (1.0 + sqrt(1.0 + 4.0 * (st.l / st.lo) / (st.tho * st.tho))) AS th
-        FROM st, gm, cv, bb WHERE st.it <= {ACC_ITERS} AND st.steps < 10000)))))))))
+        FROM st, gm, cv, bb WHERE st.it <= {iters} AND st.steps < 10000)))))))))
 )
 """
+
+
+ACC_CTE = acc_cte(NORMAL, 6, LAMBDA_PRICE, ACC_ITERS)
+
+# Normal matrix of the embedding design from its cells.
+NORMAL_EMB = D2 + ",\n" + C2 + """,
+gm AS (SELECT list(rw ORDER BY i) AS G FROM
+  (SELECT i, list(g ORDER BY j) AS rw FROM
+    (SELECT a.col_id AS i, b.col_id AS j, sum(a.value * b.value) AS g
+     FROM c2 a JOIN c2 b ON a.row_id = b.row_id GROUP BY a.col_id, b.col_id) GROUP BY i)),
+cv AS (SELECT list(cc ORDER BY col_id) AS c FROM
+  (SELECT col_id, sum(value * label) AS cc FROM c2 GROUP BY col_id)),
+bb AS (SELECT sum(label * label) AS bb FROM d2)"""
+CELL_FIT_ITERS = 10
+ORACLES["cell_fit"] = acc_cte(NORMAL_EMB, 64, LAMBDA_EMB, CELL_FIT_ITERS) + \
+    f"""SELECT CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight
+FROM st, range(0, 64) r(j) WHERE it = {CELL_FIT_ITERS + 1}"""
+
 ORACLES["accelerated"] = ACC_CTE + f"""SELECT CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight
 FROM st, range(0, 6) r(j) WHERE it = {ACC_ITERS + 1}"""
 
@@ -581,3 +644,8 @@ ORACLES["optimality"] = ACC_CTE + f"""SELECT CAST(j AS INTEGER) AS col_id, {sig(
   {sig(_GX)} AS gradient,
   {sig(f"CASE WHEN xo[j + 1] <> 0.0 THEN abs({_GX} + {LAMBDA_PRICE} * sign(xo[j + 1])) ELSE greatest(abs({_GX}) - {LAMBDA_PRICE}, 0.0) END")} AS residual
 FROM st, gm, cv, range(0, 6) r(j) WHERE it = {ACC_ITERS + 1}"""
+
+ORACLES["cell_norms"] = ORACLES["column_norms"]
+ORACLES["cell_normalized"] = ORACLES["normalized_cells"]
+ORACLES["cell_predict"] = ORACLES["predict"]
+ORACLES["cell_transpose_product"] = ORACLES["transpose_product"]

@@ -201,3 +201,58 @@ def prox_step(weights: DataFrame, gradient: DataFrame, step: float, iteration: i
     new_w = soft_threshold("_v", lam * t)
     return moved.select("col_id", new_w.alias(value),
                         (F.lit(float(lam)) * F.abs(new_w)).alias("penalty"))
+
+
+# ------------------------------------------------------------- cell layout
+# Cells are (row_id, col_id, value); labels are (row_id, label). Vector
+# tables join on col_id: they have at most p rows, so they are broadcast while
+# under the bound, else joined by a shuffle (AQE splits a hot col_id).
+
+def _small(table: DataFrame, p_bytes: int) -> DataFrame:
+    return F.broadcast(table) if p_bytes <= passes.MAX_BROADCAST_BYTES else table
+
+
+def column_norms_cells(cells: DataFrame) -> DataFrame:
+    """O20, cell layout: (col_id, norm)."""
+    return cells.groupBy("col_id").agg(F.sqrt(F.sum(F.col("value") * F.col("value")))
+                                       .alias("norm"))
+
+
+def normalize_cells(cells: DataFrame, norms: DataFrame | None = None,
+                    p: int | None = None) -> DataFrame:
+    """O14, cell layout: value / norm of its column (0 for a zero column)."""
+    norms = norms if norms is not None else column_norms_cells(cells)
+    nb = 16 * (p or 1_000_000)
+    return (cells.join(_small(norms, nb), "col_id")
+            .select("row_id", "col_id",
+                    F.when(F.col("norm") != 0.0, F.col("value") / F.col("norm"))
+                    .otherwise(F.lit(0.0)).alias("value")))
+
+
+def predict_cells(cells: DataFrame, labels: DataFrame, weights: DataFrame,
+                  value: str = "weight", broadcast_weights: bool = True) -> DataFrame:
+    """O16, cell layout: (row_id, label, prediction); rows without cells
+    predict 0 (left join from the labels). Pass ``broadcast_weights=False``
+    when the weights table is over the broadcast bound (16 bytes per column)."""
+    pred = (cells.join(F.broadcast(weights.select("col_id", value))
+                       if broadcast_weights else weights.select("col_id", value), "col_id")
+            .groupBy("row_id").agg(F.sum(F.col("value") * F.col(value)).alias("prediction")))
+    return (labels.join(pred, "row_id", "left")
+            .select("row_id", "label", F.coalesce("prediction", F.lit(0.0)).alias("prediction")))
+
+
+def transpose_product_cells(cells: DataFrame, rows: DataFrame, r: str = "residual",
+                            out: str = "value") -> DataFrame:
+    """O26, cell layout: A^T r as (col_id, value); ``rows`` holds (row_id, r)."""
+    return (cells.join(rows.select("row_id", r), "row_id")
+            .groupBy("col_id").agg(F.sum(F.col("value") * F.col(r)).alias(out)))
+
+
+def objective(design: DataFrame, w, lam: float) -> DataFrame:
+    """Smooth value at w plus the L1 penalty at w, one row
+    (loss, penalty, objective)."""
+    w = np.asarray(w, dtype=np.float64).ravel()
+    pen = float(lam) * float(np.abs(w).sum())
+    loss = squared_error(residuals(design, w), out="loss")
+    return loss.select("loss", F.lit(pen).alias("penalty"),
+                       (F.col("loss") + F.lit(pen)).alias("objective"))

@@ -168,3 +168,12 @@ def test_price_design_strategies_agree(spark):
     gram = fit_accelerated(d, LAMBDA_PRICE, BASE.with_(strategy="gram", max_iter=40))
     rel = np.linalg.norm(fused.weights - gram.weights) / np.linalg.norm(gram.weights)
     assert rel < 1e-7   # Gram losses cancel (see test_accelerated_matches_numpy_loop)
+
+
+def test_bad_loss_stops_with_last_good_weights(spark):
+    # finite inputs whose squares overflow: the loss at y is infinite
+    A = np.array([[1e200, 1.0], [2e200, -1.0]])
+    b = np.array([1.0, 2.0])
+    r = fit_accelerated(make_design(spark, A, b), 1.0, FitConfig(max_iter=5, strategy="fused"))
+    assert r.status == "bad_loss"
+    assert np.all(np.isfinite(r.weights))

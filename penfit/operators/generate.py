@@ -36,6 +36,8 @@ def gaussian_design(spark: SparkSession, n: int, p: int, seed: int = DEFAULT_SEE
                     partitions: int | None = None) -> DataFrame:
     """N rows of p standard normals, ``(row_id, features)``. Row r draws
     from ``numpy.random.default_rng([seed, r])``."""
+    from penfit.session import ship_package
+    ship_package(spark)
     ids = from_range(spark, n, partitions)
 
     def task(it):

@@ -56,6 +56,8 @@ def _map_features(design: DataFrame, fn_np, literal_col_fn, vec: np.ndarray) ->
     if len(vec) <= MAX_LITERAL_ARRAY:
         return design.withColumn("features", literal_col_fn(vec))
     import pyarrow as pa
+    from penfit.session import ship_package
+    ship_package(design.sparkSession)
     bc = design.sparkSession.sparkContext.broadcast(vec)
     names = design.columns
     fidx = names.index("features")

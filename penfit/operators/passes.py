@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from penfit.session import ship_package
+
 BLOCK = 8192
 # Coefficient matrices larger than this are not broadcast: the cell layout
 # (a weights table joined on col_id) takes over.
@@ -106,6 +108,7 @@ def blockify(design: DataFrame, p: int, label: str = "label",
     MAX_BLOCK_BYTES of features, so Arrow batches stay small; checks every
     value once (lengths, nulls, NaN, infinity). Later passes move a few large
     binary values per task instead of one array per row."""
+    ship_package(design.sparkSession)
     rows_per_block = max(1, min(65536, MAX_BLOCK_BYTES // (8 * p)))
 
     def task(it):
@@ -198,6 +201,7 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
     """One scan: for the columns v_j of V (p x k) the residuals
     ``r_j = A v_j - flag_j b`` give all inner products r_j . r_l (so the half
     squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``."""
+    ship_package(design.sparkSession)
     V = np.ascontiguousarray(np.asarray(V, dtype=np.float64).reshape(p, -1))
     k = V.shape[1]
     flags = np.asarray(use_label, dtype=np.float64).reshape(k)
@@ -252,6 +256,7 @@ def gram_pass(design: DataFrame, p: int, label: str = "label",
     way. Task partials are p^2 + p + 2 doubles, so callers keep p small (see
     plans.evaluators.GRAM_MAX_P)."""
 
+    ship_package(design.sparkSession)
     def task(it):
         G = np.zeros((p, p))
         c = np.zeros(p)
@@ -284,6 +289,7 @@ def predict(design: DataFrame, w: np.ndarray, features: str = "features",
             out: str = "prediction") -> DataFrame:
     """Row-level A.w appended as a column (O16, Arrow form): the weights go out
     as one broadcast, rows stay where they are (no shuffle)."""
+    ship_package(design.sparkSession)
     w = np.ascontiguousarray(np.asarray(w, dtype=np.float64).ravel())
     p = len(w)
     _check_broadcast(w.nbytes)
@@ -306,6 +312,7 @@ def column_sumsq_pass(design: DataFrame, p: int, features: str = "features",
                       tasks: int | None = None) -> np.ndarray:
     """Per-column sums of squares in one scan (the Arrow form of O20)."""
 
+    ship_package(design.sparkSession)
     def task(it):
         s = np.zeros(p)
         n = 0

@@ -8,8 +8,6 @@ expression (``sig``), so sums taken in different orders compare equal.
 from __future__ import annotations
 
 import math
-import os
-import tempfile
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +16,7 @@ from pyspark.sql import types as T
 
 from penfit.operators import compare, linalg, passes
 from penfit.plans import FitConfig, fit_accelerated, fit_gradient_descent
-from penfit.session import checkpoint_path
+from penfit.session import unique_path
 from penfit.sources import design as dsg
 from penfit.sources import results as res
 from penfit.sources.tables import embedding_design, load_table, price_design
@@ -248,8 +246,7 @@ def q_peek(spark, sf):
 
 
 def q_design_roundtrip(spark, sf):
-    path = tempfile.mkdtemp(prefix="design-", dir=_scratch(spark))
-    path = os.path.join(path, "d2")
+    path = unique_path(spark, "design")
     dsg.write_design(embedding_design(spark, sf), path)
     back = dsg.read_design(spark, path)
     return rounded(back.select("row_id", "label", F.aggregate("features", F.lit(0.0),
@@ -257,14 +254,6 @@ def q_design_roundtrip(spark, sf):
                                .alias("sum_sq")))
 
 
-def _scratch(spark) -> str:
-    d = checkpoint_path(spark, "tables")
-    if d.startswith("file:"):
-        d = d[5:]
-    os.makedirs(d, exist_ok=True)
-    return d
-
-
 def _normalised_price(spark, sf):
     """Price design with the label in thousands and unit-norm (uncentred)
     columns: the fit problem of the registered fit queries."""
@@ -363,8 +352,7 @@ def q_history_roundtrip(spark, sf):
     """A GD history written as a result file and read back."""
     cfg = FitConfig(max_iter=GD_ITERS, convergence_test=False, step_size=0.1)
     r = fit_gradient_descent(_normalised_price(spark, sf), LAMBDA_PRICE, cfg)
-    base = tempfile.mkdtemp(prefix="hist-", dir=_scratch(spark))
-    path = os.path.join(base, "gd")
+    path = unique_path(spark, "history")
     _write_numbers(spark, r, path)
     back = res.read_results(spark, {"gd": path})
     return rounded(back)

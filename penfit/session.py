@@ -64,7 +64,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def checkpoint_path(spark: SparkSession, name: str) -> str:
     """A sub-folder of the shared checkpoint folder for a written table."""
-    return os.path.join(ensure_checkpoint_dir(spark), name)
+    return ensure_checkpoint_dir(spark).rstrip("/") + "/" + name
+
+
+def unique_path(spark: SparkSession, prefix: str) -> str:
+    """A fresh path below the shared checkpoint folder (any file system the
+    folder is on; Spark's writer creates it)."""
+    import uuid
+    return checkpoint_path(spark, f"{prefix}-{uuid.uuid4().hex}")
 
 
 _SHIPPED: set = set()

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from penfit.operators import passes
-from penfit.operators.linalg import normalize_columns, predict, vector_np
+from penfit.operators.linalg import vector_np
 
 # Fixed values of the published benchmark data.
 DEFAULT_SEED = 92
@@ -32,6 +32,19 @@ def from_range(spark: SparkSession, n: int, partitions: int | None = None) -> Da
     return spark.range(0, n, 1, partitions).withColumnRenamed("id", "row_id")
 
 
+def gaussian_rows(row_ids: np.ndarray, p: int, seed: int) -> np.ndarray:
+    """Row r of the Gaussian design: ``default_rng([seed, r]).standard_normal(p)``."""
+    M = np.empty((len(row_ids), p))
+    for i, r in enumerate(row_ids):
+        M[i] = np.random.default_rng([seed, int(r)]).standard_normal(p)
+    return M
+
+
+def _list_column(M: np.ndarray, p: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, M.size + 1, p, dtype=np.int32)),
+                                    pa.array(M.ravel()))
+
+
 def gaussian_design(spark: SparkSession, n: int, p: int, seed: int = DEFAULT_SEED,
                     partitions: int | None = None) -> DataFrame:
     """N rows of p standard normals, ``(row_id, features)``. Row r draws
@@ -42,13 +55,9 @@ def gaussian_design(spark: SparkSession, n: int, p: int, seed: int = DEFAULT_SEE
 
     def task(it):
         for b in it:
-            rid = b.column(0).to_numpy()
-            M = np.empty((len(rid), p))
-            for i, r in enumerate(rid):
-                M[i] = np.random.default_rng([seed, int(r)]).standard_normal(p)
-            feats = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, M.size + 1, p, dtype=np.int32)), pa.array(M.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), feats], names=["row_id", "features"])
+            M = gaussian_rows(b.column(0).to_numpy(), p, seed)
+            yield pa.RecordBatch.from_arrays([b.column(0), _list_column(M, p)],
+                                             names=["row_id", "features"])
 
     return ids.mapInArrow(task, "row_id bigint, features array<double>")
 
@@ -101,24 +110,51 @@ def make_lasso_data(spark: SparkSession, n: int, p: int, seed: int = DEFAULT_SEE
                     snr_db: float = DEFAULT_SNR_DB, fraction: float = DEFAULT_FRACTION,
                     partitions: int | None = None):
     """Gaussian design, unit-norm columns, sparse true weights, 30 dB
-    noise, penalty level. Returns (design, lambda, true_weights_table).
-
-    Jobs: column norms (one scan), signal power (one scan of the persisted
-    normalised design), then the returned plan is lazy; the caller writes it
-    (write_design) and then unpersist ``normed``.
-
-    Returns (design, lambda, true_weights_table, normed).
+    noise, penalty level. Returns (design, lambda, true_weights_table, normed).
+
+    Two Python passes over row ids; rows are generated inside the tasks and
+    never shipped to them: (1) per-column sums of squares of the Gaussian
+    rows (task partials only), (2) the rows again, divided by the column
+    norms, with b0 = row . w (true weights broadcast) -> ``normed``
+    (row_id, b0, features), persisted. Signal power is one JVM aggregate over
+    it; noise is a JVM column expression. The caller writes ``design``
+    (write_design) and then unpersists ``normed``.
     """
-    raw = gaussian_design(spark, n, p, seed, partitions)
-    tasks = raw.rdd.getNumPartitions()
-    norms = np.sqrt(passes.column_sumsq_pass(raw, p, tasks=tasks))
-    normed = normalize_columns(raw, norms).persist(StorageLevel.MEMORY_AND_DISK)
+    from penfit.session import ship_package
+    ship_package(spark)
+    ids = from_range(spark, n, partitions)
+    tasks = ids.rdd.getNumPartitions()
+
+    def sumsq_task(it):
+        acc = np.zeros(p)
+        seen = 0
+        for b in it:
+            if b.num_rows:
+                M = gaussian_rows(b.column(0).to_numpy(), p, seed)
+                acc += np.einsum("ij,ij->j", M, M)
+                seen += b.num_rows
+        if seen:
+            yield passes.emit_blocks(acc)
+
+    norms = np.sqrt(passes.sum_blocks(ids.mapInArrow(sumsq_task, passes.PARTIAL_SCHEMA), p,
+                                      tasks))
     wt = sparse_weights(spark, p, fraction, seed)
     w = vector_np(wt, p, "weight")
-    with_b0 = predict(normed, w, out="b0")
-    stats = with_b0.agg(F.sum(F.col("b0") * F.col("b0")).alias("ss"),
-                        F.avg(F.col("b0") * F.col("b0")).alias("ms")).first()
+    sc = spark.sparkContext
+    bc = sc.broadcast(np.vstack([np.where(norms != 0.0, norms, 1.0), (norms != 0.0), w]))
+
+    def normed_task(it):
+        nv, nz, wv = bc.value
+        for b in it:
+            M = np.where(nz, gaussian_rows(b.column(0).to_numpy(), p, seed) / nv, 0.0)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(M @ wv), _list_column(M, p)],
+                                             names=["row_id", "b0", "features"])
+
+    normed = ids.mapInArrow(normed_task, "row_id bigint, b0 double, features array<double>") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    stats = normed.agg(F.sum(F.col("b0") * F.col("b0")).alias("ss"),
+                       F.avg(F.col("b0") * F.col("b0")).alias("ms")).first()
     term = noise_term(stats["ms"], snr_db)
     lam = lambda_from_signal(stats["ss"], p, snr_db)
-    design = add_noise(with_b0, term, seed).select("row_id", "label", "features")
+    design = add_noise(normed, term, seed).select("row_id", "label", "features")
     return design, lam, wt, normed

@@ -158,3 +158,26 @@ def make_lasso_data(spark: SparkSession, n: int, p: int, seed: int = DEFAULT_SEE
     lam = lambda_from_signal(stats["ss"], p, snr_db)
     design = add_noise(normed, term, seed).select("row_id", "label", "features")
     return design, lam, wt, normed
+
+
+def read_or_make_lasso(spark: SparkSession, design_path: str, param_path: str, n: int, p: int,
+                       seed: int = DEFAULT_SEED, snr_db: float = DEFAULT_SNR_DB,
+                       fraction: float = DEFAULT_FRACTION, partitions: int | None = None):
+    """O3 with O12: read the stored design and its penalty level; only when
+    the design path is missing, generate both, write them and read back.
+    Returns (design, lambda)."""
+    from penfit.sources.design import read_or_generate, read_param
+    made = {}
+
+    def generate():
+        design, lam, _, normed = make_lasso_data(spark, n, p, seed, snr_db, fraction, partitions)
+        made["lam"], made["normed"] = lam, normed
+        return design
+
+    try:
+        design = read_or_generate(spark, design_path, generate, param_path,
+                                  lambda: made["lam"])
+    finally:
+        if "normed" in made:
+            made["normed"].unpersist()
+    return design, read_param(spark, param_path, "lambda")

@@ -42,3 +42,13 @@ def test_make_lasso_data(spark):
     # noise is not one sequence repeated per partition
     quarters = noise.reshape(4, 100)
     assert not np.allclose(quarters[0], quarters[1])
+
+
+def test_read_or_make_lasso(spark, tmp_dir):
+    import os
+    dpath, ppath = os.path.join(tmp_dir, "design"), os.path.join(tmp_dir, "lambda")
+    d1, lam1 = gen.read_or_make_lasso(spark, dpath, ppath, 120, 20, partitions=3)
+    d2, lam2 = gen.read_or_make_lasso(spark, dpath, ppath, 999, 999)   # read, not regenerated
+    assert lam1 == lam2 and d1.count() == d2.count() == 120
+    rows = d2.toPandas().sort_values("row_id")
+    assert len(rows["features"].iloc[0]) == 20

@@ -21,7 +21,7 @@ from penfit.sources.design import DesignInfo, validate_design
 GRAM_MAX_P = 1024
 # Below this many design bytes per task, a task's fixed cost (scheduling, the
 # Python round trip) outweighs its work: small cached designs are coalesced.
-MIN_TASK_BYTES = 8 * 1024 * 1024
+MIN_TASK_BYTES = 4 * 1024 * 1024
 # Every pass ships one partial vector per task, so tasks per pass are capped
 # at this many per core: the partial volume is bounded by cores x p, not by
 # the number of input splits (100 TB in 128 MB splits is ~800k tasks).

@@ -177,3 +177,20 @@ def test_bad_loss_stops_with_last_good_weights(spark):
     r = fit_accelerated(make_design(spark, A, b), 1.0, FitConfig(max_iter=5, strategy="fused"))
     assert r.status == "bad_loss"
     assert np.all(np.isfinite(r.weights))
+
+
+@pytest.mark.parametrize("strategy", ["gram", "fused"])
+def test_price_design_converges_to_optimality(spark, strategy):
+    """SURVEY 7.2 step 1: on D1 with lambda 500 (label in thousands) the L1
+    optimality residual falls below 1e-6 lambda with the convergence test on."""
+    from penfit.catalog import LAMBDA_PRICE, _normalised_price
+    from penfit.operators import linalg
+    d = _normalised_price(spark, SF01)
+    r = fit_accelerated(d, LAMBDA_PRICE, FitConfig(max_iter=2000, tol=1e-10, L0=10.0,
+                                                   strategy=strategy))
+    assert r.status == "converged"
+    _, g, _ = linalg.loss_and_gradient(d, r.weights)
+    w = r.weights
+    res = np.where(w != 0, np.abs(g + LAMBDA_PRICE * np.sign(w)),
+                   np.maximum(np.abs(g) - LAMBDA_PRICE, 0.0))
+    assert res.max() / LAMBDA_PRICE < 1e-6

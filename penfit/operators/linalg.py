@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from penfit.functions.columns import (MAX_LITERAL_ARRAY, array_dot, array_scale, divide_by,
                                       soft_threshold)
+from penfit.functions.loss import SquaredError
 from penfit.operators import passes
 
 
@@ -132,9 +133,10 @@ def inner_product_vectors(a: DataFrame, b: DataFrame, value_a: str = "weight",
             .agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0.0)).alias(out)))
 
 
-def squared_error(df: DataFrame, r: str = "residual", out: str = "squared_error") -> DataFrame:
-    """sum(r^2)/2 (sum, not mean)."""
-    return df.agg((F.sum(F.col(r) * F.col(r)) / 2.0).alias(out))
+def squared_error(df: DataFrame, r: str = "residual", out: str = "squared_error",
+                  loss=SquaredError) -> DataFrame:
+    """Sum of the loss over rows, r^2/2 for squared error (sum, not mean)."""
+    return df.agg(F.sum(loss.value_col(F.col(r))).alias(out))
 
 
 def transpose_product(df: DataFrame, r: str = "residual", out: str = "value") -> DataFrame:
@@ -142,13 +144,15 @@ def transpose_product(df: DataFrame, r: str = "residual", out: str = "value") ->
     return exploded(df, r).groupBy("col_id").agg(F.sum(F.col("value") * F.col(r)).alias(out))
 
 
-def mean_loss_gradient(design: DataFrame, w) -> DataFrame:
+def mean_loss_gradient(design: DataFrame, w, loss=SquaredError) -> DataFrame:
     """O28 (SQL form): mean loss and mean gradient at w, one row per column:
-    (col_id, gradient, loss, n)."""
-    res = residuals(design, w)
-    per_col = exploded(res, "residual").groupBy("col_id").agg(
-        (F.sum(F.col("value") * F.col("residual")) / F.count(F.lit(1))).alias("gradient"),
-        (F.sum(F.col("residual") * F.col("residual")) / 2.0 / F.count(F.lit(1))).alias("loss"),
+    (col_id, gradient, loss, n). The loss plug-in (O42) gives the value and
+    the derivative as column expressions of the residual."""
+    res = residuals(design, w).withColumn("_d", loss.derivative_col(F.col("residual"))) \
+        .withColumn("_l", loss.value_col(F.col("residual")))
+    per_col = exploded(res, "_d", "_l").groupBy("col_id").agg(
+        (F.sum(F.col("value") * F.col("_d")) / F.count(F.lit(1))).alias("gradient"),
+        (F.sum("_l") / F.count(F.lit(1))).alias("loss"),
         F.count(F.lit(1)).alias("n"))
     return per_col
 

@@ -26,6 +26,9 @@ MIN_TASK_BYTES = 4 * 1024 * 1024
 # at this many per core: the partial volume is bounded by cores x p, not by
 # the number of input splits (100 TB in 128 MB splits is ~800k tasks).
 TASKS_PER_CORE = 3
+# A cached partition holding more than this many times the mean rows is a
+# straggler in every pass: the cached blocks are then re-spread once.
+SKEW_FACTOR = 4.0
 
 
 def task_count(spark, parts: int, n: int, p: int) -> int:
@@ -81,16 +84,27 @@ class DenseEvaluator:
             self.df = self._cached = blockify(spread(rows), p) \
                 .persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                n = self.df.agg(F.sum("rows").alias("n")).first()["n"] or 0
+                sizes = self._partition_rows()
             except Exception as e:  # bad values found while filling the cache
                 self.close()
                 err = invalid_input(e)
                 if err is not None:
                     raise err from None
                 raise
+            n = sum(sizes)
             if n == 0:
                 self.close()
                 raise ValueError("design has no rows")
+            parts = self.df.rdd.getNumPartitions()
+            self.rebalanced = False
+            if parts > 1 and max(sizes) > SKEW_FACTOR * n / parts:
+                # hot partition (a key or source with a large share of the
+                # rows): spread its blocks (<= MAX_BLOCK_BYTES each) evenly
+                balanced = self._cached.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+                balanced.agg(F.sum("rows")).collect()
+                self._cached.unpersist()
+                self.df = self._cached = balanced
+                self.rebalanced = True
             self.info = DesignInfo(int(n), p)
         else:
             self.df = rows
@@ -107,6 +121,13 @@ class DenseEvaluator:
                 self.tasks = want
         self.scans = 1
 
+    def _partition_rows(self) -> list:
+        """Rows per cached partition (one small row per partition); this is
+        the job that fills the cache."""
+        r = self.df.groupBy(F.spark_partition_id().alias("pid")) \
+            .agg(F.sum("rows").alias("n")).collect()
+        return [int(x["n"] or 0) for x in r] or [0]
+
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
         self.scans += 1
         r = multi_pass(self.df, self.p, V, use_label, grad_for, tasks=self.tasks,

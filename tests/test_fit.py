@@ -194,3 +194,24 @@ def test_price_design_converges_to_optimality(spark, strategy):
     res = np.where(w != 0, np.abs(g + LAMBDA_PRICE * np.sign(w)),
                    np.maximum(np.abs(g) - LAMBDA_PRICE, 0.0))
     assert res.max() / LAMBDA_PRICE < 1e-6
+
+
+def test_skewed_partitions_are_rebalanced(spark, design):
+    from penfit.plans.evaluators import DenseEvaluator
+    from penfit.operators import passes
+    A, b, d = design
+    # one partition holds 90 % of the rows; blocks of 10 rows so they can move
+    rows = make_design(spark, A, b, partitions=1)
+    skewed = rows.limit(270).repartition(1).union(rows.subtract(rows.limit(270)).repartition(9))
+    old = passes.MAX_BLOCK_BYTES
+    passes.MAX_BLOCK_BYTES = 8 * 12 * 10
+    try:
+        ev = DenseEvaluator(skewed)
+        try:
+            assert ev.rebalanced
+            r = ev.evaluate(np.ones((12, 1)), [True], [0])
+            np.testing.assert_allclose(r.grads[:, 0], A.T @ (A @ np.ones(12) - b), rtol=1e-10)
+        finally:
+            ev.close()
+    finally:
+        passes.MAX_BLOCK_BYTES = old

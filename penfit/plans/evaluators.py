@@ -57,15 +57,6 @@ def invalid_input(e: Exception) -> ValueError | None:
     return ValueError(msg[i + len(INVALID):].strip().splitlines()[0])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a design at least one partition per core before it is cached.
-    Designs read from many files already have more splits than cores and are
-    left alone (no shuffle); a few large row groups would otherwise leave
-    cores idle in every pass of the fit."""
-    target = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 class DenseEvaluator:
     """Arrow passes over the persisted design.
 
@@ -81,8 +72,14 @@ class DenseEvaluator:
         self._cached = None
         self.blocked = persist
         if persist:
-            self.df = self._cached = blockify(spread(rows), p) \
-                .persist(StorageLevel.MEMORY_AND_DISK)
+            blocks = blockify(rows, p)
+            target = rows.sparkSession.sparkContext.defaultParallelism
+            if blocks.rdd.getNumPartitions() < target:
+                # fewer splits than cores (a few large row groups): spread the
+                # packed blocks, not the rows; designs read from many files
+                # are not shuffled
+                blocks = blocks.repartition(target)
+            self.df = self._cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 sizes = self._partition_rows()
             except Exception as e:  # bad values found while filling the cache

@@ -13,7 +13,8 @@ Fits (seconds per complete fit, design read from parquet each time):
                p = $BENCH_WIDE_P (2,500; 12,500 gives the reference's 25,000 x 12,500)
 Methods: gd (gradient descent), agd (accelerated, gradient form: two passes
 per inner step), fused (residual form: one pass per inner step), gram (one
-pass for A'A, auto-chosen for narrow designs).
+pass for A'A, auto-chosen for narrow designs); *_auto = the default strategy
+(gram for p <= 1024, else fused), i.e. what a user gets without settings.
 """
 
 from __future__ import annotations
@@ -79,12 +80,13 @@ def main():
         gen.count()
         normed.unpersist()
         q[f"{name}_generate"] = time.perf_counter() - t0
-        for meth in ("gd", "agd", "fused"):
-            if meth == "gd":
-                s, r = timed(lambda: fit_gradient_descent(gen, lam, cfg.with_(strategy="fused")),
+        for meth in ("gd", "agd", "fused", "gd_auto", "auto"):
+            if meth in ("gd", "gd_auto"):
+                strat = "fused" if meth == "gd" else "auto"
+                s, r = timed(lambda: fit_gradient_descent(gen, lam, cfg.with_(strategy=strat)),
                              reps)
             else:
-                strat = "gradient" if meth == "agd" else "fused"
+                strat = {"agd": "gradient", "fused": "fused", "auto": "auto"}[meth]
                 s, r = timed(lambda: fit_accelerated(gen, lam, cfg.with_(strategy=strat)), reps)
             q[f"{name}_{meth}"] = s
             extra[f"{name}_{meth}"] = {"scans": r.scans,

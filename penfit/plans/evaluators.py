@@ -150,11 +150,11 @@ class GramEvaluator:
         if gram is None:
             df = design.select(F.col("label").cast("double").alias("label"), "features")
             p = info.p if info is not None else first_length(df)
-            # a task partial is p^2 doubles: at most TASKS_PER_CORE tasks per
-            # core read the splits (coalesce, no shuffle), so the partials are
-            # bounded by cores x p^2
+            # a task partial is p^2 doubles: one task per core reads the
+            # splits (coalesce, no shuffle), so the partials are bounded by
+            # cores x p^2 while the p^2 work per row still uses every core
             parts = df.rdd.getNumPartitions()
-            cap = TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism
+            cap = df.sparkSession.sparkContext.defaultParallelism
             if parts > cap:
                 df = df.coalesce(cap)
                 parts = cap

@@ -80,7 +80,9 @@ def main():
         gen.count()
         normed.unpersist()
         q[f"{name}_generate"] = time.perf_counter() - t0
-        for meth in ("gd", "agd", "fused", "gd_auto", "auto"):
+        # default strategy only where it differs from fused (p <= 1024: gram)
+        meths = ("gd", "agd", "fused") + (("gd_auto", "auto") if p <= 1024 else ())
+        for meth in meths:
             if meth in ("gd", "gd_auto"):
                 strat = "fused" if meth == "gd" else "auto"
                 s, r = timed(lambda: fit_gradient_descent(gen, lam, cfg.with_(strategy=strat)),

@@ -360,9 +360,7 @@ def q_history_roundtrip(spark, sf):
 
 def _write_numbers(spark, r, path):
     """The reference's result format: one number per line, no header."""
-    lines = [repr(h["objective"]) for h in r.history]
-    spark.createDataFrame([(s,) for s in lines], "value string").coalesce(1) \
-        .write.mode("errorifexists").text(path)
+    res.write_numbers(r.history_table(spark), path, "objective", "iteration")
 
 
 def q_generated_design(spark, sf):

@@ -81,7 +81,7 @@ class DenseEvaluator:
                 blocks = blocks.repartition(target)
             self.df = self._cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                sizes = self._partition_rows()
+                sizes, nblocks = self._partition_rows()
             except Exception as e:  # bad values found while filling the cache
                 self.close()
                 err = invalid_input(e)
@@ -94,7 +94,7 @@ class DenseEvaluator:
                 raise ValueError("design has no rows")
             parts = self.df.rdd.getNumPartitions()
             self.rebalanced = False
-            if parts > 1 and max(sizes) > SKEW_FACTOR * n / parts:
+            if parts > 1 and nblocks >= parts and max(sizes) > SKEW_FACTOR * n / parts:
                 # hot partition (a key or source with a large share of the
                 # rows): spread its blocks (<= MAX_BLOCK_BYTES each) evenly
                 balanced = self._cached.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
@@ -118,12 +118,12 @@ class DenseEvaluator:
                 self.tasks = want
         self.scans = 1
 
-    def _partition_rows(self) -> list:
-        """Rows per cached partition (one small row per partition); this is
-        the job that fills the cache."""
+    def _partition_rows(self):
+        """Rows per cached partition (one small row per partition) and the
+        number of blocks; this is the job that fills the cache."""
         r = self.df.groupBy(F.spark_partition_id().alias("pid")) \
-            .agg(F.sum("rows").alias("n")).collect()
-        return [int(x["n"] or 0) for x in r] or [0]
+            .agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("b")).collect()
+        return [int(x["n"] or 0) for x in r] or [0], sum(int(x["b"]) for x in r)
 
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
         self.scans += 1

@@ -22,6 +22,15 @@ def write_results(df: DataFrame, path: str, mode: str = "errorifexists") -> None
     df.write.mode(mode).option("header", True).csv(path)
 
 
+def write_numbers(df: DataFrame, path: str, value: str, order: str,
+                  mode: str = "errorifexists") -> None:
+    """O5 in the reference's own format: one number per line, in ``order``,
+    no header. Result tables are coefficient- or iteration-length, so one
+    sorted file is written (a range sort, then its partitions concatenated)."""
+    (df.orderBy(order).select(F.col(value).cast("double").cast("string").alias("v"))
+     .coalesce(1).write.mode(mode).text(path))
+
+
 def line_index(df: DataFrame, name: str = "line") -> DataFrame:
     """0-based line number of every row of a freshly read text/CSV source."""
     spark = df.sparkSession

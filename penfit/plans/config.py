@@ -26,6 +26,9 @@ class FitConfig:
     trustworthy before using it; ``reference`` uses it first, then decides.
     """
 
+    # The defaults of the reference's accelerated method and
+    # gradient descent (iterations 100, tolerance 1e-4, L0 1, Lexact infinite,
+    # beta 0.5, alpha 0.9, restart on, backtracking tolerance 1e-10, step 0.1).
     max_iter: int = 100
     tol: float = 1e-4
     L0: float = 1.0
@@ -33,10 +36,11 @@ class FitConfig:
     beta: float = 0.5
     alpha: float = 0.9
     restart: bool = True
-    convergence_test: bool = True
-    backtrack_order: str = "safe"
     backtrack_tol: float = 1e-10
     step_size: float = 0.1
+    # Own settings.
+    convergence_test: bool = True
+    backtrack_order: str = "safe"
     average: bool = False
     strategy: str = "auto"
     layout: str = "dense"

@@ -145,6 +145,7 @@ def make_lasso_data(spark: SparkSession, n: int, p: int, seed: int = DEFAULT_SEE
     bc = sc.broadcast(np.vstack([np.where(norms != 0.0, norms, 1.0), (norms != 0.0), w]))
 
     def normed_task(it):
+        passes.single_thread_blas()
         nv, nz, wv = bc.value
         for b in it:
             M = np.where(nz, gaussian_rows(b.column(0).to_numpy(), p, seed) / nv, 0.0)

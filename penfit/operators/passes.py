@@ -16,6 +16,7 @@ Only p-length results reach the driver.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,35 @@ DRIVER_MERGE_BYTES = 16 * 1024 * 1024
 PARTIAL_SCHEMA = "block int, v array<double>"
 
 
+_BLAS_PINNED = False
+
+
+def single_thread_blas() -> None:
+    """Once per Python worker: one BLAS thread, since every core already runs
+    a worker. Sessions of this package set OPENBLAS_NUM_THREADS=1 for
+    executors; this covers sessions that do not (an explicit setting wins)."""
+    global _BLAS_PINNED
+    if _BLAS_PINNED:
+        return
+    _BLAS_PINNED = True
+    if os.environ.get("OPENBLAS_NUM_THREADS"):
+        return
+    try:
+        import ctypes
+        import glob
+        libdir = os.path.join(os.path.dirname(np.__file__), os.pardir, "numpy.libs")
+        for path in glob.glob(os.path.join(libdir, "*openblas*")):
+            lib = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_",
+                         "openblas_set_num_threads"):
+                fn = getattr(lib, name, None)
+                if fn is not None:
+                    fn(1)
+                    return
+    except Exception:  # a BLAS we do not know: leave it as it is
+        pass
+
+
 def features_matrix(col: pa.Array, p: int) -> np.ndarray:
     """Arrow list<double> column -> (rows, p) float64 matrix without a copy
     when the buffer allows it. Raises on unequal lengths or nulls."""
@@ -112,6 +142,7 @@ def blockify(design: DataFrame, p: int, label: str = "label",
     rows_per_block = max(1, min(65536, MAX_BLOCK_BYTES // (8 * p)))
 
     def task(it):
+        single_thread_blas()
         for b in it:
             if b.num_rows == 0:
                 continue
@@ -212,6 +243,7 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
     bc = sc.broadcast(V)
 
     def task(it):
+        single_thread_blas()
         Vl = bc.value
         n = 0
         C = np.zeros((k, k))
@@ -258,6 +290,7 @@ def gram_pass(design: DataFrame, p: int, label: str = "label",
 
     ship_package(design.sparkSession)
     def task(it):
+        single_thread_blas()
         G = np.zeros((p, p))
         c = np.zeros(p)
         bb = 0.0
@@ -299,6 +332,7 @@ def predict(design: DataFrame, w: np.ndarray, features: str = "features",
     schema = T.StructType(design.schema.fields + [T.StructField(out, T.DoubleType(), True)])
 
     def task(it):
+        single_thread_blas()
         wl = bc.value
         for b in it:
             pred = features_matrix(b.column(fidx), p) @ wl if b.num_rows else np.zeros(0)
@@ -314,6 +348,7 @@ def column_sumsq_pass(design: DataFrame, p: int, features: str = "features",
 
     ship_package(design.sparkSession)
     def task(it):
+        single_thread_blas()
         s = np.zeros(p)
         n = 0
         for b in it:

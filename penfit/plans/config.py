@@ -47,6 +47,10 @@ class FitConfig:
     gram_max_p: int = 1024
     track_history: bool = True
     persist: bool = True
+    # write the blockified design to spark.checkpoint.dir (DataFrame.checkpoint)
+    # before caching it: lost blocks are re-read from there instead of
+    # recomputing a long source lineage (joins, generators)
+    checkpoint: bool = False
 
     def __post_init__(self):
         if self.strategy not in STRATEGIES:

@@ -66,7 +66,8 @@ class DenseEvaluator:
     one array per row.
     """
 
-    def __init__(self, design: DataFrame, persist: bool = True, info: DesignInfo | None = None):
+    def __init__(self, design: DataFrame, persist: bool = True, info: DesignInfo | None = None,
+                 checkpoint: bool = False):
         rows = design.select(F.col("label").cast("double").alias("label"), "features")
         p = info.p if info is not None else first_length(rows)
         self._cached = None
@@ -79,6 +80,16 @@ class DenseEvaluator:
                 # packed blocks, not the rows; designs read from many files
                 # are not shuffled
                 blocks = blocks.repartition(target)
+            if checkpoint:
+                from penfit.session import ensure_checkpoint_dir
+                ensure_checkpoint_dir(rows.sparkSession)
+                try:
+                    blocks = blocks.checkpoint(eager=True)
+                except Exception as e:  # bad values found while writing
+                    err = invalid_input(e)
+                    if err is not None:
+                        raise err from None
+                    raise
             self.df = self._cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 sizes, nblocks = self._partition_rows()
@@ -290,4 +301,4 @@ def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str =
             raise ValueError(f"gram strategy needs p <= {limit}, design has {p}")
         if p <= limit:
             return GramEvaluator(design)
-    return DenseEvaluator(design, persist=cfg.persist)
+    return DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint)

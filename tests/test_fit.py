@@ -215,3 +215,10 @@ def test_skewed_partitions_are_rebalanced(spark, design):
             ev.close()
     finally:
         passes.MAX_BLOCK_BYTES = old
+
+
+def test_checkpointed_design_same_result(design):
+    A, b, d = design
+    r1 = fit_accelerated(d, 5.0, BASE.with_(strategy="fused", max_iter=10))
+    r2 = fit_accelerated(d, 5.0, BASE.with_(strategy="fused", max_iter=10, checkpoint=True))
+    np.testing.assert_allclose(r1.weights, r2.weights, rtol=1e-12, atol=1e-14)

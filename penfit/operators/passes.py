@@ -37,6 +37,8 @@ MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 # added on the driver, the last level of a tree aggregate; anything larger is
 # summed block-wise by Spark. The bound is checked before the job runs.
 DRIVER_MERGE_BYTES = 16 * 1024 * 1024
+# Coefficient blocks up to this size are shipped in the task closure.
+CLOSURE_BYTES = 256 * 1024
 PARTIAL_SCHEMA = "block int, v array<double>"
 
 
@@ -240,11 +242,13 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
     g = len(gidx)
     _check_broadcast(V.nbytes)
     sc = design.sparkSession.sparkContext
-    bc = sc.broadcast(V)
+    # small blocks travel inside the task closure (no broadcast round trip);
+    # larger ones as a broadcast, released after the pass
+    bc = sc.broadcast(V) if V.nbytes > CLOSURE_BYTES else None
 
     def task(it):
         single_thread_blas()
-        Vl = bc.value
+        Vl = bc.value if bc is not None else V
         n = 0
         C = np.zeros((k, k))
         G = np.zeros((p, g))
@@ -266,7 +270,8 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
         parts = src.mapInArrow(task, PARTIAL_SCHEMA)
         flat = sum_blocks(parts, 1 + k * k + g * p, tasks)
     finally:
-        bc.unpersist()
+        if bc is not None:
+            bc.unpersist()
     C = flat[1:1 + k * k].reshape(k, k)
     C = 0.5 * (C + C.T)
     return PassResult(int(round(flat[0])), 0.5 * np.diag(C).copy(),

@@ -222,3 +222,15 @@ def test_checkpointed_design_same_result(design):
     r1 = fit_accelerated(d, 5.0, BASE.with_(strategy="fused", max_iter=10))
     r2 = fit_accelerated(d, 5.0, BASE.with_(strategy="fused", max_iter=10, checkpoint=True))
     np.testing.assert_allclose(r1.weights, r2.weights, rtol=1e-12, atol=1e-14)
+
+
+def test_gram_final_loss_rechecked_when_cancelling(spark):
+    # nearly exact fit: the optimum loss is ~1e-10 of 1/2 b'b
+    rng = np.random.default_rng(5)
+    A = rng.standard_normal((200, 5))
+    b = A @ np.array([3.0, -1.0, 2.0, 0.5, 1.0]) * 1000 + 1e-3 * rng.standard_normal(200)
+    d = make_design(spark, A, b)
+    r = fit_accelerated(d, 0.0, FitConfig(max_iter=500, tol=1e-14, strategy="gram"))
+    exact = 0.5 * np.sum((A @ r.weights - b) ** 2)
+    assert r.scans == 2                       # Gram pass + the exact re-check
+    assert abs(r.history[-1]["loss"] - exact) <= 1e-9 * exact

@@ -27,7 +27,6 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark import StorageLevel  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
 
 from penfit.catalog import LAMBDA_PRICE, QUERIES, _normalised_price  # noqa: E402
 from penfit.operators.generate import make_lasso_data  # noqa: E402

@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penfit.operators import compare, linalg, passes
+from penfit.operators import compare, linalg
 from penfit.plans import FitConfig, fit_accelerated, fit_gradient_descent
 from penfit.session import unique_path
 from penfit.sources import design as dsg

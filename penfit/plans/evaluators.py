@@ -92,20 +92,19 @@ class DenseEvaluator:
                     raise
             self.df = self._cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
             try:
-                sizes, nblocks = self._partition_rows()
+                n, largest, nblocks = self._partition_rows()
             except Exception as e:  # bad values found while filling the cache
                 self.close()
                 err = invalid_input(e)
                 if err is not None:
                     raise err from None
                 raise
-            n = sum(sizes)
             if n == 0:
                 self.close()
                 raise ValueError("design has no rows")
             parts = self.df.rdd.getNumPartitions()
             self.rebalanced = False
-            if parts > 1 and nblocks >= parts and max(sizes) > SKEW_FACTOR * n / parts:
+            if parts > 1 and nblocks >= parts and largest > SKEW_FACTOR * n / parts:
                 # hot partition (a key or source with a large share of the
                 # rows): spread its blocks (<= MAX_BLOCK_BYTES each) evenly
                 balanced = self._cached.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
@@ -130,11 +129,14 @@ class DenseEvaluator:
         self.scans = 1
 
     def _partition_rows(self):
-        """Rows per cached partition (one small row per partition) and the
-        number of blocks; this is the job that fills the cache."""
-        r = self.df.groupBy(F.spark_partition_id().alias("pid")) \
-            .agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("b")).collect()
-        return [int(x["n"] or 0) for x in r] or [0], sum(int(x["b"]) for x in r)
+        """(rows, rows of the largest partition, blocks) in one row: rows per
+        cached partition are summed, then reduced again, so the driver gets
+        one row however many partitions there are. This is the job that
+        fills the cache."""
+        per = self.df.groupBy(F.spark_partition_id().alias("pid")) \
+            .agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("b"))
+        r = per.agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.sum("b").alias("b")).first()
+        return int(r["n"] or 0), int(r["m"] or 0), int(r["b"] or 0)
 
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
         self.scans += 1

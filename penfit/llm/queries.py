@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
+from penfit.llm.mixing import mix, taken_words
 from penfit.llm.sharding import shard_rows
 
 _CONTRACT_4 = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
@@ -22,9 +23,15 @@ def op7_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, spans = mix(read_table(spark, sf_dir, "documents"))
+    return taken_words(documents, spans).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op4_feistel_sharding": op4_feistel_sharding,
     "op7_extendible_hash_dedup": op7_extendible_hash_dedup,
+    "op10_mixing_blocks": op10_mixing_blocks,
 }
 
 OP7_SQL = r"""

@@ -10,14 +10,25 @@ from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
 from penfit.llm.mixing import mix, taken_words
 from penfit.llm.sharding import shard_rows
+from penfit.llm.token_counts import count_tokens
+from penfit.llm.token_files import read_documents, scratch_path, token_digest, write_tokens
 
 _CONTRACT_4 = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = write_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark))
+    return token_digest(read_documents(spark, path))
+
+
 def op4_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read_table(spark, sf_dir, "documents")).select(*_CONTRACT_4)
 
 
+def op5_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"))
+
+
 def op7_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -29,7 +40,9 @@ def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_token_files": op3_token_files,
     "op4_feistel_sharding": op4_feistel_sharding,
+    "op5_pretoken_counts": op5_pretoken_counts,
     "op7_extendible_hash_dedup": op7_extendible_hash_dedup,
     "op10_mixing_blocks": op10_mixing_blocks,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
 from penfit.llm.mixing import mix, taken_words
+from penfit.llm.packing import pack_documents
 from penfit.llm.sharding import shard_rows
 from penfit.llm.token_counts import count_tokens
 from penfit.llm.token_files import read_documents, scratch_path, token_digest, write_tokens
@@ -29,6 +30,10 @@ def op5_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"))
 
 
+def op6_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op7_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -43,6 +48,7 @@ QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op5_pretoken_counts": op5_pretoken_counts,
+    "op6_lexical_packing": op6_lexical_packing,
     "op7_extendible_hash_dedup": op7_extendible_hash_dedup,
     "op10_mixing_blocks": op10_mixing_blocks,
 }

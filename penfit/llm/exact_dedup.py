@@ -69,7 +69,8 @@ def directory(entries: DataFrame, capacity: int = CAPACITY, bits: int = DIRECTOR
     depths = cells.select("cell", "rows", F.explode(F.sequence(F.lit(0), F.lit(bits))).alias("depth"))
     prefix = F.expr(f"shiftright(cell, {bits} - depth)")
     sizes = depths.groupBy("depth", prefix.alias("prefix")).agg(F.sum("rows").alias("held"))
-    fits = (depths.withColumn("prefix", prefix).join(sizes, ["depth", "prefix"])
+    fits = (depths.withColumn("prefix", prefix)
+            .join(F.broadcast(sizes), ["depth", "prefix"])  # < 2**(bits + 1) rows
             .where((F.col("held") <= capacity) | (F.col("depth") == bits)))
     return fits.groupBy("cell").agg(F.min(F.struct("depth", "prefix", "held")).alias("b")).select(
         "cell", F.col("b.depth").alias("depth"), F.col("b.held").alias("held"),

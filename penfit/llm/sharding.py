@@ -12,8 +12,7 @@ The permutation works on the grid a x b with a = ceil(sqrt(n)) and
 b = ceil(n / a): a place is (left, right) = (x div b, x mod b), and rounds
 alternately add a keyed hash of one half to the other, modulo its size. The
 grid has fewer than a places too many; a place at or above n walks on through
-the permutation until it falls below n, which returns after at most
-(a * b - n + 1) steps.
+the permutation until it falls below n.
 
 Row numbers need no single-task sort: doc_ids are cut into ranges of similar
 row counts, rows are numbered within their range, and the ranges' counts (one
@@ -34,20 +33,18 @@ from penfit.llm.common import cut_points, pick, prefix_of_buckets, range_bucket,
 
 SHARDS = 16
 SEED = 20240229
-ROUNDS = 6
+ROUNDS = 4
 #: Fixed values of the round hash: multiplier, increment and prime modulus of
 #: a linear step, small enough for exact 64-bit products after a reduction.
 MUL, ADD, PRIME = 48271, 12820163, 2147483647
-WALK = 64
 
 
 def _round_hash(x: Column, key: int) -> Column:
-    """0 <= hash < 2**31 - 1 of a half-place. Three modular steps, squares in
-    between; every product stays below 2**62."""
-    p = F.lit(PRIME).cast("bigint")
-    y = F.pmod(F.pmod(x, p) * F.lit(MUL) + F.lit((key * 7919 + ADD) % PRIME), p)
-    y = F.pmod(y * y + F.lit((key * 104729 + 7) % PRIME), p)
-    return F.pmod(y * F.lit(MUL) + F.pmod(F.floor(x / p), p) + F.lit(key % PRIME), p)
+    """0 <= hash < 2**31 - 1 of a half-place (halves stay below 2**31 for up to
+    2**62 rows). Linear, square, linear; every product stays below 2**62."""
+    p = F.lit(PRIME).cast("bigint")  # % of numbers that are never negative
+    y = (x * MUL + (key * 7919 + ADD) % PRIME) % p
+    return ((y * y + (key * 104729 + 7) % PRIME) % p * MUL + key) % p
 
 
 def grid(n: int) -> tuple[int, int]:
@@ -63,48 +60,45 @@ def round_keys(seed: int, rounds: int = ROUNDS) -> list[int]:
     return out
 
 
-def _once(place: Column, n: int, seed: int) -> Column:
+def once(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
+    """``df`` with ``column`` moved one step by the grid's permutation. A
+    projection per round, so that no half is computed twice."""
     a, b = grid(n)
-    left = (place - F.pmod(place, F.lit(b))) / F.lit(b)
-    return _rounds(F.floor(left).cast("bigint"), F.pmod(place, F.lit(b)).cast("bigint"), a, b, seed)
-
-
-def _rounds(left: Column, right: Column, a: int, b: int, seed: int) -> Column:
-    # A struct per round, bound by a one-element transform: the halves are
-    # computed once, not once per mention.
-    halves = F.struct(left.alias("l"), right.alias("r"))
+    rest = [c for c in df.columns if c != column]
+    df = df.select(*rest, F.floor(F.col(column) / F.lit(b)).cast("bigint").alias("_left"),
+                   (F.col(column) % F.lit(b).cast("bigint")).alias("_right"))
     for i, key in enumerate(round_keys(seed)):
+        left, right = F.col("_left"), F.col("_right")
         if i % 2 == 0:
-            def step(h, key=key):
-                return F.struct(F.pmod(h["l"] + _round_hash(h["r"], key), F.lit(a)).alias("l"),
-                                h["r"].alias("r"))
+            left = (left + _round_hash(F.col("_right"), key)) % F.lit(a).cast("bigint")
         else:
-            def step(h, key=key):
-                return F.struct(h["l"].alias("l"),
-                                F.pmod(h["r"] + _round_hash(h["l"], key), F.lit(b)).alias("r"))
-        halves = F.element_at(F.transform(F.array(halves), step), 1)
-    return F.element_at(F.transform(F.array(halves), lambda h: h["l"] * F.lit(b) + h["r"]), 1)
+            right = (right + _round_hash(F.col("_left"), key)) % F.lit(b).cast("bigint")
+        df = df.select(*rest, left.alias("_left"), right.alias("_right"))
+    return df.select(*rest, (F.col("_left") * F.lit(b) + F.col("_right")).alias(column))
+
 
+def permuted(df: DataFrame, column: str, n: int, seed: int = SEED, out: str = "place") -> DataFrame:
+    """``df`` with ``out``, the image of ``column`` under the keyed
+    permutation of [0, n).
 
-def permuted(place: Column, n: int, seed: int = SEED) -> Column:
-    """Image of ``place`` (0 <= place < n) under the keyed permutation of [0, n)."""
+    Cycle walking: all places of the grid at or above n (fewer than
+    sqrt(n) + 1) are walked on until they fall below n, and that table is
+    joined to the rows that landed on one of them.
+    """
+    moved = df.withColumn(out, F.col(column).cast("bigint"))
     if n <= 1:
-        return place.cast("bigint")
+        return moved
     a, b = grid(n)
-    walk = min(a * b - n + 1, WALK)
-    steps = F.sequence(F.lit(1), F.lit(walk))
-    first = F.element_at(F.transform(F.array(place.cast("bigint")), lambda x: _once(x, n, seed)), 1)
-
-    def walked(x: Column) -> Column:
-        on = F.aggregate(steps, x, lambda acc, _: F.when(acc < n, acc).otherwise(_once(acc, n, seed)))
-        return F.when(x < n, x).otherwise(on)
-
-    out = F.element_at(F.transform(F.array(first), walked), 1)
-    if a * b - n + 1 <= WALK:
-        return out
-    # Beyond the bound only with probability below n ** -32: an error, never a wrong place.
-    return F.element_at(F.transform(F.array(out), lambda x: F.when(x < n, x).otherwise(
-        F.raise_error(F.lit("cycle walk too long")).cast("bigint"))), 1)
+    moved = once(moved, out, n, seed)
+    if a * b == n:
+        return moved
+    walk = once(df.sparkSession.range(n, a * b, 1, 1)
+                .select(F.col("id").alias("_from"), F.col("id").alias("_to")), "_to", n, seed)
+    while not walk.where(F.col("_to") >= n).isEmpty():
+        on = walk.where(F.col("_to") >= n)
+        walk = walk.where(F.col("_to") < n).unionByName(once(on, "_to", n, seed))
+    return (moved.join(F.broadcast(walk), F.col(out) == F.col("_from"), "left")
+            .withColumn(out, F.coalesce("_to", out)).drop("_from", "_to"))
 
 
 def numbered(rows: DataFrame, id_col: str, ties: list[str], parts: int, out: str = "row_number"):
@@ -138,8 +132,9 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
     if parts is None:
         parts = max(8, min(4096, n // 20_000))
     rows = numbered(small, "doc_id", ["text_crc32", "size"], parts)
-    placed = rows.withColumn("place", permuted(F.col("row_number"), n, seed))
+    placed = permuted(rows, "row_number", n, seed)
+    slot = (F.col("place") - F.pmod("place", F.lit(shards))) / F.lit(shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
                          F.pmod("place", F.lit(shards)).cast("int").alias("shard"),
-                         F.floor(F.col("place") / F.lit(shards)).cast("bigint").alias("slot"),
+                         slot.cast("bigint").alias("slot"),
                          F.lit(None).cast("int").alias("grown_shard"), "row_number", "place")

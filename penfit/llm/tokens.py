@@ -16,21 +16,31 @@ from __future__ import annotations
 import functools
 import json
 import re
+import sys
+from array import array
 
 import numpy as np
+import regex
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
-CACHE_UNITS = 400_000
+#: Entries of each of a cache's two generations (about 200 bytes an entry).
+CACHE_UNITS = 500_000
 CACHE_CHARS = 48
 
+assert array("I").itemsize == 4 and sys.byteorder == "little"
+
 _PLAIN = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
+_RUN = re.compile(r"[^ \n]+")
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
 #: The pre-token patterns of the two tokenizer files, narrowed to ASCII.
 _ASCII_BYTE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+",
                          re.ASCII)
 _ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+_LATIN_BYTE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+#: Letters, digits and white space below this are the same in all Unicode versions in use.
+_STABLE = "\u0180"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
@@ -47,6 +57,11 @@ def _byte_map() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+def words(text: str) -> list[str]:
+    """Units for tokenizers that drop white space: runs of anything else."""
+    return _RUN.findall(text)
+
+
 def units(text: str) -> list[str]:
     if _ODD_SPACE.search(text) is None:
         return _PLAIN.findall(text)
@@ -82,8 +97,10 @@ class Encoder:
         self.specials = specials
         self.model = self.library.model
         self.table = str.maketrans({chr(b): c for b, c in _byte_map().items()})
-        self.cache: dict[str, bytes] = {}
-        self.pieces_of: dict[str, tuple] = {}
+        # two generations: a full young one becomes the old one, and what is
+        # found there is young again, so common units stay
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     # -- one unit ---------------------------------------------------------
     def pre_tokens(self, unit: str) -> list[str]:
@@ -102,26 +119,35 @@ class Encoder:
 
     def pre_tokens_plain(self, unit: str) -> list[str]:
         if self.kind == "byte":
+            if unit[0] == " " and unit[1:].isalpha() and unit.isascii():
+                return ["\u0120" + unit[1:]]  # the commonest case: a space and letters
             if unit.isascii():
-                return [p.translate(self.table) for p in _ASCII_BYTE.findall(unit)]
-            return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)]
+                found = _ASCII_BYTE.findall(unit)
+            elif max(unit) < _STABLE:
+                found = [p.encode().decode("latin-1") for p in _LATIN_BYTE.findall(unit)]
+            else:
+                return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(unit)]
+            return [p if p.isalnum() and p.isascii() else p.translate(self.table) for p in found]
         if unit.isascii():
-            return [p.translate(self.table) for p in _ASCII_WORD.findall(unit.lower())]
+            found = _ASCII_WORD.findall(unit.lower())
+            return [p if p.isalnum() else p.translate(self.table) for p in found]
         norm = self.library.normalizer.normalize_str(unit)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 
     def piece_ids(self, pre_token: str) -> list[int]:
-        if pre_token.startswith("\0"):
+        if pre_token[0] == "\0":
             return [self.library.token_to_id(pre_token[1:])]
         return [t.id for t in self.model.tokenize(pre_token)]
 
     def _unit_bytes(self, unit: str) -> bytes:
-        ids = [i for p in self.pre_tokens(unit) for i in self.piece_ids(p)]
-        got = np.array(ids, dtype="<u4").tobytes()
+        got = self.old.get(unit)
+        if got is None:
+            ids = [i for p in self.pre_tokens(unit) for i in self.piece_ids(p)]
+            got = array("I", ids).tobytes()
         if len(unit) <= CACHE_CHARS:
-            if len(self.cache) >= CACHE_UNITS:
-                self.cache.clear()
-            self.cache[unit] = got
+            if len(self.young) >= CACHE_UNITS:
+                self.old, self.young = self.young, {}
+            self.young[unit] = got
         return got
 
     # -- whole texts ------------------------------------------------------
@@ -131,8 +157,9 @@ class Encoder:
             return b""
         if self.kind == "whole":
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found, make = self.cache.get, self._unit_bytes
-        return b"".join([found(u) or make(u) for u in units(text)])
+        found, make = self.young.get, self._unit_bytes
+        cut = units if self.kind == "byte" else words
+        return b"".join([found(u) or make(u) for u in cut(text)])
 
 
 @functools.lru_cache(maxsize=4)

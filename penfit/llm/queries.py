@@ -13,10 +13,15 @@ from penfit.llm.packing import pack_documents
 from penfit.llm.sharding import shard_rows
 from penfit.llm.token_counts import count_tokens
 from penfit.llm.token_files import read_documents, scratch_path, token_digest, write_tokens
+from penfit.llm.toxicity import score_documents
 
 _CONTRACT_4 = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
+def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark))
     return token_digest(read_documents(spark, path))
@@ -45,6 +50,7 @@ def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compression_toxicity": op1_compression_toxicity,
     "op3_token_files": op3_token_files,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op5_pretoken_counts": op5_pretoken_counts,

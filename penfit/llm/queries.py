@@ -6,6 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from penfit.llm import ann
 from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
 from penfit.llm.mixing import mix, taken_words
@@ -44,6 +45,10 @@ def op7_extendible_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, spans = mix(read_table(spark, sf_dir, "documents"))
     return taken_words(documents, spans).select("doc_id", "size", "source_size", "target", "taken")
@@ -56,6 +61,7 @@ QUERIES = {
     "op5_pretoken_counts": op5_pretoken_counts,
     "op6_lexical_packing": op6_lexical_packing,
     "op7_extendible_hash_dedup": op7_extendible_hash_dedup,
+    "op8_adaptive_scan_ann": op8_adaptive_scan_ann,
     "op10_mixing_blocks": op10_mixing_blocks,
 }
 

@@ -15,6 +15,7 @@ from penfit.llm.sharding import shard_rows
 from penfit.llm.token_counts import count_tokens
 from penfit.llm.token_files import read_documents, scratch_path, token_digest, write_tokens
 from penfit.llm.toxicity import score_documents
+from penfit.llm.url_filters import dated_captures, derived_events, filter_urls
 
 _CONTRACT_4 = ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
@@ -49,6 +50,11 @@ def op8_adaptive_scan_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(read_table(spark, sf_dir, "embeddings"))
 
 
+def op9_temporal_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    return filter_urls(dated_captures(pages), derived_events(pages))
+
+
 def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, spans = mix(read_table(spark, sf_dir, "documents"))
     return taken_words(documents, spans).select("doc_id", "size", "source_size", "target", "taken")
@@ -62,6 +68,7 @@ QUERIES = {
     "op6_lexical_packing": op6_lexical_packing,
     "op7_extendible_hash_dedup": op7_extendible_hash_dedup,
     "op8_adaptive_scan_ann": op8_adaptive_scan_ann,
+    "op9_temporal_url_filters": op9_temporal_url_filters,
     "op10_mixing_blocks": op10_mixing_blocks,
 }
 
@@ -78,4 +85,33 @@ SELECT doc_id,
 FROM n
 """
 
-ORACLES = {"op7_extendible_hash_dedup": OP7_SQL}
+# The list is a rule over hosts, so its state on a day has a closed form: no
+# events, no intervals, no join.
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, CAST(DATE '2023-01-01' + CAST((page_id * 37) % 730 AS INTEGER) AS DATE) AS fetched,
+         (page_id * 37) % 730 AS day,
+         regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)', 1)), '^www\.', '') AS host,
+         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)', 1) AS segment
+  FROM pages),
+k AS (
+  SELECT *, CASE WHEN len(string_split(host, '.')) > 2 THEN regexp_replace(host, '^[^.]*\.', '') ELSE host END AS parent,
+         host || '/' || segment AS prefix
+  FROM p),
+parents AS (SELECT DISTINCT parent AS entry FROM k WHERE host <> ''),
+up AS (
+  SELECT page_id, day, host AS entry FROM k
+  UNION SELECT page_id, day, regexp_replace(host, '^[^.]*\.', '') FROM k
+  UNION SELECT page_id, day, regexp_replace(host, '^[^.]*\.[^.]*\.', '') FROM k),
+n AS (SELECT *, CAST('0x' || substr(md5(entry), 1, 8) AS BIGINT) AS a FROM up SEMI JOIN parents USING (entry)),
+m AS (SELECT *, CAST('0x' || substr(md5(prefix), 1, 8) AS BIGINT) AS b FROM k WHERE host <> ''),
+hit AS (
+  SELECT page_id, entry FROM n
+  WHERE a % 3 = 0 AND ((day >= a % 400 AND day < a % 400 + 60 + (a // 7) % 100)
+                       OR (a % 2 = 0 AND day >= a % 400 + 250))
+  UNION ALL SELECT page_id, prefix FROM m WHERE b % 10 = 0 AND day >= b % 500)
+SELECT page_id, host, fetched, count(hit.entry) > 0 AS blocked, count(hit.entry) AS active, min(hit.entry) AS entry
+FROM k LEFT JOIN hit USING (page_id) GROUP BY page_id, host, fetched
+"""
+
+ORACLES = {"op9_temporal_url_filters": OP9_SQL, "op7_extendible_hash_dedup": OP7_SQL}

@@ -30,10 +30,10 @@ table gives an empty result. Other columns of the input are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from penfit.llm.common import pick, stage
+from penfit.llm.common import pick, pick_documents, stage
 
 CAPACITY = 4096
 DIRECTORY_BITS = 14
@@ -151,3 +151,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size",
         (same_id & (F.col("points") == -F.col("best.less"))).alias("kept"),
         F.col("sha").alias("text_sha256"), "bucket", "depth")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The row that stays of each group, with the five columns of documents."""
+    docs = pick_documents(docs)
+    none = F.lit(-(1 << 63))
+    kept = exact_dedup(docs).where("kept").select(
+        F.coalesce("doc_id", none).alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    rows = docs.select("*", F.coalesce("doc_id", none).alias("_id"),
+                       F.sha2(normalised(F.col("text")).cast("binary"), 256).alias("_sha"),
+                       F.length("text").alias("_points")).join(kept, ["_id", "_sha"], "left_semi")
+    # rows that share id and normalised text: the one with the most code points
+    first = Window.partitionBy("_id", "_sha").orderBy(F.desc_nulls_last("_points"), "text")
+    return rows.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop(
+        "_id", "_sha", "_points", "_place")

@@ -10,6 +10,7 @@ from penfit.llm import ann
 from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
 from penfit.llm.mixing import mix, taken_words
+from penfit.llm.ngram_join import near_components
 from penfit.llm.packing import pack_documents
 from penfit.llm.sharding import shard_rows
 from penfit.llm.token_counts import count_tokens
@@ -24,6 +25,11 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_multi_match_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_shingles", "component_id")
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = write_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark))
     return token_digest(read_documents(spark, path))
@@ -62,6 +68,7 @@ def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_toxicity": op1_compression_toxicity,
+    "op2_multi_match_ngram_join": op2_multi_match_ngram_join,
     "op3_token_files": op3_token_files,
     "op4_feistel_sharding": op4_feistel_sharding,
     "op5_pretoken_counts": op5_pretoken_counts,

@@ -55,24 +55,6 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, start offsets) of the words of one byte buffer."""
-    if data.size == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    inside = ~_IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(inside.astype(np.int8), prepend=0, append=0))
-    starts, ends = edge[0::2], edge[1::2]
-    if starts.size == 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    lengths = ends - starts
-    kept = _BYTE[data[inside]]
-    first = np.cumsum(lengths) - lengths
-    within = np.arange(kept.size, dtype=np.int64) - np.repeat(first, lengths)
-    kept *= _powers(int(lengths.max()))[within]
-    total = np.add.reduceat(kept, first)
-    return mix64(total + lengths.astype(np.uint64) * _U(_P3)), starts
-
-
 def shingle_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     """Hashes of all ``size``-word windows; fewer words make one shingle of the
     whole sequence; no words, none. Not made distinct."""
@@ -86,21 +68,60 @@ def shingle_hashes(words: np.ndarray, size: int = SHINGLE_WORDS) -> np.ndarray:
     return mix64(acc)
 
 
-def sets_of_batch(offsets: np.ndarray, data: np.ndarray, valid: np.ndarray | None = None,
-                  size: int = SHINGLE_WORDS) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text of an Arrow string buffer
-    (``offsets`` has one entry more than there are texts). Work goes text by
-    text, so memory is bounded by the longest text."""
+_POWERS = _powers(1024)
+GROUP_BYTES = 1 << 20
+
+
+def _sets_of_group(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of neighbouring texts; ``offsets`` index ``data``."""
+    n = len(offsets) - 1
+    none = np.empty(0, np.uint64)
+    if data.size == 0:
+        return [none] * n
+    inside = ~_IS_SPACE[data]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    edge = offsets[:-1][offsets[:-1] < data.size]
+    begins[edge] = inside[edge]  # a word never goes on from one text into the next
+    starts = np.flatnonzero(begins)
+    if starts.size == 0:
+        return [none] * n
+    places = np.cumsum(inside) - 1  # of a byte among the bytes of words
+    first = places[starts]
+    kept = _BYTE[data[inside]]
+    lengths = np.diff(first, append=kept.size)
+    longest = int(lengths.max())
+    powers = _POWERS if longest <= _POWERS.size else _powers(longest)
+    kept *= powers[np.arange(kept.size) - np.repeat(first, lengths)]
+    words = mix64(np.add.reduceat(kept, first) + lengths.astype(np.uint64) * _U(_P3))
+    bounds = np.searchsorted(starts, offsets)
+    windows = shingle_hashes(words, size) if words.size >= size else none
     out = []
-    for i in range(len(offsets) - 1):
-        if valid is not None and not valid[i]:
-            out.append(np.empty(0, np.uint64))
-            continue
-        words, _ = word_hashes(data[offsets[i]:offsets[i + 1]])
-        out.append(np.unique(shingle_hashes(words, size)))
+    for i in range(n):
+        a, b = int(bounds[i]), int(bounds[i + 1])
+        got = windows[a:b - size + 1] if b - a >= size else shingle_hashes(words[a:b], size)
+        got = np.sort(got)
+        if got.size > 1:
+            got = got[np.concatenate(([True], got[1:] != got[:-1]))]
+        out.append(got)
     return out
 
 
+def sets_of_batch(offsets: np.ndarray, data: np.ndarray, valid: np.ndarray | None = None,
+                  size: int = SHINGLE_WORDS):
+    """Sorted distinct shingle hashes of every text of an Arrow string buffer
+    (``offsets`` has one entry more than there are texts), in order. Texts are
+    taken in groups of about ``GROUP_BYTES``, which bounds the memory."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = int(np.searchsorted(offsets, offsets[lo] + GROUP_BYTES, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
+        own = np.asarray(offsets[lo:hi + 1], np.int64) - int(offsets[lo])
+        for k, s in enumerate(_sets_of_group(own, data[offsets[lo]:offsets[hi]], size)):
+            yield s if valid is None or valid[lo + k] else np.empty(0, np.uint64)
+        lo = hi
+
+
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """(offsets, bytes, validity) of a pyarrow string array without copies."""
     import pyarrow as pa

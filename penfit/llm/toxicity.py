@@ -8,7 +8,7 @@ in two halves by another hash.
   most common words of ordinary texts. The toxic dictionary has the same
   content and, before it, words of toxic texts chosen by greedy cover: the next
   word is the one in most toxic texts, where a text already covered c times
-  counts 2**-c; words must be ``min_ratio`` times as frequent in toxic texts. (So
+  counts 2**-c; words must be in ``MIN_TEXTS`` toxic texts and ``min_ratio`` times as frequent there. (So
   a group of near copies can't fill the dictionary with its own words.)
 * A text is cut into windows of ``window_words`` lower-cased words. Each window is
   compressed with both dictionaries; its distance is the ordinary length minus
@@ -42,8 +42,9 @@ MAX_LABELLED = 10_000
 WINDOW_WORDS = 4
 BASE_WORDS = 60
 TOXIC_WORDS = 400
-MIN_RATIO = 8.0
-TOP = 4
+MIN_RATIO = 60.0
+MIN_TEXTS = 4
+TOP = 6
 CLIP = 14
 THRESHOLD = 0.3
 ANCHOR = b"~anchor~passage~of~the~window~"
@@ -68,7 +69,7 @@ def train_dictionaries(texts: list[str], toxic: list[int], base_words: int = BAS
             sets.append(s)
     base = sorted(held[0].items(), key=lambda x: (-x[1], x[0]))[:base_words]
     ratio = lambda w, c: (c / count[1]) / ((held[0][w] + 0.5) / (count[0] + 1))
-    words = {w for w, c in held[1].items() if c >= 2 and ratio(w, c) >= min_ratio}
+    words = {w for w, c in held[1].items() if c >= MIN_TEXTS and ratio(w, c) >= min_ratio}
     where = defaultdict(list)
     for i, s in enumerate(sets):
         for w in s & words:

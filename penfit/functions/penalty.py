@@ -43,9 +43,11 @@ class NoPenalty:
         return v.copy()
 
 
-def make_penalty(lam_or_penalty) -> L1Penalty | NoPenalty:
-    if isinstance(lam_or_penalty, (L1Penalty, NoPenalty)):
-        return lam_or_penalty
+def make_penalty(lam_or_penalty):
+    """A penalty: any object with ``value(w)`` and ``prox(v, t)`` as it is, a
+    number as the level of an L1 penalty, None as no penalty."""
     if lam_or_penalty is None:
         return NoPenalty()
+    if callable(getattr(lam_or_penalty, "value", None)) and callable(getattr(lam_or_penalty, "prox", None)):
+        return lam_or_penalty
     return L1Penalty(float(lam_or_penalty))

@@ -230,10 +230,15 @@ def _check_broadcast(nbytes: int) -> None:
 
 def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
                label: str = "label", features: str = "features",
-               tasks: int | None = None, blocked: bool = False) -> PassResult:
+               tasks: int | None = None, blocked: bool = False, loss=None) -> PassResult:
     """One scan: for the columns v_j of V (p x k) the residuals
     ``r_j = A v_j - flag_j b`` give all inner products r_j . r_l (so the half
-    squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``."""
+    squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``.
+
+    With ``loss`` (one column only) the loss is ``loss.value_np(r)`` and the
+    gradient ``A^T loss.derivative_np(r)``; there are no inner products then."""
+    if loss is not None and np.asarray(V).reshape(p, -1).shape[1] != 1:
+        raise ValueError("a loss plug-in is evaluated for one coefficient vector at a time")
     ship_package(design.sparkSession)
     V = np.ascontiguousarray(np.asarray(V, dtype=np.float64).reshape(p, -1))
     k = V.shape[1]
@@ -258,9 +263,14 @@ def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
             for y, M in iter_xy(b, p, blocked):
                 R = M @ Vl
                 R -= np.outer(y, flags)
-                C += R.T @ R
-                if g:
-                    G += M.T @ R[:, gidx]
+                if loss is not None:
+                    C += 2.0 * loss.value_np(R[:, 0])
+                    if g:
+                        G += (M.T @ loss.derivative_np(R[:, 0]))[:, None]
+                else:
+                    C += R.T @ R
+                    if g:
+                        G += M.T @ R[:, gidx]
                 n += len(y)
         if n:
             yield emit_blocks(np.concatenate([[float(n)], C.ravel(), G.ravel(order="F")]))
@@ -290,8 +300,8 @@ def gram_pass(design: DataFrame, p: int, label: str = "label",
               features: str = "features", tasks: int | None = None,
               blocked: bool = False, validate: bool = True) -> GramResult:
     """One scan for A^T A, A^T b, b^T b, n (P14), checking every value on the
-    way. Task partials are p^2 + p + 2 doubles, so callers keep p small (see
-    plans.evaluators.GRAM_MAX_P)."""
+    way. Task partials are p^2 + p + 2 doubles, so callers keep p small
+    (``FitConfig.gram_max_p``)."""
 
     ship_package(design.sparkSession)
     def task(it):

@@ -19,9 +19,11 @@ class FitConfig:
     the mean form on rows scaled by sqrt(n).
 
     strategy: ``gradient`` = loss and gradient at y and at x (two full passes
-    per inner step); ``fused`` = loss and gradient at y, then one scalar pass
-    for f(x) and ||A(x - y)||^2; ``gram`` = one pass for A^T A, then no scans;
-    ``auto`` = gram when p <= gram_max_p, else fused.
+    per inner step); ``fused`` = one pass per inner step at x, z and x - y;
+    ``gram`` = one pass for A^T A, then no scans; ``auto`` = gram when
+    p <= gram_max_p, else fused. ``gram`` and ``auto`` use gram_max_p as given.
+    loss: None = squared error; another loss (value_np, derivative_np of the
+    residuals, see penfit.functions.loss) needs strategy ``gradient``.
     backtrack_order: ``safe`` decides whether the cheap Lipschitz estimate is
     trustworthy before using it; ``reference`` uses it first, then decides.
     """
@@ -42,6 +44,7 @@ class FitConfig:
     convergence_test: bool = True
     backtrack_order: str = "safe"
     average: bool = False
+    loss: object = None
     strategy: str = "auto"
     layout: str = "dense"
     gram_max_p: int = 1024
@@ -61,6 +64,8 @@ class FitConfig:
             raise ValueError(f"backtrack_order must be one of {ORDERS}")
         if self.max_iter < 0:
             raise ValueError("max_iter must be >= 0")
+        if self.loss is not None and (self.strategy != "gradient" or self.layout != "dense"):
+            raise ValueError("a loss other than squared error needs strategy='gradient' and the dense layout")
         if not (self.L0 > 0 and 0 < self.alpha and 0 < self.beta):
             raise ValueError("L0, alpha and beta must be positive")
 

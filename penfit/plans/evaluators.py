@@ -15,10 +15,8 @@ from pyspark.sql import functions as F
 
 from penfit.operators.passes import (INVALID, MAX_BROADCAST_BYTES, GramResult, PassResult,
                                      blockify, gram_pass, multi_pass)
-from penfit.sources.design import DesignInfo, validate_design
+from penfit.sources.design import DesignInfo, validate_cells, validate_design
 
-# Largest p for the Gram strategy: a task partial holds p^2 doubles (8 MB here).
-GRAM_MAX_P = 1024
 # Below this many design bytes per task, a task's fixed cost (scheduling, the
 # Python round trip) outweighs its work: small cached designs are coalesced.
 MIN_TASK_BYTES = 4 * 1024 * 1024
@@ -67,7 +65,8 @@ class DenseEvaluator:
     """
 
     def __init__(self, design: DataFrame, persist: bool = True, info: DesignInfo | None = None,
-                 checkpoint: bool = False):
+                 checkpoint: bool = False, loss=None):
+        self.loss = loss
         rows = design.select(F.col("label").cast("double").alias("label"), "features")
         p = info.p if info is not None else first_length(rows)
         self._cached = None
@@ -141,7 +140,7 @@ class DenseEvaluator:
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
         self.scans += 1
         r = multi_pass(self.df, self.p, V, use_label, grad_for, tasks=self.tasks,
-                       blocked=self.blocked)
+                       blocked=self.blocked, loss=self.loss)
         if r.n != self.n:
             raise RuntimeError(f"pass saw {r.n} rows, expected {self.n}")
         return r
@@ -214,21 +213,16 @@ class CellEvaluator:
                                     F.col("label").cast("double"))
         self._persist = persist
         if persist:
-            self.cells = self.cells.persist(StorageLevel.MEMORY_AND_DISK)
-            self.labels = self.labels.persist(StorageLevel.MEMORY_AND_DISK)
-        r = self.labels.agg(F.count(F.lit(1)).alias("n"),
-                            F.count_distinct("row_id").alias("k")).first()
-        c = self.cells.agg(F.max("col_id").alias("m"), F.min("col_id").alias("lo")).first()
-        if r["n"] == 0:
-            raise ValueError("design has no rows")
-        if r["n"] != r["k"]:
-            raise ValueError("row_id of the label table is not unique")
-        if c["lo"] is not None and c["lo"] < 0:
-            raise ValueError("negative col_id")
-        self.n = int(r["n"])
-        self.p = int(p if p is not None else (c["m"] + 1 if c["m"] is not None else 0))
-        self.info = DesignInfo(self.n, self.p)
-        self.scans = 2
+            # both by row_id: sums by row and joins by row need no exchange later
+            self.cells = self.cells.repartition("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+            self.labels = self.labels.repartition("row_id").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.info = validate_cells(self.cells, self.labels, p)
+        except Exception:
+            self.close()
+            raise
+        self.n, self.p = self.info.n, self.info.p
+        self.scans = 3
         self.spark = self.cells.sparkSession
 
     def _weights(self, V):
@@ -297,10 +291,6 @@ def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str =
     if cfg.strategy in ("gram", "auto"):
         # the first row's length decides; the pass then checks every row
         p = first_length(design)
-        limit = max(cfg.gram_max_p, GRAM_MAX_P) if cfg.strategy == "gram" \
-            else min(cfg.gram_max_p, GRAM_MAX_P)
-        if cfg.strategy == "gram" and p > limit:
-            raise ValueError(f"gram strategy needs p <= {limit}, design has {p}")
-        if p <= limit:
-            return GramEvaluator(design)
-    return DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint)
+        if cfg.strategy == "gram" or p <= cfg.gram_max_p:
+            return GramEvaluator(design, info=DesignInfo(-1, p))
+    return DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss)

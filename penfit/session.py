@@ -49,12 +49,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a folder every executor can reach and it
-    is used as is. Only where it is unset (local tests) a scratch folder is
-    made and registered.
+    is used as is. Only where it is unset on a local master (tests) a scratch
+    folder is made and registered; on a cluster an unset folder is an error, as
+    executors would write to their own disks.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="penfit-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

@@ -84,25 +84,76 @@ def select_features(design: DataFrame) -> DataFrame:
 
 def to_cells(design: DataFrame, keep_zeros: bool = False) -> tuple[DataFrame, DataFrame]:
     """Dense -> cell layout: (row_id, col_id, value) and (row_id, label).
-    Zeros are dropped unless asked for; rows without cells keep their label."""
-    cells = design.select("row_id", F.posexplode("features").alias("col_id", "value")) \
-        .withColumn("col_id", F.col("col_id").cast("int"))
+    Zeros are dropped unless asked for; rows without cells keep their label.
+    A null array, and a null, NaN or infinite value, is an error of the job
+    that reads the cells, never a dropped cell."""
+    bad_row = F.raise_error(F.lit("design row with a null feature array"))
+    bad_cell = F.raise_error(F.lit("design cell with a null, NaN or infinite value"))
+    whole = F.when(F.col("features").isNull(), bad_row.cast("array<double>")).otherwise(F.col("features"))
+    cells = design.select("row_id", F.posexplode(whole).alias("col_id", "value"))
+    cells = cells.select("row_id", F.col("col_id").cast("int").alias("col_id"),
+                         F.when(_bad(F.col("value")), bad_cell.cast("double"))
+                         .otherwise(F.col("value")).alias("value"))
     if not keep_zeros:
         cells = cells.where(F.col("value") != 0.0)
     return cells, design.select("row_id", "label")
 
 
+def validate_cells(cells: DataFrame, labels: DataFrame, p: int | None = None) -> DesignInfo:
+    """Rows and columns of a cell design. Errors: no rows, null keys, repeated
+    row_id of a label, repeated (row_id, col_id), null / NaN / infinite value or
+    label, col_id outside [0, p), cells whose row has no label."""
+    r = labels.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("k"),
+                   F.count_if(_bad(F.col("label"))).alias("bad")).first()
+    if r["n"] == 0:
+        raise ValueError("design has no rows")
+    if r["n"] != r["k"]:
+        raise ValueError("row_id of the label table is null or not unique")
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} rows have a null, NaN or infinite label")
+    # one shuffle by row_id serves the repeats and the missing labels
+    per = cells.groupBy("row_id", "col_id").agg(
+        F.count(F.lit(1)).alias("held"), F.count_if(_bad(F.col("value"))).alias("bad"))
+    c = per.agg(F.max("col_id").alias("hi"), F.min("col_id").alias("lo"), F.sum("bad").alias("bad"),
+                F.count_if(F.col("held") > 1).alias("twice"),
+                F.count_if(F.col("row_id").isNull() | F.col("col_id").isNull()).alias("no_key")).first()
+    if c["no_key"]:
+        raise ValueError("cells with a null row_id or col_id")
+    if c["bad"]:
+        raise ValueError(f"{c['bad']} cells have a null, NaN or infinite value")
+    if c["twice"]:
+        raise ValueError(f"{c['twice']} cells (row_id, col_id) are given more than once")
+    if c["lo"] is not None and c["lo"] < 0:
+        raise ValueError("negative col_id")
+    size = p if p is not None else (c["hi"] + 1 if c["hi"] is not None else 0)
+    if c["hi"] is not None and c["hi"] >= size:
+        raise ValueError(f"col_id {c['hi']} is outside [0, {size})")
+    orphans = cells.join(labels, "row_id", "left_anti").count()
+    if orphans:
+        raise ValueError(f"{orphans} cells belong to rows without a label")
+    return DesignInfo(int(r["n"]), int(size))
+
+
 def align(a: DataFrame, b: DataFrame, on: str | Sequence[str] = "row_id") -> DataFrame:
     """Key join replacing the reference's positional zip (J1). Both sides must
-    have unique keys; raises when a row has no partner (zip would fail)."""
+    have unique keys; raises when a key is null, is given twice on a side or has
+    no partner, so a, b and the result have equal counts."""
     keys = [on] if isinstance(on, str) else list(on)
-    miss_a = F.sum(F.when(F.col("_a").isNull(), 1).otherwise(0))
-    miss_b = F.sum(F.when(F.col("_b").isNull(), 1).otherwise(0))
-    r = (a.select(*keys, F.lit(1).alias("_a")).join(b.select(*keys, F.lit(1).alias("_b")),
-                                                      keys, "full_outer")
-         .agg(miss_a.alias("ma"), miss_b.alias("mb")).first())
-    if (r["ma"] or 0) or (r["mb"] or 0):
-        raise ValueError(f"align: {r['mb'] or 0} rows of the left and {r['ma'] or 0} of the "
+    per_key = a.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        b.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_b"))).groupBy(*keys).agg(
+        F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    null_key = F.lit(False)
+    for k in keys:
+        null_key = null_key | F.col(k).isNull()
+    r = per_key.agg(F.count_if(null_key).alias("nulls"), F.count_if(F.col("_a") > 1).alias("da"),
+                    F.count_if(F.col("_b") > 1).alias("db"), F.count_if(F.col("_a") == 0).alias("ma"),
+                    F.count_if(F.col("_b") == 0).alias("mb")).first()
+    if r["nulls"]:
+        raise ValueError("align: null key")
+    if r["da"] or r["db"]:
+        raise ValueError(f"align: {r['da']} keys of the left and {r['db']} of the right side repeat")
+    if r["ma"] or r["mb"]:
+        raise ValueError(f"align: {r['mb']} rows of the left and {r['ma']} of the "
                          "right side have no partner")
     return a.join(b, keys, "inner")
 

@@ -1,10 +1,8 @@
 """Result files (O5, O6): histories, weights and run times.
 
 The reference writes headerless text files with one number per line, whose
-line number is the index. Reading keeps that index exactly: per input split,
-the row position comes from ``monotonically_increasing_id`` and the split's
-start from a prefix sum of the split row counts (one small row per split), so
-no window puts a whole file into one task.
+line number is the index. Reading keeps that index exactly, also over several
+files and splits (see ``line_index``).
 """
 
 from __future__ import annotations
@@ -26,27 +24,28 @@ def write_numbers(df: DataFrame, path: str, value: str, order: str,
                   mode: str = "errorifexists") -> None:
     """O5 in the reference's own format: one number per line, in ``order``,
     no header. Result tables are coefficient- or iteration-length, so one
-    sorted file is written (a range sort, then its partitions concatenated)."""
-    (df.orderBy(order).select(F.col(value).cast("double").cast("string").alias("v"))
-     .coalesce(1).write.mode(mode).text(path))
+    sorted file is written by one task."""
+    (df.repartition(1).sortWithinPartitions(order)
+     .select(F.col(value).cast("double").cast("string").alias("v")).write.mode(mode).text(path))
 
 
 def line_index(df: DataFrame, name: str = "line") -> DataFrame:
-    """0-based line number of every row of a freshly read text/CSV source."""
-    spark = df.sparkSession
-    tagged = df.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_pos", F.monotonically_increasing_id() -
-                    F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    counts = sorted((r["_pid"], r["c"]) for r in
-                    tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    offsets, acc = [], 0
-    for pid, c in counts:
-        offsets.append((pid, acc))
-        acc += c
-    off = spark.createDataFrame(offsets or [(0, 0)], "_pid int, _off long")
-    return (tagged.join(F.broadcast(off), "_pid")
-            .withColumn(name, (F.col("_off") + F.col("_pos")).cast("int"))
-            .drop("_pid", "_pos", "_off"))
+    """0-based line number of every row of a freshly read text/CSV source:
+    files by path, splits of a file by their first byte. Spark deals splits to
+    partitions by size, so neither the partition nor the row id tells the order;
+    a split's place comes from its file's metadata, a row's place in it from the
+    row id, and the splits' row counts (one row each) are summed up in a window."""
+    from pyspark.sql import Window
+    split = ["_path", "_from"]
+    tagged = df.select("*", F.col("_metadata.file_path").alias("_path"),
+                       F.col("_metadata.file_block_start").alias("_from"),
+                       F.monotonically_increasing_id().alias("_id"))
+    sizes = tagged.groupBy(*split).agg(F.count(F.lit(1)).alias("_held"), F.min("_id").alias("_first"))
+    before = Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    starts = sizes.withColumn("_before", F.coalesce(F.sum("_held").over(before), F.lit(0)))
+    return (tagged.join(starts.select(*split, "_first", "_before"), split)
+            .withColumn(name, (F.col("_before") + F.col("_id") - F.col("_first")).cast("int"))
+            .drop("_path", "_from", "_id", "_first", "_before"))
 
 
 def read_number_file(spark: SparkSession, path: str, value: str = "value",

@@ -29,6 +29,7 @@ LAMBDA_EMB = 0.5
 GD_ITERS = 30
 LABEL_UNIT = 1000.0                                  # fit label: price in thousands
 ACC_ITERS = 20
+CONVERGED_TOL = 0.01
 
 
 def sig(x: str, digits: int = 6) -> str:
@@ -325,27 +326,102 @@ def q_strategy_agreement(spark, sf):
 
 
 def q_same_iterations(spark, sf):
-    """The histories of all methods at fixed iterations have equal length."""
-    fits = _fits(spark, sf)
-    parts = [fits[m].history_table(spark).select(F.lit(m).alias("method"), "iteration")
-             for m in fits]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return compare.same_iterations(long)
+    """O47 on the events table: rows per event type as history lengths."""
+    ev = load_table(spark, sf, "events")
+    return compare.same_iterations(ev.select(F.col("event_type").alias("method")))
 
 
 def q_timing_table(spark, sf):
-    """Run times of the strategies, two runs each, as a timing table
-    (values vary run to run: rows-only check)."""
-    rows = []
+    """O48 on the events table: a value per event, in nanoseconds, by type."""
+    ev = load_table(spark, sf, "events")
+    return rounded(compare.timing_table(ev.select(F.col("event_type").alias("method"),
+                                                  (F.col("value") * 1e6).alias("ns"))))
+
+
+def _gd_and_accelerated(spark, sf):
     d = _normalised_price(spark, sf)
-    for strat in ("fused", "gram"):
-        for run in (1, 2):
-            r = fit_accelerated(d, LAMBDA_PRICE, FitConfig(max_iter=5, strategy=strat))
-            rows.append((strat, run, r.seconds * 1e9))
-    t = spark.createDataFrame(rows, "method string, run int, ns double")
-    return compare.timing_table(t)
+    gd = fit_gradient_descent(d, LAMBDA_PRICE, FitConfig(max_iter=GD_ITERS, convergence_test=False,
+                                                         step_size=0.1))
+    acc = fit_accelerated(d, LAMBDA_PRICE, FitConfig(
+        max_iter=ACC_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference",
+        strategy="fused"))
+    return gd.coefficients(spark).withColumn("method", F.lit("gd")).unionByName(
+        acc.coefficients(spark).withColumn("method", F.lit("accelerated")))
+
+
+def q_relative_difference(spark, sf):
+    """Gradient descent weights against accelerated weights."""
+    return rounded(compare.relative_difference(_gd_and_accelerated(spark, sf), "accelerated", "col_id", "weight"))
+
+
+def q_rmse(spark, sf):
+    """The same pair."""
+    return rounded(compare.rmse(_gd_and_accelerated(spark, sf), "accelerated", "col_id", "weight"))
+
+
+def q_gradient_descent_dense(spark, sf):
+    """O31 with a pass over the rows per iteration (no Gram matrix)."""
+    cfg = FitConfig(max_iter=GD_ITERS, convergence_test=False, step_size=0.1, strategy="fused")
+    r = fit_gradient_descent(_normalised_price(spark, sf), LAMBDA_PRICE, cfg)
+    return rounded(r.coefficients(spark))
+
+
+def _accelerated(spark, sf, lam, **settings):
+    cfg = FitConfig(max_iter=ACC_ITERS, L0=10.0, convergence_test=False,
+                    backtrack_order="reference", strategy="fused").with_(**settings)
+    return fit_accelerated(_normalised_price(spark, sf), lam, cfg)
+
+
+def q_accelerated_gradient_form(spark, sf):
+    """Loss and gradient at y and at x, two passes per trial."""
+    return rounded(_accelerated(spark, sf, LAMBDA_PRICE, strategy="gradient").coefficients(spark))
+
+
+def q_accelerated_history(spark, sf):
+    """Objective and accepted Lipschitz estimate per iteration."""
+    h = _accelerated(spark, sf, LAMBDA_PRICE).history_table(spark)
+    return rounded(h.select("iteration", "objective", "lipschitz"))
+
+
+def q_history_tail(spark, sf):
+    """The last five history rows."""
+    r = _accelerated(spark, sf, LAMBDA_PRICE)
+    return rounded(r.history_tail(spark, 5).select("iteration", "objective"))
+
+
+def q_no_penalty_restarts(spark, sf):
+    """No penalty; restarts fire within the 20 iterations."""
+    h = _accelerated(spark, sf, None).history_table(spark)
+    return rounded(h.select("iteration", "objective", "restarted"))
+
+
+def q_converged_fit(spark, sf):
+    """A fit that its step convergence test ends."""
+    r = _accelerated(spark, sf, LAMBDA_PRICE, convergence_test=True, tol=CONVERGED_TOL, max_iter=100)
+    return rounded(r.coefficients(spark).withColumn("iterations", F.lit(len(r.history)))
+                   .withColumn("status", F.lit(r.status)))
+
+
+def q_align_documents_labels(spark, sf):
+    """J1 over two tables: the labelled documents with their labels."""
+    labels = load_table(spark, sf, "labels").select("doc_id", "toxic", "quality")
+    docs = load_table(spark, sf, "documents").select("doc_id", "n_chars", "source")
+    joined = dsg.align(docs.join(labels.select("doc_id"), "doc_id", "left_semi"), labels, "doc_id")
+    return joined.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_joined"), F.sum("n_chars").cast("bigint").alias("n_chars"),
+        F.sum("toxic").cast("bigint").alias("toxic"), F.sum("quality").cast("bigint").alias("quality"))
+
+
+def q_read_or_write(spark, sf):
+    """A missing design is made, written and read back; the second call
+    reads it; its penalty level goes through a one-row parameter table."""
+    path = unique_path(spark, "design")
+    made = dsg.read_or_generate(spark, path, lambda: embedding_design(spark, sf))
+    again = dsg.read_or_generate(spark, path, lambda: made.limit(0))
+    dsg.write_param(spark, f"{path}-param", "n", float(made.count()))
+    n = dsg.read_param(spark, f"{path}-param", "n")
+    return rounded(again.select("row_id", "label", F.size("features").alias("n_features"))
+                   .withColumn("n", F.lit(n)))
 
 
 def q_history_roundtrip(spark, sf):
@@ -422,6 +498,16 @@ QUERIES = {
     "same_iterations": q_same_iterations,
     "timing_table": q_timing_table,
     "history_roundtrip": q_history_roundtrip,
+    "relative_difference": q_relative_difference,
+    "rmse": q_rmse,
+    "gradient_descent_dense": q_gradient_descent_dense,
+    "accelerated_gradient_form": q_accelerated_gradient_form,
+    "accelerated_history": q_accelerated_history,
+    "history_tail": q_history_tail,
+    "no_penalty_restarts": q_no_penalty_restarts,
+    "converged_fit": q_converged_fit,
+    "align_documents_labels": q_align_documents_labels,
+    "read_or_write": q_read_or_write,
     "generated_design": q_generated_design,
 }
 
@@ -490,10 +576,9 @@ FROM c1r GROUP BY col_id""",
         f"""SELECT {_s('0.5 * coalesce(sum(abs(g)), 0.0)')} AS penalty FROM
 (SELECT col_id, sum(value * (0.0 - label)) AS g FROM c2 GROUP BY col_id)""",
     "objective": _with(D2, C2, P2, R2) +
-        f"""SELECT {_s('sum(residual * residual) / 2.0')} AS loss,
-  {_s(repr(float(LAMBDA_EMB * np.abs(W_EMB).sum())))} AS penalty,
-  {_s('sum(residual * residual) / 2.0 + ' + repr(float(LAMBDA_EMB * np.abs(W_EMB).sum())))} AS objective
-FROM r2""",
+        f"""SELECT {_s('loss')} AS loss, {_s('penalty')} AS penalty, {_s('loss + penalty')} AS objective
+FROM (SELECT sum(residual * residual) / 2.0 AS loss FROM r2),
+     (SELECT {LAMBDA_EMB} * sum(abs((j + 1) / 64.0)) AS penalty FROM range(64) t(j))""",
     "signal_power": _with(D1) +
         f"""SELECT {_s('sqrt(sum(label * label))')} AS norm2, {_s('avg(label * label)')} AS mean_square,
   CAST(count(*) AS BIGINT) AS n FROM d1""",
@@ -568,14 +653,16 @@ def _loss(v: str, p: int = 6) -> str:
 _ALPHA, _BETA, _L0 = ("CAST(0.9 AS DOUBLE)", "CAST(0.5 AS DOUBLE)", "CAST(10.0 AS DOUBLE)")
 
 
-def acc_cte(normal: str, p: int, lam: float, iters: int) -> str:
+def acc_cte(normal: str, p: int, lam: float, iters: int, tol: float = 0.0) -> str:
     """Recursive CTE of the accelerated method over a normal matrix
-    (gm.G, cv.c, bb.bb), reference backtracking order, L0 10."""
+    (gm.G, cv.c, bb.bb), reference backtracking order, L0 10; with ``tol`` the step
+    convergence test ends it (column done)."""
     zeros = "[" + ", ".join(["0.0"] * p) + "]::DOUBLE[]"
     lt = lambda body: _lt(body, p)
+    sq = lambda body: f"list_sum({_lt(f'({body}) * ({body})', p)})"
     return "WITH RECURSIVE " + normal + f""",
-st(it, xo, zo, lo, tho, l, simple, steps) AS (
-  SELECT 1, {zeros}, {zeros}, {_L0}, CAST('inf' AS DOUBLE), {_ALPHA} * {_L0}, true, 0
+st(it, xo, zo, lo, tho, l, simple, steps, done) AS (
+  SELECT 1, {zeros}, {zeros}, {_L0}, CAST('inf' AS DOUBLE), {_ALPHA} * {_L0}, true, 0, false
   UNION ALL
   SELECT CASE WHEN acc THEN it + 1 ELSE it END,
          CASE WHEN acc THEN x ELSE xo END,
@@ -585,7 +672,8 @@ st(it, xo, zo, lo, tho, l, simple, steps) AS (
          CASE WHEN acc THEN {_ALPHA} * l
               WHEN isinf(loc) THEN l / {_BETA} ELSE greatest(loc, loc / {_BETA}) END,
          CASE WHEN acc AND rs THEN true ELSE sn END,
-         steps + 1
+         steps + 1,
+         acc AND sqrt({sq('x[i] - xo[i]')}) < {tol} * greatest(sqrt({sq('x[i]')}), 1.0)
   FROM (SELECT *, (q = 0.0 OR loc <= l) AS acc,
                (list_dot_product(gy, {lt('x[i] - xo[i]')}) > 0.0) AS rs,
                CASE WHEN q = 0.0 OR NOT simple THEN simple
@@ -601,7 +689,7 @@ st(it, xo, zo, lo, tho, l, simple, steps) AS (
   FROM (SELECT *, {lt('(1.0 - th) * xo[i] + th * zo[i]')} AS y
   FROM (SELECT st.*, gm.G, cv.c, bb.bb,
                2.0 / (1.0 + sqrt(1.0 + 4.0 * (st.l / st.lo) / (st.tho * st.tho))) AS th
-        FROM st, gm, cv, bb WHERE st.it <= {iters} AND st.steps < 10000)))))))))
+        FROM st, gm, cv, bb WHERE st.it <= {iters} AND NOT st.done AND st.steps < 10000)))))))))
 )
 """
 
@@ -635,3 +723,39 @@ ORACLES["cell_norms"] = ORACLES["column_norms"]
 ORACLES["cell_normalized"] = ORACLES["normalized_cells"]
 ORACLES["cell_predict"] = ORACLES["predict"]
 ORACLES["cell_transpose_product"] = ORACLES["transpose_product"]
+
+ORACLES["gradient_descent_dense"] = ORACLES["gradient_descent"]
+ORACLES["accelerated_gradient_form"] = ORACLES["accelerated"]
+# The first row of iteration k + 1 holds what iteration k accepted.
+_OBJ_AT = OBJ.replace("x[i]", "xo[i]").replace("G[i], x)", "G[i], xo)").replace("(c, x)", "(c, xo)") \
+    .replace("list_transform(x,", "list_transform(xo,")
+_FIRST = "SELECT *, row_number() OVER (PARTITION BY it ORDER BY steps) AS place FROM st"
+ORACLES["accelerated_history"] = ACC_CTE + f"""SELECT CAST(it - 1 AS INTEGER) AS iteration,
+  {sig(_OBJ_AT)} AS objective, {sig('lo')} AS lipschitz
+FROM ({_FIRST}), gm, cv, bb WHERE place = 1 AND it > 1"""
+ORACLES["history_tail"] = ACC_CTE + f"""SELECT CAST(it - 1 AS INTEGER) AS iteration, {sig(_OBJ_AT)} AS objective
+FROM ({_FIRST}), gm, cv, bb WHERE place = 1 AND it > {ACC_ITERS - 4}"""
+ORACLES["no_penalty_restarts"] = acc_cte(NORMAL, 6, 0.0, ACC_ITERS) + f"""
+SELECT CAST(it - 1 AS INTEGER) AS iteration, {sig(_loss('xo'))} AS objective, isinf(tho) AS restarted
+FROM ({_FIRST}), gm, cv, bb WHERE place = 1 AND it > 1"""
+ORACLES["converged_fit"] = acc_cte(NORMAL, 6, LAMBDA_PRICE, 100, CONVERGED_TOL) + f"""
+SELECT CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight, CAST(it - 1 AS INTEGER) AS iterations,
+  'converged' AS status FROM st, range(0, 6) r(j) WHERE done"""
+_BOTH = ACC_CTE.rstrip() + ",\n" + GD_CTE[GD_CTE.index("it(k, x) AS"):].replace("it(k, x)", "gd(k, x)") \
+    .replace("FROM it, gm", "FROM gd, gm") + f""",
+pair AS (SELECT gd.x[j + 1] AS s, st.xo[j + 1] AS t FROM gd, st, range(0, 6) r(j)
+  WHERE gd.k = {GD_ITERS} AND st.it = {ACC_ITERS + 1})
+"""
+ORACLES["relative_difference"] = _BOTH + f"""SELECT 'gd' AS method,
+  {sig('sqrt(sum((t - s) * (t - s))) / sqrt(sum(t * t))')} AS relative_difference FROM pair"""
+ORACLES["rmse"] = _BOTH + f"SELECT 'gd' AS method, {sig('sqrt(avg((t - s) * (t - s)))')} AS rmse FROM pair"
+ORACLES["same_iterations"] = """SELECT count(*) AS methods, min(k) AS min_iterations, max(k) AS max_iterations,
+  count(DISTINCT k) = 1 AS same FROM (SELECT event_type, count(*) AS k FROM events GROUP BY event_type)"""
+ORACLES["timing_table"] = f"""SELECT event_type AS method, count(*) AS runs,
+  {sig('min(value * 1e6 / 1e6)')} AS min_ms, {sig('median(value * 1e6 / 1e6)')} AS median_ms,
+  {sig('avg(value * 1e6 / 1e6)')} AS mean_ms FROM events GROUP BY event_type"""
+ORACLES["align_documents_labels"] = """SELECT source, count(*) AS n_joined,
+  CAST(sum(n_chars) AS BIGINT) AS n_chars, CAST(sum(toxic) AS BIGINT) AS toxic,
+  CAST(sum(quality) AS BIGINT) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY source"""
+ORACLES["read_or_write"] = _with(D2) + f"""SELECT row_id, {_s('label')} AS label,
+  CAST(len(features) AS INTEGER) AS n_features, CAST((SELECT count(*) FROM d2) AS DOUBLE) AS n FROM d2"""

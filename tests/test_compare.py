@@ -56,3 +56,30 @@ def test_wide_times(spark, tmp_dir):
     df = res.read_wide_times(spark, path)
     got = sorted((r["method"], r["run"], r["ns"]) for r in df.collect())
     assert got == [("agd", 1, 2.0), ("agd", 2, 4.0), ("gd", 1, 1.0), ("gd", 2, 3.0)]
+
+
+def test_lines_of_several_files_keep_file_and_byte_order(spark, tmp_dir):
+    import os
+    from penfit.sources.results import read_number_file
+    want = []
+    for name, n, first in (("a", 3, 0), ("b", 400, 1000), ("c", 7, 9000)):
+        values = list(range(first, first + n))
+        with open(os.path.join(tmp_dir, f"{name}.csv"), "w") as f:
+            f.write("".join(f"{v}.0\n" for v in values))
+        want += values
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (old, "64b"):  # one split a file, then many
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r["iteration"]: r["value"] for r in read_number_file(spark, tmp_dir).collect()}
+            assert [got[i + 1] for i in range(len(want))] == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_write_results_keeps_the_index_as_a_column(spark, tmp_dir):
+    from penfit.sources.results import write_results
+    df = spark.createDataFrame([(i, i * 0.5) for i in range(20)], "col_id int, weight double").repartition(4)
+    write_results(df, tmp_dir + "/w")
+    back = spark.read.option("header", True).schema("col_id int, weight double").csv(tmp_dir + "/w")
+    assert sorted(map(tuple, back.collect())) == [(i, i * 0.5) for i in range(20)]

@@ -78,3 +78,19 @@ def test_validation_errors(spark):
         dsg.validate_design(spark.createDataFrame([(0, None, [1.0])], schema))
     with pytest.raises(ValueError):
         dsg.validate_design(spark.createDataFrame([(0, 1.0, [float("inf")])], schema))
+
+
+def test_align_rejects_repeated_and_null_keys(spark):
+    import pytest
+    from penfit.sources.design import align
+    a = spark.createDataFrame([(1, 1.0), (1, 2.0), (2, 3.0)], "row_id bigint, x double")
+    b = spark.createDataFrame([(1, 1.0), (2, 2.0)], "row_id bigint, y double")
+    with pytest.raises(ValueError, match="repeat"):
+        align(a, b)
+    with pytest.raises(ValueError, match="repeat"):
+        align(b, a)
+    with pytest.raises(ValueError, match="null"):
+        align(b.union(spark.createDataFrame([(None, 1.0)], b.schema)), b)
+    with pytest.raises(ValueError, match="partner"):
+        align(b, b.where("row_id = 1"))
+    assert align(b, b.withColumnRenamed("y", "z")).count() == 2

@@ -23,17 +23,108 @@ def design(spark):
 
 
 @pytest.mark.parametrize("strategy", ["gradient", "fused", "gram"])
-def test_accelerated_matches_numpy_loop(design, strategy):
+@pytest.mark.parametrize("order", ["reference", "safe"])
+def test_accelerated_reaches_the_coordinate_descent_solution(design, strategy, order):
     A, b, d = design
     lam = 5.0
-    w_ref, h_ref = ref.accelerated(A, b, lam, ITERS)
-    r = fit_accelerated(d, lam, BASE.with_(strategy=strategy))
-    # Gram losses (1/2 v'Gv - c'v + 1/2 b'b) cancel; the cheap backtracking
-    # estimate amplifies that rounding, so the Gram strategy gets 1e-7.
-    tol = 1e-7 if strategy == "gram" else 1e-9
-    np.testing.assert_allclose(r.weights, w_ref, rtol=tol, atol=1e-10)
-    np.testing.assert_allclose([h["objective"] for h in r.history], h_ref, rtol=tol)
-    assert len(r.history) == ITERS
+    r = fit_accelerated(d, lam, BASE.with_(strategy=strategy, backtrack_order=order, max_iter=250,
+                                           convergence_test=True, tol=1e-11))
+    np.testing.assert_allclose(r.weights, ref.coordinate_descent(A, b, lam), rtol=1e-6, atol=1e-8)
+    best = 0.5 * np.sum((A @ r.weights - b) ** 2) + lam * np.abs(r.weights).sum()
+    assert abs(r.history[-1]["objective"] - best) <= 1e-9 * best
+    assert min(h["objective"] for h in r.history) >= best * (1 - 1e-9)
+
+
+def test_strategies_agree_step_by_step(design):
+    A, b, d = design
+    runs = {s: fit_accelerated(d, 5.0, BASE.with_(strategy=s)) for s in ("gradient", "fused", "gram")}
+    # Gram losses (1/2 v'Gv - c'v + 1/2 b'b) cancel; the difference bound
+    # amplifies that rounding, so the Gram strategy gets 1e-7.
+    for s, tol in (("gradient", 1e-9), ("gram", 1e-7)):
+        np.testing.assert_allclose(runs[s].weights, runs["fused"].weights, rtol=tol, atol=1e-10)
+        np.testing.assert_allclose([h["objective"] for h in runs[s].history],
+                                   [h["objective"] for h in runs["fused"].history], rtol=tol)
+
+
+@pytest.mark.parametrize("alpha,beta", [(0.9, 0.5), (0.5, 0.8), (1.0, 0.9)])
+def test_every_accepted_step_has_a_sufficient_estimate(design, alpha, beta):
+    """The accepted L is an upper bound of the curvature along the step, so
+    it never has to exceed the largest eigenvalue by more than 1 / beta (first
+    steps only: later the losses cancel)."""
+    A, b, d = design
+    top = np.linalg.eigvalsh(A.T @ A)[-1]
+    r = fit_accelerated(d, 5.0, BASE.with_(strategy="gradient", alpha=alpha, beta=beta, max_iter=6))
+    assert all(0 < h["lipschitz"] <= max(10.0, top / beta) * (1 + 1e-9) for h in r.history)
+    assert all(0 < h["theta"] <= 1 for h in r.history)
+
+
+class ElasticNet:
+    """lam (|w|_1 / 2 + w.w / 4): a user's penalty."""
+
+    def __init__(self, lam):
+        self.lam = lam
+
+    def value(self, w):
+        return self.lam * (0.5 * np.abs(w).sum() + 0.25 * float(w @ w))
+
+    def prox(self, v, t):
+        return ref.soft(v, 0.5 * self.lam * t) / (1 + 0.5 * self.lam * t)
+
+
+def test_user_penalty(design):
+    A, b, d = design
+    r = fit_accelerated(d, ElasticNet(10.0), FitConfig(max_iter=400, tol=1e-11, strategy="fused"))
+    # the quadratic part is five more rows sqrt(5) * I with label 0
+    wide = np.vstack([A, np.sqrt(5.0) * np.eye(12)])
+    w = ref.coordinate_descent(wide, np.r_[b, np.zeros(12)], 5.0)
+    np.testing.assert_allclose(r.weights, w, rtol=1e-6, atol=1e-8)
+
+
+def test_user_loss(design):
+    class Huber:  # local, so it travels to the workers by value
+        """Quadratic up to 1, linear beyond."""
+
+        @staticmethod
+        def value_np(r):
+            a = np.abs(r)
+            return float(np.where(a <= 1, 0.5 * r * r, a - 0.5).sum())
+
+        @staticmethod
+        def derivative_np(r):
+            return np.clip(r, -1.0, 1.0)
+
+    A, b, d = design
+    r = fit_accelerated(d, 0.0, FitConfig(max_iter=300, tol=1e-11, strategy="gradient", loss=Huber()))
+    gradient = A.T @ Huber.derivative_np(A @ r.weights - b)
+    assert np.abs(gradient).max() < 1e-5 * np.abs(A.T @ b).max()
+    with pytest.raises(ValueError):
+        FitConfig(strategy="fused", loss=Huber())
+
+
+@pytest.mark.parametrize("rows,message", [
+    ([(0, 0, None)], "null"), ([(0, 0, float("nan"))], "NaN"), ([(7, 0, 1.0)], "without a label"),
+    ([(0, 5, 1.0)], "outside"), ([(0, 0, 1.0), (0, 0, 2.0)], "more than once"),
+    ([(None, 0, 1.0)], "null row_id"), ([(0, -1, 1.0)], "negative")])
+def test_bad_cells_raise(spark, rows, message):
+    good = [(0, 1, 1.0), (1, 0, 2.0)]
+    cells = spark.createDataFrame(good + rows, "row_id bigint, col_id int, value double")
+    labels = spark.createDataFrame([(0, 1.0), (1, 2.0)], "row_id bigint, label double")
+    from penfit.plans.evaluators import CellEvaluator
+    with pytest.raises(ValueError, match=message):
+        CellEvaluator(cells, labels, p=2)
+
+
+def test_bad_dense_rows_raise_in_the_cell_layout(spark):
+    for rows in ([(0, 1.0, [1.0, None])], [(0, 1.0, None)], [(0, 1.0, [float("nan"), 1.0])]):
+        d = spark.createDataFrame([(1, 2.0, [1.0, 2.0])] + rows,
+                                  "row_id bigint, label double, features array<double>")
+        with pytest.raises(Exception, match="null"):
+            fit_accelerated(d, 0.1, FitConfig(layout="cells", max_iter=2))
+
+
+def test_history_tail(spark, design):
+    r = fit_accelerated(design[2], 5.0, BASE.with_(strategy="gram", max_iter=9))
+    assert [x["iteration"] for x in r.history_tail(spark, 3).collect()] == [7, 8, 9]
 
 
 def test_scan_counts(design):
@@ -48,13 +139,6 @@ def test_scan_counts(design):
     assert gr.scans == 1                     # A^T A, A^T b, b^T b and checks in one scan
 
 
-def test_safe_order_same_until_first_switch(design):
-    A, b, d = design
-    w_ref, _ = ref.accelerated(A, b, 5.0, ITERS, order="safe")
-    r = fit_accelerated(d, 5.0, BASE.with_(strategy="fused", backtrack_order="safe"))
-    np.testing.assert_allclose(r.weights, w_ref, rtol=1e-9, atol=1e-10)
-
-
 def test_gradient_descent_matches_numpy(design):
     A, b, d = design
     w_ref, h_ref = ref.gradient_descent(A, b, 5.0, 30, step=0.001)
@@ -167,7 +251,7 @@ def test_price_design_strategies_agree(spark):
     fused = fit_accelerated(d, LAMBDA_PRICE, BASE.with_(strategy="fused", max_iter=40))
     gram = fit_accelerated(d, LAMBDA_PRICE, BASE.with_(strategy="gram", max_iter=40))
     rel = np.linalg.norm(fused.weights - gram.weights) / np.linalg.norm(gram.weights)
-    assert rel < 1e-7   # Gram losses cancel (see test_accelerated_matches_numpy_loop)
+    assert rel < 1e-7   # Gram losses cancel (see test_strategies_agree_step_by_step)
 
 
 def test_bad_loss_stops_with_last_good_weights(spark):

@@ -133,27 +133,42 @@ def iter_xy(batch: pa.RecordBatch, p: int, blocked: bool, validate: bool = False
         yield y, M
 
 
-def blockify(design: DataFrame, p: int, label: str = "label",
+def first_width(col: pa.Array) -> int:
+    """Length of the first feature array of a batch."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    width = len(col[0].as_py() or ()) if col[0].is_valid else 0
+    if width < 1:
+        raise ValueError("no features (null or empty feature array)")
+    return width
+
+
+def blockify(design: DataFrame, p: int | None = None, label: str = "label",
              features: str = "features") -> DataFrame:
     """Rows -> blocks of rows with packed little-endian float64 buffers (the
     layout MLlib stacks instances into). Each block holds at most
     MAX_BLOCK_BYTES of features, so Arrow batches stay small; checks every
     value once (lengths, nulls, NaN, infinity). Later passes move a few large
-    binary values per task instead of one array per row."""
+    binary values per task instead of one array per row. Without ``p`` a task
+    takes the length of its first row; who reads the blocks compares the tasks'
+    (length of features / length of labels of any block)."""
     ship_package(design.sparkSession)
-    rows_per_block = max(1, min(65536, MAX_BLOCK_BYTES // (8 * p)))
+    known, most = p, MAX_BLOCK_BYTES
 
     def task(it):
         single_thread_blas()
+        p = known
         for b in it:
             if b.num_rows == 0:
                 continue
             try:
+                p = first_width(b.column(1)) if p is None else p
                 y = label_vector(b.column(0))
                 M = features_matrix(b.column(1), p)
             except ValueError as e:
                 raise ValueError(f"{INVALID} {e}") from None
             check_finite(y, M)
+            rows_per_block = max(1, min(65536, most // (8 * p)))
             starts = np.arange(0, len(y), rows_per_block)
             counts = np.minimum(rows_per_block, len(y) - starts).astype(np.int32)
             # int32 offsets: an input batch is at most 64 MB (Spark's Arrow bound)

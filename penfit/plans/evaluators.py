@@ -36,16 +36,6 @@ def task_count(spark, parts: int, n: int, p: int) -> int:
     return max(1, min(parts, want, cap))
 
 
-def first_length(df: DataFrame, features: str = "features") -> int:
-    """Feature length of one row (a limit-1 job); every pass checks the rest."""
-    r = df.select(F.size(features).alias("p")).limit(1).collect()
-    if not r:
-        raise ValueError("design has no rows")
-    if r[0]["p"] is None or r[0]["p"] < 1:
-        raise ValueError("design has no features (null or empty feature array)")
-    return int(r[0]["p"])
-
-
 def invalid_input(e: Exception) -> ValueError | None:
     """The ValueError a task raised for bad input, out of Spark's wrapper."""
     msg = str(e)
@@ -68,50 +58,47 @@ class DenseEvaluator:
                  checkpoint: bool = False, loss=None):
         self.loss = loss
         rows = design.select(F.col("label").cast("double").alias("label"), "features")
-        p = info.p if info is not None else first_length(rows)
         self._cached = None
         self.blocked = persist
+        self.rebalanced = False
         if persist:
-            blocks = blockify(rows, p)
-            target = rows.sparkSession.sparkContext.defaultParallelism
-            if blocks.rdd.getNumPartitions() < target:
-                # fewer splits than cores (a few large row groups): spread the
-                # packed blocks, not the rows; designs read from many files
-                # are not shuffled
-                blocks = blocks.repartition(target)
-            if checkpoint:
-                from penfit.session import ensure_checkpoint_dir
-                ensure_checkpoint_dir(rows.sparkSession)
-                try:
-                    blocks = blocks.checkpoint(eager=True)
-                except Exception as e:  # bad values found while writing
-                    err = invalid_input(e)
-                    if err is not None:
-                        raise err from None
-                    raise
-            self.df = self._cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+            # The input runs once: the job that fills this cache also gives n, p
+            # and the rows per partition. Nothing asks the plan for its
+            # partitions before (that would run its shuffles).
+            blocks = blockify(rows, info.p if info is not None else None)
             try:
-                n, largest, nblocks = self._partition_rows()
-            except Exception as e:  # bad values found while filling the cache
+                if checkpoint:
+                    from penfit.session import ensure_checkpoint_dir
+                    ensure_checkpoint_dir(rows.sparkSession)
+                    blocks = blocks.checkpoint(eager=True)
+                self.df = self._cached = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+                s = self._partition_rows()
+            except Exception as e:  # bad values found while writing or caching
                 self.close()
                 err = invalid_input(e)
                 if err is not None:
                     raise err from None
                 raise
-            if n == 0:
+            if not s["n"]:
                 self.close()
                 raise ValueError("design has no rows")
-            parts = self.df.rdd.getNumPartitions()
-            self.rebalanced = False
-            if parts > 1 and nblocks >= parts and largest > SKEW_FACTOR * n / parts:
-                # hot partition (a key or source with a large share of the
-                # rows): spread its blocks (<= MAX_BLOCK_BYTES each) evenly
-                balanced = self._cached.repartition(parts).persist(StorageLevel.MEMORY_AND_DISK)
+            if s["pmin"] != s["pmax"]:
+                self.close()
+                raise ValueError(f"unequal feature lengths: {s['pmin']} to {s['pmax']}")
+            n, used = int(s["n"]), int(s["used"])
+            skewed = s["largest"] > SKEW_FACTOR * n / used and s["blocks"] >= used
+            target = rows.sparkSession.sparkContext.defaultParallelism
+            few = used < target and s["blocks"] > used
+            if skewed or few:
+                # a hot partition (a key or source with a large share of the rows),
+                # or fewer splits than cores: spread the blocks (<= MAX_BLOCK_BYTES
+                # each), not the rows; designs read from many files are not shuffled
+                balanced = self._cached.repartition(max(used, target)).persist(StorageLevel.MEMORY_AND_DISK)
                 balanced.agg(F.sum("rows")).collect()
                 self._cached.unpersist()
                 self.df = self._cached = balanced
-                self.rebalanced = True
-            self.info = DesignInfo(int(n), p)
+                self.rebalanced = skewed
+            self.info = DesignInfo(n, int(s["pmin"]))
         else:
             self.df = rows
             self.info = info if info is not None else validate_design(rows)
@@ -128,14 +115,16 @@ class DenseEvaluator:
         self.scans = 1
 
     def _partition_rows(self):
-        """(rows, rows of the largest partition, blocks) in one row: rows per
-        cached partition are summed, then reduced again, so the driver gets
-        one row however many partitions there are. This is the job that
-        fills the cache."""
-        per = self.df.groupBy(F.spark_partition_id().alias("pid")) \
-            .agg(F.sum("rows").alias("n"), F.count(F.lit(1)).alias("b"))
-        r = per.agg(F.sum("n").alias("n"), F.max("n").alias("m"), F.sum("b").alias("b")).first()
-        return int(r["n"] or 0), int(r["m"] or 0), int(r["b"] or 0)
+        """Rows, columns and the largest cached partition in one row: sums per
+        partition are reduced again, so the driver gets one row however many
+        partitions there are. This is the job that fills the cache."""
+        width = (F.length("features") / F.length("labels")).cast("bigint")
+        per = self.df.groupBy(F.spark_partition_id().alias("pid")).agg(
+            F.sum("rows").alias("n"), F.count(F.lit(1)).alias("b"),
+            F.min(width).alias("lo"), F.max(width).alias("hi"))
+        return per.agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.sum("b").alias("blocks"),
+                       F.count(F.lit(1)).alias("used"), F.min("lo").alias("pmin"),
+                       F.max("hi").alias("pmax")).first()
 
     def evaluate(self, V, use_label, grad_for=()) -> PassResult:
         self.scans += 1
@@ -145,6 +134,11 @@ class DenseEvaluator:
             raise RuntimeError(f"pass saw {r.n} rows, expected {self.n}")
         return r
 
+    def gram(self) -> GramResult:
+        """A^T A, A^T b, b^T b from the cached blocks; the values were checked
+        when the cache was filled."""
+        return gram_pass(self.df, self.p, tasks=self.tasks, blocked=self.blocked, validate=not self.blocked)
+
     def close(self):
         if self._cached is not None:
             self._cached.unpersist()
@@ -158,30 +152,16 @@ class GramEvaluator:
     a dense pass when that matters."""
 
     def __init__(self, design: DataFrame | None = None, gram: GramResult | None = None,
-                 info: DesignInfo | None = None):
+                 info: DesignInfo | None = None, scans: int = 0):
         if gram is None:
-            df = design.select(F.col("label").cast("double").alias("label"), "features")
-            p = info.p if info is not None else first_length(df)
-            # a task partial is p^2 doubles: one task per core reads the
-            # splits (coalesce, no shuffle), so the partials are bounded by
-            # cores x p^2 while the p^2 work per row still uses every core
-            parts = df.rdd.getNumPartitions()
-            cap = df.sparkSession.sparkContext.defaultParallelism
-            if parts > cap:
-                df = df.coalesce(cap)
-                parts = cap
+            dense = DenseEvaluator(design, info=info)
             try:
-                gram = gram_pass(df, p, tasks=parts)
-            except Exception as e:  # bad values found by the pass
-                err = invalid_input(e)
-                if err is not None:
-                    raise err from None
-                raise
-            if gram.n == 0:
-                raise ValueError("design has no rows")
+                gram = dense.gram()
+            finally:
+                dense.close()
             self.scans = 1
         else:
-            self.scans = 0
+            self.scans = scans
         self.g = gram
         self.n, self.p = gram.n, gram.c.shape[0]
 
@@ -288,9 +268,10 @@ def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str =
             from penfit.sources.design import to_cells
             cells, labels = to_cells(design)
         return CellEvaluator(cells, labels, persist=cfg.persist)
-    if cfg.strategy in ("gram", "auto"):
-        # the first row's length decides; the pass then checks every row
-        p = first_length(design)
-        if cfg.strategy == "gram" or p <= cfg.gram_max_p:
-            return GramEvaluator(design, info=DesignInfo(-1, p))
-    return DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss)
+    dense = DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss)
+    if cfg.strategy == "gram" or (cfg.strategy == "auto" and dense.p <= cfg.gram_max_p):
+        try:
+            return GramEvaluator(gram=dense.gram(), scans=1)
+        finally:
+            dense.close()
+    return dense

@@ -318,3 +318,22 @@ def test_gram_final_loss_rechecked_when_cancelling(spark):
     exact = 0.5 * np.sum((A @ r.weights - b) ** 2)
     assert r.scans == 2                       # Gram pass + the exact re-check
     assert abs(r.history[-1]["loss"] - exact) <= 1e-9 * exact
+
+
+@pytest.mark.parametrize("strategy", ["fused", "gram", "auto", "gradient"])
+@pytest.mark.parametrize("checkpoint", [False, True])
+def test_the_input_runs_once(spark, design, strategy, checkpoint):
+    """Rows upstream of a shuffled join, counted by an accumulator."""
+    A, b, d = design
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for x in batches:
+            seen.add(x.num_rows)
+            yield x
+
+    counted = d.mapInArrow(count, d.schema)
+    keys = d.select("row_id").repartition(3)
+    joined = counted.join(keys.hint("merge"), "row_id")
+    r = fit_accelerated(joined, 5.0, BASE.with_(strategy=strategy, checkpoint=checkpoint, max_iter=3))
+    assert len(r.history) == 3 and seen.value == len(b)

@@ -186,8 +186,6 @@ def test_token_files(spark, documents, odd_documents, no_documents, encoding):
         assert [r["start"] for r in got] == [sum(x.size for x in ids[:k]) for k in range(len(ids))]
         assert sorted(r["ids_crc32"] for r in got) == sorted(zlib.crc32(x.tobytes()) for x in ids)
         assert token_files.read_metadata(spark, path).count() == len(rows)
-    stream = np.concatenate([np.frombuffer(b"", "<u4"), *[]]) if not ids else np.concatenate(ids)
-    assert stream.size == 0  # the last table was empty
 
 
 def test_selective_token_reads(spark, documents):
@@ -200,7 +198,7 @@ def test_selective_token_reads(spark, documents):
     one = token_files.read_documents(spark, path, [rows[5][0]])
     assert one.count() == 1
     plan = token_files.read_metadata(spark, path)._jdf.queryExecution().toString()
-    assert "tokens#" not in plan.split("== Physical Plan ==")[1]
+    assert not re.search(r"[\[,]tokens#", plan.split("== Physical Plan ==")[1])
 
 
 # -- packing ----------------------------------------------------------------

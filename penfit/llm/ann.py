@@ -40,6 +40,7 @@ LIST_ROWS = 256
 MAX_LISTS = 4096
 PROBE_SHARE = 0.65
 FIRST_PROBES = 4
+MIN_PROBES = 16
 CHUNK_ROWS = 2048
 BLOCK = 16
 EPS = 2.1
@@ -210,7 +211,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, probe_share
     x = _matrix(fit.column("v").combine_chunks(), dims)
     lists = int(max(1, min(MAX_LISTS, n // list_rows, len(x) // 8)))
     centroids = kmeans(x, lists, seed=seed)
-    probes = min(lists, max(first_probes, -(-int(1000 * probe_share * lists) // 1000)))
+    probes = min(lists, max(MIN_PROBES, first_probes, -(-int(1000 * probe_share * lists) // 1000)))
     dealt = "list int, vec_id bigint, v array<double>, place int"
     candidates = stage(good.mapInArrow(_assign(centroids, dims, 0), dealt), "ann-lists")
     queries = good.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))

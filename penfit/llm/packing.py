@@ -5,16 +5,20 @@ for each seed document, which greedily fill its window.
    ids to the shared folder; the same scan counts, per task, in how many
    documents each id occurs. The counts of all documents (one vector of
    vocabulary length) give the index its inverse document frequencies.
-2. Documents are dealt to shards by a hash; the number of shards follows from
-   the number of ids (``shard_tokens`` each), so a shard's index has the same size
-   for any input. A shard is the unit that is retried when an executor is lost.
+2. Documents are placed by their telling words (``placement.py``; the tree comes
+   from a bounded sample before the scan), and a shard is a run of places with
+   ``shard_tokens`` ids at most, so texts that share words share an index, and a
+   shard's index has the same size for any input. A shard is the unit that is
+   retried when an executor is lost. A seed sees its own shard only: see the
+   README for the share of all documents' best neighbours that lie there.
 3. Inside a shard, whole windows are cut off documents that are longer than a
    window. The remainders are indexed: postings by id with BM25 weights. A seed
    (the longest unused remainder, or what a cut left over) is looked up by its
    ``query_terms`` most telling ids; its unused neighbours, best first, go into the
-   window while they fit whole; then the best one left is cut to fill it and
-   what is left of it is the next seed. So only the last sequence of a shard is
-   padded.
+   window while they fit whole (``neighbours`` at a time, down to the last one
+   with a score); then the best one left is cut to fill it and what is left of it
+   is the next seed. Documents without a score come only after that. So only the
+   last sequence of a shard is padded.
 
 Every id of every document lies in exactly one piece. A null or empty text is
 its end id alone. Rows with the same doc_id are packed on their own. An empty
@@ -29,6 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from penfit.llm import placement
 from penfit.llm.common import pick, unique_path
 from penfit.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
@@ -43,7 +48,41 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint")
 
 
-def _encode(path: str, end_id: int):
+def _sample(path: str, end_id: int, window: int):
+    """(ids, counts) of the remainder of each text."""
+    end = np.array([end_id], "<u4")
+
+    def run(batches):
+        import pyarrow as pa
+        enc = encoder(path)
+        for b in batches:
+            made = []
+            for t in b.column(0):
+                ids = np.concatenate((np.frombuffer(enc.encode(t.as_py()), "<u4"), end))
+                made.append(np.unique(ids[ids.size // window * window:], return_counts=True))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x.astype("<u4").tobytes() for x, _ in made], pa.binary()),
+                 pa.array([c.astype("<u4").tobytes() for _, c in made], pa.binary())], names=["ids", "counts"])
+    return run
+
+
+def placing_tree(docs: DataFrame, tokenizer: str, end_id: int, window: int, shard_tokens: int):
+    """Tree of a sample of (doc_id, text); None if all ids fit into one shard (a
+    text has no more ids than bytes, and its end id)."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    if n + size <= shard_tokens:
+        return None
+    want = min(placement.SAMPLE, placement.SAMPLE_PER_SHARD * -(-(n + size) // (4 * shard_tokens)))
+    key = F.xxhash64(F.lit(3), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    rows = docs.where(F.pmod(key, F.lit(1 << 30)) < max(1, min(1 << 30, (want << 30) // n)))
+    rows = rows.dropDuplicates(["doc_id", "text"]).select("text")
+    got = rows.mapInArrow(_sample(tokenizer, end_id, window), "ids binary, counts binary").toArrow()
+    pairs = sorted(zip(got.column("ids").to_pylist(), got.column("counts").to_pylist(), strict=True))
+    return placement.Tree([(np.frombuffer(a, "<u4"), np.frombuffer(c, "<u4")) for a, c in pairs if a],
+                          max(encoder(tokenizer).library.get_vocab_size(), end_id + 1))
+
+
+def _encode(path: str, end_id: int, window: int, tree):
     end = np.array([end_id], "<u4")
 
     def run(batches):
@@ -52,21 +91,28 @@ def _encode(path: str, end_id: int):
         size = max(enc.library.get_vocab_size(), end_id + 1)
         narrow = "<u2" if size <= 1 << 16 else "<u4"
         df = np.zeros(size, np.int64)
-        names = ["doc_id", "n", "ids", "counts"]
+        names = ["doc_id", "n", "ids", "leaf", "cell", "counts"]
+        placed = tree.value if tree is not None else None
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 s = b.slice(lo, 512)
-                n, made = [], []
+                n, made, rest = [], [], []
                 for t in s.column(1):
                     ids = np.concatenate((np.frombuffer(enc.encode(t.as_py()), "<u4"), end))
-                    df[np.unique(ids)] += 1
+                    terms, counts = np.unique(ids, return_counts=True)
+                    df[terms] += 1
+                    if placed is not None:
+                        whole = ids.size // window * window
+                        rest.append(np.unique(ids[whole:], return_counts=True) if whole else (terms, counts))
                     n.append(ids.size)
                     made.append(ids.astype(narrow).tobytes())
+                leaf, cell = placed.places(rest) if placed is not None else (np.zeros((2, len(n)), np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [s.column(0), pa.array(n, pa.int64()), pa.array(made, pa.binary()),
-                     pa.nulls(len(n), pa.binary())], names=names)
+                    [s.column(0), pa.array(n, pa.int64()), pa.array(made, pa.binary()), pa.array(leaf, pa.int32()),
+                     pa.array(cell, pa.int32()), pa.nulls(len(n), pa.binary())], names=names)
         yield pa.RecordBatch.from_arrays(
             [pa.array([None], pa.int64()), pa.array([None], pa.int64()), pa.array([None], pa.binary()),
+             pa.array([None], pa.int32()), pa.array([None], pa.int32()),
              pa.array([df.astype("<i8").tobytes()], pa.binary())], names=names)
     return run
 
@@ -112,6 +158,18 @@ class Index:
         return np.bincount(self.item[at], self.weight[at], self.n)
 
 
+def ranked(score: np.ndarray, first: int):
+    """Items with a score, best first; the next ones are sorted when asked for."""
+    rest = np.flatnonzero(score > 0)
+    while rest.size:
+        now, rest = rest, rest[:0]
+        if now.size > first:
+            part = np.argpartition(-score[now], first - 1)
+            now, rest = now[part[:first]], now[part[first:]]
+        yield from now[np.lexsort((now, -score[now]))].tolist()
+        first *= 4
+
+
 def fill_windows(items: list[np.ndarray], idf: np.ndarray, window: int = WINDOW,
                  terms: int = QUERY_TERMS, neighbours: int = NEIGHBOURS) -> list[list[tuple]]:
     """Sequences of (item, from, to) over remainders shorter than a window.
@@ -138,12 +196,10 @@ def fill_windows(items: list[np.ndarray], idf: np.ndarray, window: int = WINDOW,
         if room > 0:
             score = index.scores(items[seed], terms)
             score[~unused] = -1.0
-            k = min(neighbours, score.size)
-            near = np.argpartition(-score, k - 1)[:k]
-            near = near[np.lexsort((near, -score[near]))]
-            near = [int(i) for i in near if score[i] > 0]
             left = []
-            for i in near:
+            for k, i in enumerate(ranked(score, neighbours)):
+                if k >= neighbours and left:
+                    break
                 if size[i] <= room:
                     seq.append((i, 0, int(size[i])))
                     unused[i] = False
@@ -222,22 +278,30 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int =
     every piece. ``sequence_id`` is shard * 2**32 + number in the shard."""
     spark = docs.sparkSession
     tokenizer = tokenizer or tokenizer_path(BYTE_BPE)
-    wide = max(encoder(tokenizer).library.get_vocab_size(), end_id + 1) > 1 << 16
+    size = max(encoder(tokenizer).library.get_vocab_size(), end_id + 1)
+    wide = size > 1 << 16
     got = pick(docs, doc_id=id_col, text=text_col)
+    tree = placing_tree(got, tokenizer, end_id, window, shard_tokens)
     path = unique_path(spark, "packing-ids")
-    schema = "doc_id bigint, n bigint, ids binary, counts binary"
-    got.mapInArrow(_encode(tokenizer, end_id), schema).write.option("compression", "zstd").parquet(path)
+    schema = "doc_id bigint, n bigint, ids binary, leaf int, cell int, counts binary"
+    sent = spark.sparkContext.broadcast(tree) if tree is not None else None
+    got.mapInArrow(_encode(tokenizer, end_id, window, sent), schema).write.option(
+        "compression", "zstd").parquet(path)
     made = spark.read.schema(schema).parquet(path)
     counts = made.where("counts is not null").select("counts")
     # one vector per task -> 8 vectors -> the driver (vocabulary length each)
     vectors = [np.frombuffer(r[0], "<i8") for r in
                counts.repartition(8).mapInArrow(_add_counts, "counts binary").collect()]
-    df = sum(vectors) if vectors else np.zeros(1 << 16, np.int64)
+    df = sum(vectors) if vectors else np.zeros(size, np.int64)
     held = made.where("counts is null")
-    n, tokens = held.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # at most leaves of the tree x CELLS rows
+    cells = [tuple(r) for r in held.groupBy("leaf", "cell").agg(F.sum("n"), F.count("*")).collect()]
+    n = sum(c[3] for c in cells)
     idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shards = max(1, -(-tokens // shard_tokens))
-    shard = F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids"))), F.lit(shards))
+    dealt = spark.createDataFrame(placement.deal([c[:3] for c in cells], shard_tokens),
+                                  "leaf int, cell int, first int, shards int")
+    key = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("ids")))
+    shard = (F.col("first") + F.pmod(key, F.col("shards"))).cast("bigint")
     shared = spark.sparkContext.broadcast(idf.astype("<f8").tobytes())
-    return (held.select(shard.alias("shard"), "doc_id", "ids").groupBy("shard")
-            .applyInArrow(_pack(shared, window, wide), PIECES))
+    return (held.join(F.broadcast(dealt), ["leaf", "cell"]).select(shard.alias("shard"), "doc_id", "ids")
+            .groupBy("shard").applyInArrow(_pack(shared, window, wide), PIECES))

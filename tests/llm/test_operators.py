@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from fixtures_llm import documents, no_documents, odd_documents  # noqa: F401
 
-from penfit.llm import (ann, exact_dedup, mixing, ngram_join, packing, sharding, token_counts,
-                        token_files, toxicity, url_filters)
+from penfit.llm import (ann, exact_dedup, mixing, ngram_join, packing, placement, sharding,
+                        token_counts, token_files, toxicity, url_filters)
 from penfit.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, tokenizer_path
 
 
@@ -246,6 +246,38 @@ def test_windows_take_the_lexical_neighbours():
     assert {i for i, _, _ in got[0]} in ({0, 2}, {1, 3})
 
 
+def test_windows_take_all_neighbours_before_unrelated_items():
+    items = [np.array([5, 100 + i]) for i in range(120)] + [np.arange(300, 400), np.arange(400, 500)]
+    got = packing.fill_windows(items, np.ones(600), window=160)
+    with_5 = [s for s in got if any(i < 120 for i, _, _ in s)]
+    assert sum(all(i < 120 for i, _, _ in s) for s in with_5) == len(with_5) - 1  # one holds the last of them
+
+
+def test_related_documents_share_a_shard(spark):
+    import random
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    topics = [[word() for _ in range(40)] for _ in range(12)]
+    rows = [(i, " ".join(rnd.choice(topics[i % 12]) for _ in range(120))) for i in range(360)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = packing.pack_documents(df, shard_tokens=30_000).collect()
+    shards = [{r["sequence_id"] >> 32 for r in got if r["doc_id"] % 12 == t} for t in range(12)]
+    assert len(set.union(*shards)) >= 6
+    assert sum(len(s) == 1 for s in shards) >= 8 and all(len(s) <= 2 for s in shards)
+    assert sum(r["length"] for r in got) == sum({r["doc_id"]: r["doc_tokens"] for r in got}.values())
+
+
+def test_hot_groups_are_split_over_shards(spark):
+    cells = [(0, 0, 40), (0, 9, 50), (1, 3, 950), (1, 4, 60), (2, 0, 30)]
+    assert placement.deal(cells, 100) == [(0, 0, 0, 1), (0, 9, 0, 1), (1, 3, 1, 10), (1, 4, 11, 1), (2, 0, 11, 1)]
+    df = spark.createDataFrame([(i, "the same text " * 20) for i in range(300)], "doc_id bigint, text string")
+    got = packing.pack_documents(df, shard_tokens=4_000).collect()
+    held = {}
+    for r in got:
+        held[r["sequence_id"] >> 32] = held.get(r["sequence_id"] >> 32, 0) + r["length"]
+    assert len(held) > 3 and max(held.values()) < 8_000
+
+
 # -- mixing -----------------------------------------------------------------
 
 def check_mix(df, **settings):

@@ -15,7 +15,7 @@ with one row per pair on that side. So a host with a third of all captures adds
 one row to the list join, and the way back is a join that Spark can split.
 
 Hosts are lower-cased, without user, port, trailing dots and a leading
-``www.``. A capture without a usable URL or without a date matches nothing.
+``www.``, and so is the host of an entry; segments keep their case. A capture without a usable URL or without a date matches nothing.
 Events with a null entry, date or another action are ignored; repeated events
 change nothing. Repeated captures each get a row. An empty table gives an empty
 result, an empty list blocks nothing. Other columns are ignored.
@@ -49,7 +49,8 @@ def validity(events: DataFrame, entry: str = "entry", action: str = "action", at
     """(entry, valid_from, valid_to) from dated events."""
     e = pick(events, entry=entry, action=action, at=at).where(
         "entry is not null and at is not null and action in ('add', 'remove')")
-    e = e.select(F.lower("entry").alias("entry"), F.col("at").cast("date").alias("at"),
+    host = F.lower(F.substring_index("entry", "/", 1))
+    e = e.select(F.concat(host, F.regexp_extract("entry", r"(?s)/.*$", 0)).alias("entry"), F.col("at").cast("date").alias("at"),
                  (F.col("action") == "add").alias("adds")).distinct()
     by = Window.partitionBy("entry").orderBy("at", "adds")
     changes = (e.withColumn("was", F.coalesce(F.lag("adds").over(by), F.lit(False)))

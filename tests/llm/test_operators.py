@@ -382,6 +382,18 @@ def test_url_filters(spark):
     assert url_filters.filter_urls(pages, events.limit(0)).where("blocked").count() == 0
 
 
+def test_segments_keep_their_case(spark):
+    events = spark.createDataFrame([("X.org/Ads", "add", "2024-01-01"), ("Bad.COM", "add", "2024-01-01"),
+                                    ("y.org/Ads", "add", "2024-01-01"), ("Y.org/Ads", "remove", "2024-03-01"),
+                                    ("y.org/ads", "add", "2024-01-01")], "entry string, action string, at string")
+    cases = [("http://x.org/Ads/1", True), ("http://X.ORG/Ads?q", True), ("http://x.org/ads/1", False),
+             ("http://bad.com/A", True), ("http://y.org/Ads/1", False), ("http://y.org/ads/1", True)]
+    pages = spark.createDataFrame([(i, u, "2024-05-05") for i, (u, _) in enumerate(cases)],
+                                  "page_id bigint, url string, fetched string")
+    got = url_filters.filter_urls(pages, events).collect()
+    assert sorted((r["page_id"], r["blocked"]) for r in got) == [(i, b) for i, (_, b) in enumerate(cases)]
+
+
 # -- toxicity ---------------------------------------------------------------
 
 def test_toxicity(spark, odd_documents, no_documents):

@@ -4,8 +4,10 @@ Training (labels of rows with crc32(doc_id) mod 4 = 2 are never read): at most
 ``max_labelled`` labelled rows, taken by a hash of doc_id, are the sample, split
 in two halves by another hash.
 
-* Dictionaries are trained on the sample. The ordinary dictionary is the
-  most common words of ordinary texts. The toxic dictionary has the same
+* Dictionaries are word lists chosen from the sample, given to zstandard as raw
+  content; ``zstandard.train_dictionary`` is not used (README has its figures). A
+  length difference tells whether a listed word, or 5 bytes of one, is in the
+  window; ordinary text is not modelled. The ordinary dictionary is the most common words of ordinary texts. The toxic dictionary has the same
   content and, before it, words of toxic texts chosen by greedy cover: the next
   word is the one in most toxic texts, where a text already covered c times
   counts 2**-c; words must be in ``MIN_TEXTS`` toxic texts and ``min_ratio`` times as frequent there. (So

@@ -113,6 +113,19 @@ def test_prefixes_of_linked_sets_share_their_l(seed):
             assert np.intersect1d(pa, pb).size >= min(la, lb)
 
 
+def test_one_row_of_a_component_stays(spark):
+    rng = np.random.default_rng(8)
+    text = {k: " ".join(f"{k}{x}" for x in rng.integers(0, 10_000, 120)) for k in "abcde"}
+    rows = [(None, text["a"]), (None, text["a"] + " end"), (None, text["b"]), (None, text["b"] + " end"),
+            (5, text["c"]), (5, text["c"] + " end"), (5, text["d"]), (3, text["d"] + " end"),
+            (7, text["e"]), (7, text["e"]), (None, text["e"]), (8, ""), (8, ""), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = rows_of(ngram_join.keep_one(df))
+    words = [(i, t[0]) for i, t in got if t]
+    assert sorted(words, key=str) == sorted([(None, "a"), (None, "b"), (5, "c"), (3, "d"), (7, "e")], key=str)
+    assert sorted(i is None for i, t in got if not t) == [False, False, True]
+
+
 # -- sharding ---------------------------------------------------------------
 
 def check_shards(df, shards=16):

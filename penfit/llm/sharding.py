@@ -104,9 +104,10 @@ def permuted(df: DataFrame, column: str, n: int, seed: int = SEED, out: str = "p
 def numbered(rows: DataFrame, id_col: str, ties: list[str], parts: int, out: str = "row_number"):
     """(rows with ``out`` = global row number in the order (id, ties), count).
 
-    Ranges of ids are numbered on their own. If one id holds many rows, its
-    range is cut further by the tie columns' hash; rows equal in all columns
-    are interchangeable."""
+    Ranges of ids are numbered on their own. All rows of one id (or without one)
+    are in one range, so an id that holds a large share of the table makes one
+    large task; places are right all the same. Rows equal in all columns are
+    interchangeable."""
     cuts = cut_points(rows, id_col, parts)
     ranged = rows.withColumn("_range", range_bucket(F.col(id_col), cuts))
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_held"))

@@ -439,27 +439,6 @@ def _write_numbers(spark, r, path):
     res.write_numbers(r.history_table(spark), path, "objective", "iteration")
 
 
-def q_generated_design(spark, sf):
-    """A generated lasso problem sized by the tables (n = orders
-    rows, p = embedding length): its summary. Hashes differ from DuckDB's, so
-    rows-only check."""
-    from penfit.operators.generate import make_lasso_data
-    n = load_table(spark, sf, "orders").count()
-    p = embedding_design(spark, sf).select(F.size("features").alias("p")).first()["p"]
-    design, lam, wt, normed = make_lasso_data(spark, n, p)
-    try:
-        info = dsg.validate_design(design)
-        norms = linalg.column_norms(design.select("features"))
-        s = norms.agg(F.min("norm").alias("min_norm"), F.max("norm").alias("max_norm")).first()
-        nz = wt.where(F.col("weight") != 0.0).count()
-    finally:
-        normed.unpersist()
-    return spark.createDataFrame([(info.n, info.p, nz, float(s["min_norm"]),
-                                   float(s["max_norm"]), float(lam > 0))],
-                                 "n bigint, p int, nonzero bigint, min_norm double, "
-                                 "max_norm double, positive_lambda double")
-
-
 QUERIES = {
     "column_norms": q_column_norms,
     "column_norms_price": q_column_norms_price,
@@ -508,7 +487,6 @@ QUERIES = {
     "converged_fit": q_converged_fit,
     "align_documents_labels": q_align_documents_labels,
     "read_or_write": q_read_or_write,
-    "generated_design": q_generated_design,
 }
 
 

@@ -39,3 +39,7 @@ def test_every_oracle_has_a_query():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() == 6 and df.columns == ["col_id", "weight"]
+
+
+def test_no_query_summarises_generated_rows():
+    assert "generated_design" not in entry.queries()

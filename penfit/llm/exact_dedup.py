@@ -12,16 +12,18 @@ Key of a text: ``xxhash64`` of its normalised form (every character of
    split at a bucket whose local depth equals the global depth doubles the
    directory. Global depth is the largest local depth; a directory cell of
    that depth points to its bucket. A bucket of a single key can't be split
-   and stays overfull: its rows are pre-aggregated instead.
+   and stays overfull: its rows are pre-aggregated instead. The directory is
+   only a label: bucket and depth are attached to links, rows are grouped and
+   joined by (key, SHA-256), links are ranged by the fixed cell, and past
+   2**directory_bits cells buckets stay overfull.
 3. Owner tasks: entries are aggregated to one chain link per (bucket, key,
    digest): the partial aggregate runs before the shuffle, so a group of
    copies with a third of all rows sends one row per task. A link carries the
    group's size and the row that stays.
 4. Bytes are compared: for every link of two rows or more the texts are read
    again and grouped by (key, normalised bytes), again with a partial
-   aggregate first. Links whose key and digest agree but whose bytes differ
-   would get different classes here; rows of such a link are chained to the
-   class of their own bytes.
+   aggregate first. A link whose key and digest agree but whose bytes differ
+   raises an error.
 
 Null texts count as empty. Ties on code points go to the smallest doc_id; a
 null doc_id loses every tie. Repeated rows each get a row of output. An empty

@@ -14,9 +14,9 @@ alternately add a keyed hash of one half to the other, modulo its size. The
 grid has fewer than a places too many; a place at or above n walks on through
 the permutation until it falls below n.
 
-Row numbers need no single-task sort: doc_ids are cut into ranges of similar
-row counts, rows are numbered within their range, and the ranges' counts (one
-row per range) are summed up. Only (doc_id, size, CRC) are shuffled, never texts.
+Row numbers need no single-task sort: rows are cut into sorted ranges of similar
+row counts, numbered within them, and the ranges' counts (one row per range) are
+summed up. Only (doc_id, size, CRC) are shuffled, never texts.
 
 A null text has size 1 and the CRC of the empty text. Repeated rows get a
 place each. An empty table gives an empty result.
@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penfit.llm.common import cut_points, pick, prefix_of_buckets, range_bucket, stage
+from penfit.llm.common import pick, prefix_of_buckets, stage
 
 SHARDS = 16
 SEED = 20240229
@@ -77,14 +77,34 @@ def once(df: DataFrame, column: str, n: int, seed: int) -> DataFrame:
     return df.select(*rest, (F.col("_left") * F.lit(b) + F.col("_right")).alias(column))
 
 
-def permuted(df: DataFrame, column: str, n: int, seed: int = SEED, out: str = "place") -> DataFrame:
-    """``df`` with ``out``, the image of ``column`` under the keyed
-    permutation of [0, n).
+def surplus_walk(spark: SparkSession, n: int, seed: int = SEED) -> DataFrame:
+    """(_from, _to): the surplus places of the grid, those at or above n, and the
+    first place below n on each one's walk. Fewer than sqrt(n) + 1 rows.
 
-    Cycle walking: all places of the grid at or above n (fewer than
-    sqrt(n) + 1) are walked on until they fall below n, and that table is
-    joined to the rows that landed on one of them.
+    Pointer jumping: an open entry takes the entry of the place it stands on, so
+    a walk of any length ends after log2 of it rounds, each on a written table.
+    Surplus places that form a cycle of their own never leave it; no row lands on
+    one (its predecessor would be a surplus place too), so they are left out. They
+    are all that is open once a round closes no entry: as long as a walk is not
+    closed, the places one jump from its end close in that round.
     """
+    a, b = grid(n)
+    walk = once(spark.range(n, a * b, 1, 1).select(F.col("id").alias("_from"), F.col("id").alias("_to")),
+                "_to", n, seed)
+    walk = stage(walk, "shard-walk")
+    left, before = walk.where(F.col("_to") >= n).count(), None
+    while left and left != before:
+        jump = walk.select(F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        walk = stage(walk.join(F.broadcast(jump), "_to", "left")  # fewer than sqrt(n) + 1 rows
+                     .select("_from", F.coalesce("_next", "_to").alias("_to")), "shard-walk")
+        left, before = walk.where(F.col("_to") >= n).count(), left
+    return walk.where(F.col("_to") < n)
+
+
+def permuted(df: DataFrame, column: str, n: int, seed: int = SEED, out: str = "place") -> DataFrame:
+    """``df`` with ``out``, the image of ``column`` under the keyed
+    permutation of [0, n): one step of the grid's permutation, and the end of the
+    walk (``surplus_walk``) for rows that it puts at or above n."""
     moved = df.withColumn(out, F.col(column).cast("bigint"))
     if n <= 1:
         return moved
@@ -92,33 +112,29 @@ def permuted(df: DataFrame, column: str, n: int, seed: int = SEED, out: str = "p
     moved = once(moved, out, n, seed)
     if a * b == n:
         return moved
-    walk = once(df.sparkSession.range(n, a * b, 1, 1)
-                .select(F.col("id").alias("_from"), F.col("id").alias("_to")), "_to", n, seed)
-    while not walk.where(F.col("_to") >= n).isEmpty():
-        on = walk.where(F.col("_to") >= n)
-        walk = walk.where(F.col("_to") < n).unionByName(once(on, "_to", n, seed))
+    walk = surplus_walk(df.sparkSession, n, seed)
     return (moved.join(F.broadcast(walk), F.col(out) == F.col("_from"), "left")
             .withColumn(out, F.coalesce("_to", out)).drop("_from", "_to"))
 
 
-def numbered(rows: DataFrame, id_col: str, ties: list[str], parts: int, out: str = "row_number"):
-    """(rows with ``out`` = global row number in the order (id, ties), count).
-
-    Ranges of ids are numbered on their own. All rows of one id (or without one)
-    are in one range, so an id that holds a large share of the table makes one
-    large task; places are right all the same. Rows equal in all columns are
-    interchangeable."""
-    cuts = cut_points(rows, id_col, parts)
-    ranged = rows.withColumn("_range", range_bucket(F.col(id_col), cuts))
+def numbered(rows: DataFrame, order: list[str], parts: int, out: str = "row_number") -> DataFrame:
+    """``rows`` with ``out``, the global row number (from 0) in the given order,
+    nulls last; rows equal in all these columns are interchangeable.
+
+    Rows are range-partitioned by all columns of the order and a row tag, so an id,
+    or a copied row, with a large share of the table is cut into several ranges.
+    Each task sorts and numbers its range; the written ranges' counts (one row per
+    range) are summed up."""
+    keys = [F.col(c).asc_nulls_last() for c in order]
+    tagged = rows.withColumn("_tag", F.monotonically_increasing_id())
+    ranged = tagged.repartitionByRange(parts, *keys, F.col("_tag")).sortWithinPartitions(*keys, "_tag")
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = stage(ranged.select(*rows.columns, F.spark_partition_id().alias("_range"), within.alias("_within")),
+                   "numbered")
     totals = ranged.groupBy("_range").agg(F.count("*").alias("_held"))
-    starts = prefix_of_buckets(totals, "_range", "_held", "_before")
-    order = [F.col(id_col).asc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ties]]
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    made = (ranged.withColumn("_within", within)
-            .join(F.broadcast(starts.select("_range", "_before")), "_range")  # one row per range
-            .withColumn(out, F.col("_before") + F.col("_within") - 1)
-            .drop("_range", "_within", "_before"))
-    return made
+    starts = prefix_of_buckets(totals, "_range", "_held", "_before").select("_range", "_before")
+    return (ranged.join(F.broadcast(starts), "_range")  # one row per range
+            .withColumn(out, F.col("_before") + F.col("_within")).drop("_range", "_within", "_before"))
 
 
 def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col: str = "doc_id",
@@ -131,8 +147,8 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, id_col:
                              F.crc32(text.cast("binary")).alias("text_crc32")), "shard-rows")
     n = small.count()
     if parts is None:
-        parts = max(8, min(4096, n // 20_000))
-    rows = numbered(small, "doc_id", ["text_crc32", "size"], parts)
+        parts = max(8, n // 500_000)
+    rows = numbered(small, ["doc_id", "text_crc32", "size"], parts)
     placed = permuted(rows, "row_number", n, seed)
     slot = (F.col("place") - F.pmod("place", F.lit(shards))) / F.lit(shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"),

@@ -15,9 +15,13 @@ with one row per pair on that side. So a host with a third of all captures adds
 one row to the list join, and the way back is a join that Spark can split.
 
 Hosts are lower-cased, without user, port, trailing dots and a leading
-``www.``, and so is the host of an entry; segments keep their case. A capture without a usable URL or without a date matches nothing.
-Events with a null entry, date or another action are ignored; repeated events
-change nothing. Repeated captures each get a row. An empty table gives an empty
+``www.``, and so is the host of an entry (one function for both); segments keep
+their case. An entry's scheme is dropped, and a ``/`` that closes its segment; an entry
+``host/`` covers the URLs of the host with an empty first segment. An entry with
+more than one path segment is an error: it would never match. A capture without
+a usable URL or without a date matches nothing. Events with a null entry, an entry
+without a host, a null date or another action are ignored; repeated events change
+nothing. Repeated captures each get a row. An empty table gives an empty
 result, an empty list blocks nothing. Other columns are ignored.
 """
 
@@ -31,15 +35,20 @@ from penfit.llm.common import pick
 FAR = "9999-12-31"
 
 
-def host_of(url: Column) -> Column:
-    """Normalised host of an absolute URL, null if there is none."""
-    authority = F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1)
+def host_name(authority: Column) -> Column:
+    """Lower-cased host without user, port, trailing dots and a leading ``www.``;
+    null if nothing is left."""
     host = F.lower(F.regexp_replace(authority, r"^[^@]*@", ""))
     host = F.regexp_replace(F.regexp_replace(host, r":\d*$", ""), r"\.+$", "")
     host = F.regexp_replace(host, r"^www\.", "")
     return F.when(host != "", host)
 
 
+def host_of(url: Column) -> Column:
+    """Normalised host of an absolute URL, null if there is none."""
+    return host_name(F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#]*)", 1))
+
+
 def segment_of(url: Column) -> Column:
     """First path segment, empty if the path has none."""
     return F.regexp_extract(F.trim(url), r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*/([^/?#]*)", 1)
@@ -49,9 +58,13 @@ def validity(events: DataFrame, entry: str = "entry", action: str = "action", at
     """(entry, valid_from, valid_to) from dated events."""
     e = pick(events, entry=entry, action=action, at=at).where(
         "entry is not null and at is not null and action in ('add', 'remove')")
-    host = F.lower(F.substring_index("entry", "/", 1))
-    e = e.select(F.concat(host, F.regexp_extract("entry", r"(?s)/.*$", 0)).alias("entry"), F.col("at").cast("date").alias("at"),
-                 (F.col("action") == "add").alias("adds")).distinct()
+    bare = F.regexp_replace(F.trim("entry"), r"^[A-Za-z][A-Za-z0-9+.\-]*://", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"(?s)(/.*)$", 1), r"(?s)^(/[^/]+)/$", "$1")
+    deep = F.raise_error(F.concat(F.lit("list entry with more than one path segment: "), "entry")).cast("string")
+    entry = F.concat(host_name(F.substring_index(bare, "/", 1)),
+                     F.when(path.rlike(r"(?s)^/.*/"), deep).otherwise(path))
+    e = e.select(entry.alias("entry"), F.col("at").cast("date").alias("at"),
+                 (F.col("action") == "add").alias("adds")).where("entry is not null").distinct()
     by = Window.partitionBy("entry").orderBy("at", "adds")
     changes = (e.withColumn("was", F.coalesce(F.lag("adds").over(by), F.lit(False)))
                .where(F.col("adds") != F.col("was")))

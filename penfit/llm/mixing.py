@@ -274,7 +274,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, block_words: int = BLOCK_WORDS,
                            (begin - F.col("start")).alias("doc_from"),
                            (begin - F.col("block") * block_words).alias("slot_from"),
                            (end - begin).alias("held"))
-    spans = slots.join(pieces, ["source_no", "block"]).where("slot_from < take").select(
+    # Spark would take the slots for one row per shard and broadcast them
+    spans = slots.hint("merge").join(pieces, ["source_no", "block"]).where("slot_from < take").select(
         "shard", "slot", "slot_from", "epoch", "source_no", "start", "doc_id", "fp", "doc_from",
         F.least(F.col("held"), F.col("take") - F.col("slot_from")).alias("words"))
     return documents, spans
@@ -316,7 +317,7 @@ def _cut_texts(batches):
         for i, text in enumerate(d["text"]):
             copies: dict = {}
             for r in d["parts"][i]:
-                copies.setdefault((r["epoch"], r["start"]), []).append((r["doc_from"], r["words"]))
+                copies.setdefault(r["epoch"], []).append((r["doc_from"], r["words"]))
             for key in sorted(copies):
                 got = cut_text(text, sorted(copies[key]))
                 out["text"].append(got)
@@ -332,13 +333,21 @@ def _cut_texts(batches):
 
 def mixed_documents(docs: DataFrame, **settings) -> DataFrame:
     """The mix as documents: one row per document and epoch that takes words
-    of it, with the text taken in that epoch (the whole text in full epochs)."""
+    of it, with the text taken in that epoch (the whole text in full epochs). Rows
+    with the same id, text and source have one lang, the smallest."""
     docs = pick_documents(docs)
     documents, spans = mix(docs, **settings)
-    parts = spans.groupBy("doc_id", "fp").agg(
-        F.collect_list(F.struct("epoch", "start", "doc_from", "words")).alias("parts"))
-    keyed = docs.where("text is not null").withColumn("fp", F.xxhash64("text"))
-    keyed = keyed.dropDuplicates(["doc_id", "fp"])  # repeated rows come back from their starts
-    joined = keyed.join(parts, (keyed["doc_id"].eqNullSafe(parts["doc_id"])) & (keyed["fp"] == parts["fp"]))
-    rows = joined.select(keyed["doc_id"], "text", "lang", keyed["source"], "parts")
+    # without nulls the grouping's partitioning serves the join as well
+    keys = {"none": F.col("doc_id").isNull(), "id": F.coalesce("doc_id", F.lit(0)), "fp": F.col("fp"),
+            "no_source": F.col("source").isNull(), "of": F.coalesce("source", F.lit(""))}
+    named = [c.alias(k) for k, c in keys.items()]
+    texts = (docs.where("text is not null").withColumn("fp", F.xxhash64("text"))
+             .groupBy(*named).agg(F.first("text").alias("text"), F.min("lang").alias("lang")))
+    # one row per document row (its start in the stream): copies of a row keep their own spans
+    parts = spans.groupBy("source_no", "start").agg(
+        F.collect_list(F.struct("epoch", "doc_from", "words")).alias("parts"))
+    taken = parts.join(documents.where("size > 0"), ["source_no", "start"]).select(*named, "parts")
+    rows = taken.join(texts, list(keys)).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "text", "lang",
+        F.when(~F.col("no_source"), F.col("of")).alias("source"), "parts")
     return rows.mapInArrow(_cut_texts, "doc_id bigint, text string, lang string, source string, n_chars bigint")

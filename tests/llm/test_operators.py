@@ -148,12 +148,60 @@ def test_shards(documents, odd_documents, no_documents):
     assert sharding.shard_rows(no_documents).count() == 0
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 10, 101])
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 101, 226, 842])  # 226, 842: a cycle of surplus places only
 def test_permutation_is_one(spark, n):
     got = sharding.permuted(spark.range(n), "id", n).collect()
+    assert [r["place"] for r in sorted(got, key=lambda r: r["id"])] == plain_permutation(n)
     assert sorted(r["place"] for r in got) == list(range(n))
 
 
+def plain_permutation(n, seed=sharding.SEED):
+    """Places of 0..n-1 in plain arithmetic; a row walks until it is below n."""
+    a, b = sharding.grid(n)
+    mul, add, prime = sharding.MUL, sharding.ADD, sharding.PRIME
+
+    def mixed(x, key):
+        y = (x * mul + (key * 7919 + add) % prime) % prime
+        return ((y * y + (key * 104729 + 7) % prime) % prime * mul + key) % prime
+
+    def step(x):
+        left, right = divmod(x, b)
+        for i, key in enumerate(sharding.round_keys(seed)):
+            if i % 2 == 0:
+                left = (left + mixed(right, key)) % a
+            else:
+                right = (right + mixed(left, key)) % b
+        return left * b + right
+
+    out = []
+    for i in range(n):
+        x = step(i) if n > 1 else i
+        while x >= n:
+            x = step(x)
+        out.append(x)
+    return out
+
+
+def test_every_walk_from_below_n_ends():
+    for n in range(2, 2000):
+        assert sorted(plain_permutation(n)) == list(range(n))
+
+
+def test_the_plan_does_not_grow_with_the_rounds(spark):
+    sizes = [len(sharding.permuted(spark.range(n), "id", n)._jdf.queryExecution().optimizedPlan().toString())
+             for n in (10, 101, 226)]
+    assert max(sizes) < 1.2 * min(sizes)
+
+
+def test_numbers_of_a_hot_id_come_from_several_ranges(spark):
+    rows = spark.range(3000).selectExpr("if(id % 3 = 0, null, if(id % 3 = 1, 7, id)) as doc_id", "id % 2 as crc")
+    got = sharding.numbered(rows, ["doc_id", "crc"], 16).collect()
+    assert sorted(r["row_number"] for r in got) == list(range(3000))
+    order = sorted(got, key=lambda r: r["row_number"])
+    keys = [(r["doc_id"] is None, r["doc_id"] or 0, r["crc"]) for r in order]
+    assert keys == sorted(keys)
+
+
 # -- tokens -----------------------------------------------------------------
 
 @pytest.fixture(scope="module", params=[WORD_BPE, BYTE_BPE])
@@ -327,6 +375,29 @@ def test_mixed_texts_hold_the_taken_words(documents):
     assert whole and all(r["n_chars"] == len(r["text"]) for r in got)
 
 
+def test_one_id_and_text_under_two_sources(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text, "en", "x", 1), (1, text, "de", "y", 1), (1, text, "en", "x", 1), (2, "other words", "en", None, 1),
+            (None, text, "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = mixing.mixed_documents(docs, block_words=16).collect()
+    documents, spans = mixing.mix(docs, block_words=16)
+    want = {}
+    for r in mixing.taken_words(documents, spans).collect():
+        want[r["doc_id"], r["source"]] = want.get((r["doc_id"], r["source"]), 0) + r["taken"]
+    have = {k: 0 for k in want}
+    for r in got:
+        found = brute.words(r["text"])
+        assert len(found) == len(set(found))  # no word twice in one epoch of one row
+        have[r["doc_id"], r["source"]] += len(found)
+    assert have == want
+
+
+def test_slots_and_blocks_meet_in_a_shuffle_join(documents):
+    plan = mixing.mix(documents)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_permute_and_shard_counts():
     for n in (1, 2, 5, 97, 1000):
         got = mixing.permute(np.arange(n), np.full(n, n), np.full(n, 9, np.uint64))
@@ -407,6 +478,27 @@ def test_segments_keep_their_case(spark):
     assert sorted((r["page_id"], r["blocked"]) for r in got) == [(i, b) for i, (_, b) in enumerate(cases)]
 
 
+def test_entries_are_normalised_like_hosts(spark):
+    events = spark.createDataFrame([(e, "add", "2024-01-01") for e in (
+        "www.bad.com", "worse.com:80", "dot.com.", "u@user.com", "http://scheme.org/a/", "root.org/", "", "/x", " sp.com ")],
+        "entry string, action string, at string")
+    cases = [("http://bad.com/a", True), ("http://www.bad.com", True), ("http://worse.com", True), ("http://dot.com/", True),
+             ("http://user.com/q", True), ("http://scheme.org/a/b", True), ("http://scheme.org/b", False),
+             ("http://root.org/", True), ("http://root.org/x", False), ("http://sp.com/", True), ("http://x/x", False)]
+    pages = spark.createDataFrame([(i, u, "2024-05-05") for i, (u, _) in enumerate(cases)],
+                                  "page_id bigint, url string, fetched string")
+    clash = [c for c in ("host", "segment", "entry", "spans", "valid_from", "blocked")]
+    from pyspark.sql import functions as F
+    for c in clash:
+        pages = pages.withColumn(c, F.lit("clash"))
+    events = events.withColumn("valid_to", F.lit("clash")).union(events.withColumn("valid_to", F.lit("clash")))
+    got = url_filters.filter_urls(pages, events).collect()
+    assert sorted((r["page_id"], r["blocked"]) for r in got) == [(i, b) for i, (_, b) in enumerate(cases)]
+    deep = spark.createDataFrame([("x.org/a/b", "add", "2024-01-01")], "entry string, action string, at string")
+    with pytest.raises(Exception, match="more than one path segment"):
+        url_filters.filter_urls(pages, deep).collect()
+
+
 # -- toxicity ---------------------------------------------------------------
 
 def test_toxicity(spark, odd_documents, no_documents):

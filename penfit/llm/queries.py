@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from penfit.llm import ann
 from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
+from penfit.llm.filter_audit import audit_filters
 from penfit.llm.mixing import mix, taken_words
 from penfit.llm.ngram_join import near_components
 from penfit.llm.packing import pack_documents
+from penfit.llm.periodic_runs import looped, periodic_runs
 from penfit.llm.sharding import shard_rows
 from penfit.llm.token_counts import count_tokens
 from penfit.llm.token_files import read_documents, scratch_path, token_digest, write_tokens
@@ -66,6 +68,14 @@ def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents, spans).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(read_table(spark, sf_dir, "documents"), prepare=looped)
+
+
 QUERIES = {
     "op1_compression_toxicity": op1_compression_toxicity,
     "op2_multi_match_ngram_join": op2_multi_match_ngram_join,
@@ -77,6 +87,8 @@ QUERIES = {
     "op8_adaptive_scan_ann": op8_adaptive_scan_ann,
     "op9_temporal_url_filters": op9_temporal_url_filters,
     "op10_mixing_blocks": op10_mixing_blocks,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 OP7_SQL = r"""
@@ -121,4 +133,45 @@ SELECT page_id, host, fetched, count(hit.entry) > 0 AS blocked, count(hit.entry)
 FROM k LEFT JOIN hit USING (page_id) GROUP BY page_id, host, fetched
 """
 
-ORACLES = {"op9_temporal_url_filters": OP9_SQL, "op7_extendible_hash_dedup": OP7_SQL}
+# Documents are counted per mask before they meet the 600 steps.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+      FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w),
+          100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+          regexp_matches(text, '[#$%&*|]'),
+          coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS fails
+  FROM d LEFT JOIN l ON d.doc_id = l.doc_id),
+m AS (SELECT part, fails, good, toxic, count(*) AS rows FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
+      WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
+             list_transform(range(1, step), i -> strpos('ABCDE', substr(filter_order, i, 1))) AS earlier
+      FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+r AS (
+  SELECT m.*, s.*, fails[strpos('ABCDE', letter)] AS fails_this,
+         len(list_filter(earlier, i -> fails[i])) > 0 AS gone,
+         fails[strpos('ABCDE', letter)] AND len(list_filter(fails, b -> b)) = 1 AS only_this
+  FROM m, s),
+t AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,
+         CAST(sum(CASE WHEN NOT gone AND NOT fails_this THEN rows ELSE 0 END) AS BIGINT) AS kept,
+         CAST(sum(CASE WHEN fails_this AND NOT gone THEN rows ELSE 0 END) AS BIGINT) AS removed,
+         CAST(sum(CASE WHEN fails_this AND gone THEN rows ELSE 0 END) AS BIGINT) AS redundant,
+         CAST(sum(CASE WHEN only_this THEN rows ELSE 0 END) AS BIGINT) AS unique_fails,
+         CAST(sum(CASE WHEN fails_this AND NOT gone AND good = 1 THEN rows ELSE 0 END) AS BIGINT) AS good_lost,
+         CAST(sum(CASE WHEN fails_this AND NOT gone AND toxic = 1 THEN rows ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley
+FROM t
+"""
+
+ORACLES = {"op12_filter_audit": OP12_SQL, "op9_temporal_url_filters": OP9_SQL, "op7_extendible_hash_dedup": OP7_SQL}

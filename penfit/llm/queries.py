@@ -153,12 +153,12 @@ x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
 o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM x a, x b, x c, x d, x e
       WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
 s AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter,
-             list_transform(range(1, step), i -> strpos('ABCDE', substr(filter_order, i, 1))) AS earlier
+             [strpos('ABCDE', substr(filter_order, i, 1)) FOR i IN range(1, step)] AS earlier
       FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
 r AS (
   SELECT m.*, s.*, fails[strpos('ABCDE', letter)] AS fails_this,
-         len(list_filter(earlier, i -> fails[i])) > 0 AS gone,
-         fails[strpos('ABCDE', letter)] AND len(list_filter(fails, b -> b)) = 1 AS only_this
+         len([i FOR i IN earlier IF fails[i]]) > 0 AS gone,
+         fails[strpos('ABCDE', letter)] AND len([b FOR b IN fails IF b]) = 1 AS only_this
   FROM m, s),
 t AS (
   SELECT part, filter_order, CAST(step AS INTEGER) AS step, letter,

@@ -6,7 +6,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from penfit.llm import ann
+from penfit.llm import ann, context_mixing
 from penfit.llm.common import read_table
 from penfit.llm.exact_dedup import exact_dedup
 from penfit.llm.filter_audit import audit_filters
@@ -68,6 +68,10 @@ def op10_mixing_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(documents, spans).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -87,6 +91,7 @@ QUERIES = {
     "op8_adaptive_scan_ann": op8_adaptive_scan_ann,
     "op9_temporal_url_filters": op9_temporal_url_filters,
     "op10_mixing_blocks": op10_mixing_blocks,
+    "op11_context_mixing": op11_context_mixing,
     "op12_filter_audit": op12_filter_audit,
     "op13_periodic_runs": op13_periodic_runs,
 }

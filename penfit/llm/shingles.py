@@ -72,12 +72,13 @@ _POWERS = _powers(1024)
 GROUP_BYTES = 1 << 20
 
 
-def _sets_of_group(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
-    """Sorted distinct shingles of neighbouring texts; ``offsets`` index ``data``."""
+def word_hashes(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of neighbouring texts, bounds): the words of text i are
+    those from ``bounds[i]`` to ``bounds[i + 1]``. ``offsets`` index ``data``."""
     n = len(offsets) - 1
-    none = np.empty(0, np.uint64)
+    none = np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
     if data.size == 0:
-        return [none] * n
+        return none
     inside = ~_IS_SPACE[data]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -85,7 +86,7 @@ def _sets_of_group(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.
     begins[edge] = inside[edge]  # a word never goes on from one text into the next
     starts = np.flatnonzero(begins)
     if starts.size == 0:
-        return [none] * n
+        return none
     places = np.cumsum(inside) - 1  # of a byte among the bytes of words
     first = places[starts]
     kept = _BYTE[data[inside]]
@@ -94,8 +95,14 @@ def _sets_of_group(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.
     powers = _POWERS if longest <= _POWERS.size else _powers(longest)
     kept *= powers[np.arange(kept.size) - np.repeat(first, lengths)]
     words = mix64(np.add.reduceat(kept, first) + lengths.astype(np.uint64) * _U(_P3))
-    bounds = np.searchsorted(starts, offsets)
-    windows = shingle_hashes(words, size) if words.size >= size else none
+    return words, np.searchsorted(starts, offsets)
+
+
+def _sets_of_group(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.ndarray]:
+    """Sorted distinct shingles of neighbouring texts; ``offsets`` index ``data``."""
+    n = len(offsets) - 1
+    words, bounds = word_hashes(offsets, data)
+    windows = shingle_hashes(words, size) if words.size >= size else words[:0]
     out = []
     for i in range(n):
         a, b = int(bounds[i]), int(bounds[i + 1])
@@ -107,19 +114,24 @@ def _sets_of_group(offsets: np.ndarray, data: np.ndarray, size: int) -> list[np.
     return out
 
 
+def groups_of_batch(offsets: np.ndarray, data: np.ndarray, size: int = GROUP_BYTES):
+    """(first text, offsets from 0, bytes) of neighbouring texts of about ``size`` bytes."""
+    lo, n = 0, len(offsets) - 1
+    while lo < n:
+        hi = int(np.searchsorted(offsets, offsets[lo] + size, side="right")) - 1
+        hi = min(max(hi, lo + 1), n)
+        yield lo, np.asarray(offsets[lo:hi + 1], np.int64) - int(offsets[lo]), data[offsets[lo]:offsets[hi]]
+        lo = hi
+
+
 def sets_of_batch(offsets: np.ndarray, data: np.ndarray, valid: np.ndarray | None = None,
                   size: int = SHINGLE_WORDS):
     """Sorted distinct shingle hashes of every text of an Arrow string buffer
     (``offsets`` has one entry more than there are texts), in order. Texts are
     taken in groups of about ``GROUP_BYTES``, which bounds the memory."""
-    lo, n = 0, len(offsets) - 1
-    while lo < n:
-        hi = int(np.searchsorted(offsets, offsets[lo] + GROUP_BYTES, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
-        own = np.asarray(offsets[lo:hi + 1], np.int64) - int(offsets[lo])
-        for k, s in enumerate(_sets_of_group(own, data[offsets[lo]:offsets[hi]], size)):
+    for lo, own, part in groups_of_batch(offsets, data):
+        for k, s in enumerate(_sets_of_group(own, part, size)):
             yield s if valid is None or valid[lo + k] else np.empty(0, np.uint64)
-        lo = hi
 
 
 def text_buffers(column) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:

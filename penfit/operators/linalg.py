@@ -28,9 +28,10 @@ def exploded(design: DataFrame, *extra: str) -> DataFrame:
 
 
 def column_norms(design: DataFrame) -> DataFrame:
-    """(col_id, norm) = 2-norm of every feature column."""
-    return exploded(design).groupBy("col_id") \
-        .agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
+    """(col_id, norm) = 2-norm of every feature column; one scan, one partial
+    vector a task."""
+    return passes.column_table(design, lambda M: (np.einsum("ij,ij->j", M, M), 0.0), "norm double",
+                               lambda _, sums: [np.sqrt(sums)])
 
 
 def vector_np(table: DataFrame, p: int, value: str, key: str = "col_id") -> np.ndarray:
@@ -80,8 +81,9 @@ def _map_features(design: DataFrame, fn_np, literal_col_fn, vec: np.ndarray) ->
 def normalize_columns(design: DataFrame, norms: np.ndarray | None = None) -> DataFrame:
     """Every feature divided by its column 2-norm; zero columns stay 0."""
     if norms is None:
-        p = design.select(F.size("features").alias("p")).limit(1).collect()[0]["p"]
-        norms = vector_np(column_norms(design), p, "norm")
+        held = column_norms(design).toPandas()  # p rows; their number is the width
+        norms = np.zeros(len(held))
+        norms[held["col_id"].to_numpy()] = held["norm"].to_numpy()
     norms = np.asarray(norms, dtype=np.float64)
 
     def np_fn(M, v):
@@ -140,21 +142,25 @@ def squared_error(df: DataFrame, r: str = "residual", out: str = "squared_error"
 
 
 def transpose_product(df: DataFrame, r: str = "residual", out: str = "value") -> DataFrame:
-    """A^T r as (col_id, value), SQL form."""
-    return exploded(df, r).groupBy("col_id").agg(F.sum(F.col("value") * F.col(r)).alias(out))
+    """A^T r as (col_id, value); one scan, one partial vector a task."""
+    return passes.column_table(df, lambda M, v: (M.T @ v, 0.0), f"{out} double", lambda _, sums: [sums],
+                               columns=("features", r))
 
 
 def mean_loss_gradient(design: DataFrame, w, loss=SquaredError) -> DataFrame:
-    """O28 (SQL form): mean loss and mean gradient at w, one row per column:
-    (col_id, gradient, loss, n). The loss plug-in (O42) gives the value and
-    the derivative as column expressions of the residual."""
+    """Mean loss and mean gradient at w, one row per column: (col_id, gradient,
+    loss, n). The residual is a column of the scan; the loss plug-in (O42) gives its
+    value and derivative per row, summed once per task."""
     res = residuals(design, w).withColumn("_d", loss.derivative_col(F.col("residual"))) \
         .withColumn("_l", loss.value_col(F.col("residual")))
-    per_col = exploded(res, "_d", "_l").groupBy("col_id").agg(
-        (F.sum(F.col("value") * F.col("_d")) / F.count(F.lit(1))).alias("gradient"),
-        (F.sum("_l") / F.count(F.lit(1))).alias("loss"),
-        F.count(F.lit(1)).alias("n"))
-    return per_col
+
+    def made(scalars, sums):
+        total, n = scalars
+        return [sums / n, np.full(len(sums), total / n), np.full(len(sums), int(round(n)), np.int64)]
+
+    return passes.column_table(
+        res, lambda M, d, v: (M.T @ d, np.array([v.sum(), float(len(v))])),
+        "gradient double, loss double, n bigint", made, scalars=2, columns=("features", "_d", "_l"))
 
 
 def loss_and_gradient(design: DataFrame, w, p: int | None = None, average: bool = False):
@@ -211,11 +217,12 @@ def prox_step(weights: DataFrame, gradient: DataFrame, step: float, iteration: i
 
 # ------------------------------------------------------------- cell layout
 # Cells are (row_id, col_id, value); labels are (row_id, label). Vector
-# tables join on col_id: they have at most p rows, so they are broadcast while
-# under the bound, else joined by a shuffle (AQE splits a hot col_id).
+# tables join on col_id without a hint: Spark broadcasts one when its measured size is
+# under the session's bound, else it shuffles (AQE splits a hot col_id). With a
+# known p the bound is MAX_BROADCAST_BYTES.
 
-def _small(table: DataFrame, p_bytes: int) -> DataFrame:
-    return F.broadcast(table) if p_bytes <= passes.MAX_BROADCAST_BYTES else table
+def _small(table: DataFrame, p: int | None) -> DataFrame:
+    return F.broadcast(table) if p is not None and 16 * p <= passes.MAX_BROADCAST_BYTES else table
 
 
 def column_norms_cells(cells: DataFrame) -> DataFrame:
@@ -228,20 +235,17 @@ def normalize_cells(cells: DataFrame, norms: DataFrame | None = None,
                     p: int | None = None) -> DataFrame:
     """O14, cell layout: value / norm of its column (0 for a zero column)."""
     norms = norms if norms is not None else column_norms_cells(cells)
-    nb = 16 * (p or 1_000_000)
-    return (cells.join(_small(norms, nb), "col_id")
+    return (cells.join(_small(norms, p), "col_id")
             .select("row_id", "col_id",
                     F.when(F.col("norm") != 0.0, F.col("value") / F.col("norm"))
                     .otherwise(F.lit(0.0)).alias("value")))
 
 
 def predict_cells(cells: DataFrame, labels: DataFrame, weights: DataFrame,
-                  value: str = "weight", broadcast_weights: bool = True) -> DataFrame:
+                  value: str = "weight", p: int | None = None) -> DataFrame:
     """O16, cell layout: (row_id, label, prediction); rows without cells
-    predict 0 (left join from the labels). Pass ``broadcast_weights=False``
-    when the weights table is over the broadcast bound (16 bytes per column)."""
-    pred = (cells.join(F.broadcast(weights.select("col_id", value))
-                       if broadcast_weights else weights.select("col_id", value), "col_id")
+    predict 0 (left join from the labels). ``p`` is the number of weights, if known."""
+    pred = (cells.join(_small(weights.select("col_id", value), p), "col_id")
             .groupBy("row_id").agg(F.sum(F.col("value") * F.col(value)).alias("prediction")))
     return (labels.join(pred, "row_id", "left")
             .select("row_id", "label", F.coalesce("prediction", F.lit(0.0)).alias("prediction")))

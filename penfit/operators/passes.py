@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -133,6 +134,83 @@ def iter_xy(batch: pa.RecordBatch, p: int, blocked: bool, validate: bool = False
         yield y, M
 
 
+class CsrBlock:
+    """Rows of a sparse matrix: row of every entry, columns, values."""
+
+    __slots__ = ("rows", "row", "columns", "values")
+
+    def __init__(self, rows: int, counts: np.ndarray, columns: np.ndarray, values: np.ndarray):
+        self.rows, self.columns, self.values = rows, columns, values
+        self.row = np.repeat(np.arange(rows), counts)
+
+
+def iter_blocks(batch: pa.RecordBatch, p: int, layout: str, amap):
+    """(labels, block) of one Arrow batch; ``csr`` blocks are ``CsrBlock``."""
+    if layout != "csr":
+        yield from iter_xy(batch, amap.raw_width(p), layout == "blocks")
+        return
+    held = batch.column(0).to_numpy()
+    cols = [_binary_slices(batch.column(i)) for i in range(1, 5)]
+
+    def part(j, i, dtype):
+        data, offs = cols[j]
+        size = int(offs[i + 1] - offs[i]) // np.dtype(dtype).itemsize
+        return np.frombuffer(data, dtype, count=size, offset=int(offs[i])) if size else np.empty(0, dtype)
+
+    for i, r in enumerate(held):
+        yield part(0, i, "<f8"), CsrBlock(int(r), part(1, i, "<i4"), part(2, i, "<i4"), part(3, i, "<f8"))
+
+
+CSR_SCHEMA = "rows int, labels binary, counts binary, columns binary, entries binary"
+
+
+def csr_blocks(cells: DataFrame, labels: DataFrame, p: int) -> DataFrame:
+    """Cells (row_id, col_id, value) and labels (row_id, label) -> packed blocks of
+    sparse rows. One shuffle by row_id gathers each row's cells; rows without cells
+    stay. Raises on a cell without a label's row, a column outside [0, p), and a null,
+    NaN or infinite value."""
+    ship_package(cells.sparkSession)
+    held = cells.select("row_id", F.struct("col_id", "value").alias("cell")).groupBy("row_id").agg(
+        F.collect_list("cell").alias("cells"))
+    joined = labels.select("row_id", F.col("label").cast("double").alias("label")).join(held, "row_id", "full_outer")
+    rows = joined.select("label", F.transform("cells", lambda c: c["col_id"].cast("int")).alias("columns"),
+                         F.transform("cells", lambda c: c["value"].cast("double")).alias("entries"))
+    most = MAX_BLOCK_BYTES // 12
+
+    def packed(y, counts, columns, entries):
+        return pa.RecordBatch.from_arrays(
+            [pa.array([len(y)], pa.int32()),
+             *[pa.array([np.ascontiguousarray(v, t).tobytes()], pa.binary())
+               for v, t in ((y, "<f8"), (counts, "<i4"), (columns, "<i4"), (entries, "<f8"))]],
+            names=["rows", "labels", "counts", "columns", "entries"])
+
+    def task(it):
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            y = b.column(0)
+            if y.null_count:
+                raise ValueError(f"{INVALID} null label, or cells of a row without a label")
+            y = y.to_numpy(zero_copy_only=False)
+            counts = np.nan_to_num(pa.compute.list_value_length(b.column(1)).to_numpy(zero_copy_only=False)).astype(np.int32)
+            columns, entries = b.column(1).flatten(), b.column(2).flatten()
+            if columns.null_count or entries.null_count:
+                raise ValueError(f"{INVALID} null cell")
+            columns, entries = columns.to_numpy(), entries.to_numpy()
+            if columns.size and (columns.min() < 0 or columns.max() >= p):
+                raise ValueError(f"{INVALID} col_id outside [0, {p})")
+            check_finite(y, entries)
+            ends = np.concatenate([[0], np.cumsum(counts)])
+            lo = 0
+            while lo < len(y):  # blocks of at most ``most`` entries, one row at least
+                hi = int(np.searchsorted(ends, ends[lo] + most, "right")) - 1
+                hi = min(max(hi, lo + 1), len(y), lo + 65536)
+                yield packed(y[lo:hi], counts[lo:hi], columns[ends[lo]:ends[hi]], entries[ends[lo]:ends[hi]])
+                lo = hi
+
+    return rows.mapInArrow(task, CSR_SCHEMA)
+
+
 def first_width(col: pa.Array) -> int:
     """Length of the first feature array of a batch."""
     if isinstance(col, pa.ChunkedArray):
@@ -229,6 +307,64 @@ def sum_blocks(parts: DataFrame, length: int, tasks: int | None = None) -> np.nd
     return out
 
 
+#: Partials of at most this many tasks are added in one step; more in two.
+FAN_IN = 64
+
+
+def sum_table(parts: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Task partials (block, v) summed to one row per block, as a table. Above
+    ``FAN_IN`` tasks (or an unknown number) a block's partials are first added in
+    about sqrt(tasks) groups, so no reducer reads all of a block's partials."""
+    add = vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")
+    if tasks is None or tasks > FAN_IN:
+        width = FAN_IN if tasks is None else max(2, int(tasks ** 0.5))
+        group = F.pmod(F.spark_partition_id(), F.lit(width))
+        parts = parts.groupBy("block", group.alias("level")).agg(add)
+    return parts.groupBy("block").agg(add)
+
+
+def column_table(design: DataFrame, per_block, schema: str, finish, scalars: int = 0,
+                 columns=("features",)) -> DataFrame:
+    """One scan -> one row per feature column, without a row per cell.
+    ``per_block(M, *others)`` gives the columns' partial sums (a p-vector) and an array
+    of ``scalars`` numbers; every task sends blocks of [scalars, sums of some columns],
+    which are added in levels and unpacked to ``col_id`` and the columns of ``schema``.
+    ``finish(scalars, sums)`` makes these of a block's totals."""
+    ship_package(design.sparkSession)
+    names = ["col_id", *[c.split()[0] for c in schema.split(", ")]]
+    width, head = BLOCK, scalars
+
+    def task(it):
+        single_thread_blas()
+        total, numbers, p = None, np.zeros(head), None
+        for b in it:
+            if b.num_rows == 0:
+                continue
+            p = first_width(b.column(0)) if p is None else p
+            M = features_matrix(b.column(0), p)
+            got, extra = per_block(M, *[label_vector(b.column(i)) for i in range(1, len(columns))])
+            total = got if total is None else total + got
+            numbers = numbers + extra
+        if total is None:
+            return
+        rows = [np.concatenate([numbers, total[at:at + width]]) for at in range(0, p, width)]
+        offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(len(rows), dtype=np.int32)),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows)))], names=["block", "v"])
+
+    def unpack(it):
+        for b in it:
+            for at, v in zip(b.column(0).to_pylist(), b.column(1)):
+                v = v.values.to_numpy(zero_copy_only=False)
+                made = finish(v[:head], v[head:])
+                ids = np.arange(at * width, at * width + len(v) - head, dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(c) for c in made]], names=names)
+
+    parts = design.select(*columns).mapInArrow(task, PARTIAL_SCHEMA)
+    return sum_table(parts).mapInArrow(unpack, "col_id int, " + schema)
+
+
 @dataclass
 class PassResult:
     n: int
@@ -243,64 +379,143 @@ def _check_broadcast(nbytes: int) -> None:
                          f"{MAX_BROADCAST_BYTES}; use the cell layout")
 
 
-def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
-               label: str = "label", features: str = "features",
-               tasks: int | None = None, blocked: bool = False, loss=None) -> PassResult:
-    """One scan: for the columns v_j of V (p x k) the residuals
-    ``r_j = A v_j - flag_j b`` give all inner products r_j . r_l (so the half
-    squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``.
+def row_pass(blocks: DataFrame, p: int, V: np.ndarray, rows, n_scalars: int, g: int, layout: str = "blocks",
+             linear_map=None, tasks: int | None = None):
+    """One scan of a design for any smooth function of A V: per block of rows,
+    ``rows(b, P)`` gets the labels and the products P = A V (rows x k) and returns
+    ``n_scalars`` numbers to be added up and S (rows x g), whose A^T S is added up.
+    Returns (n, scalars, A^T S as p x g).
 
-    With ``loss`` (one column only) the loss is ``loss.value_np(r)`` and the
-    gradient ``A^T loss.derivative_np(r)``; there are no inner products then."""
-    if loss is not None and np.asarray(V).reshape(p, -1).shape[1] != 1:
-        raise ValueError("a loss plug-in is evaluated for one coefficient vector at a time")
-    ship_package(design.sparkSession)
+    ``layout``: "rows" (label, features), "blocks" (packed rows, ``blockify``) or "csr"
+    (packed sparse rows, ``csr_blocks``). ``linear_map`` replaces A by a user's map of
+    the blocks (see ``maps``); p is its number of coefficients."""
+    from penfit.operators.maps import MatrixMap
+    ship_package(blocks.sparkSession)
     V = np.ascontiguousarray(np.asarray(V, dtype=np.float64).reshape(p, -1))
-    k = V.shape[1]
-    flags = np.asarray(use_label, dtype=np.float64).reshape(k)
-    gidx = [int(j) for j in grad_for]
-    g = len(gidx)
     _check_broadcast(V.nbytes)
-    sc = design.sparkSession.sparkContext
+    sc = blocks.sparkSession.sparkContext
     # small blocks travel inside the task closure (no broadcast round trip);
     # larger ones as a broadcast, released after the pass
     bc = sc.broadcast(V) if V.nbytes > CLOSURE_BYTES else None
+    held = V if bc is None else None
+    amap = linear_map if linear_map is not None else MatrixMap()
+    head = 1 + n_scalars
 
     def task(it):
         single_thread_blas()
-        Vl = bc.value if bc is not None else V
-        n = 0
-        C = np.zeros((k, k))
-        G = np.zeros((p, g))
+        Vl = bc.value if bc is not None else held
+        n, total = 0, np.zeros(n_scalars)
+        G = ColumnSums(p, g) if layout == "csr" else np.zeros((p, g))
         for b in it:
             if b.num_rows == 0:
                 continue
-            for y, M in iter_xy(b, p, blocked):
-                R = M @ Vl
-                R -= np.outer(y, flags)
-                if loss is not None:
-                    C += 2.0 * loss.value_np(R[:, 0])
-                    if g:
-                        G += (M.T @ loss.derivative_np(R[:, 0]))[:, None]
-                else:
-                    C += R.T @ R
-                    if g:
-                        G += M.T @ R[:, gidx]
+            for y, M in iter_blocks(b, p, layout, amap):
+                scalars, S = rows(y, amap.apply(M, Vl))
+                total += scalars
+                if g:
+                    if layout == "csr":
+                        G.add(*amap.adjoint_pairs(M, S))
+                    else:
+                        G += amap.adjoint(M, S)
                 n += len(y)
         if n:
-            yield emit_blocks(np.concatenate([[float(n)], C.ravel(), G.ravel(order="F")]))
+            counts = np.concatenate([[float(n)], total])
+            if layout == "csr":
+                yield from G.emit(counts)
+            else:
+                yield emit_blocks(np.concatenate([counts, G.ravel(order="F")]))
 
     try:
-        src = design if blocked else design.select(F.col(label).cast("double"), F.col(features))
-        parts = src.mapInArrow(task, PARTIAL_SCHEMA)
-        flat = sum_blocks(parts, 1 + k * k + g * p, tasks)
+        parts = blocks.mapInArrow(task, PARTIAL_SCHEMA)
+        flat = sum_blocks(parts, head + g * p, tasks)
     finally:
         if bc is not None:
             bc.unpersist()
-    C = flat[1:1 + k * k].reshape(k, k)
+    return int(round(flat[0])), flat[1:head], flat[head:].reshape((p, g), order="F")
+
+
+class ColumnSums:
+    """Sums by (column, gradient) of sparse rows: only the blocks of the partial
+    vector that hold one of the task's columns exist and are sent."""
+
+    def __init__(self, p: int, g: int):
+        self.p, self.g, self.held = p, g, {}
+
+    def add(self, columns: np.ndarray, values: np.ndarray) -> None:
+        at, where = np.unique(columns, return_inverse=True)
+        for j in range(self.g):
+            flat = at + j * self.p
+            sums = np.bincount(where, values[:, j], at.size)
+            block = flat // BLOCK
+            cuts = np.flatnonzero(np.diff(block, prepend=-1, append=-2))
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                into = self.held.setdefault(int(block[a]), np.zeros(BLOCK))
+                into[flat[a:b] - block[a] * BLOCK] += sums[a:b]
+
+    def emit(self, head: np.ndarray):
+        """Record batches (block, values) of the vector [head, sums]."""
+        shift, out = len(head), {0: np.zeros(BLOCK)}
+        out[0][:shift] = head
+        for block, values in self.held.items():  # the head moves every sum by a few places
+            first = block * BLOCK + shift
+            for part, lo, hi in ((first // BLOCK, 0, BLOCK - first % BLOCK), (first // BLOCK + 1, BLOCK - first % BLOCK, BLOCK)):
+                if lo < hi and values[lo:hi].any():
+                    at = first + lo - part * BLOCK
+                    out.setdefault(part, np.zeros(BLOCK))[at:at + hi - lo] += values[lo:hi]
+        length = shift + self.p * self.g
+        rows = [(k, v[:min(BLOCK, length - k * BLOCK)]) for k, v in sorted(out.items()) if k * BLOCK < length]
+        offsets = np.concatenate([[0], np.cumsum([len(v) for _, v in rows])]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([k for k, _ in rows], pa.int32()),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([v for _, v in rows])))],
+            names=["block", "v"])
+
+
+def squared_rows(flags, gidx, loss=None):
+    """Row function of ``multi_pass``: cross products of r_j = A v_j - flag_j b and the
+    rows whose adjoint is wanted; with a loss, its value and derivative instead."""
+    k = len(flags)
+
+    def rows(y, P):
+        if loss is not None:
+            one = np.array([2.0 * loss_value(loss, P[:, 0], y)])
+            return one, loss_derivative(loss, P[:, 0], y)[:, None] if len(gidx) else None
+        R = P - np.outer(y, flags)
+        return (R.T @ R).ravel(), R[:, gidx]
+
+    return rows, k * k
+
+
+def loss_value(loss, a: np.ndarray, b: np.ndarray) -> float:
+    """Loss of predictions ``a`` for labels ``b``: ``value_rows(a, b)`` if the plug-in
+    has it, else ``value_np`` of the residuals."""
+    return loss.value_rows(a, b) if hasattr(loss, "value_rows") else loss.value_np(a - b)
+
+
+def loss_derivative(loss, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return loss.derivative_rows(a, b) if hasattr(loss, "derivative_rows") else loss.derivative_np(a - b)
+
+
+def multi_pass(design: DataFrame, p: int, V: np.ndarray, use_label, grad_for=(),
+               label: str = "label", features: str = "features",
+               tasks: int | None = None, blocked: bool = False, loss=None) -> PassResult:
+    """One scan: for the columns v_j of V (p x k) the residuals
+    ``r_j = A v_j - flag_j b`` give all inner products r_j . r_l (so the half
+    squared norms), and for j in ``grad_for`` the gradients ``A^T r_j``.
+
+    With ``loss`` (one column only) the loss and its gradient at that column;
+    there are no inner products then."""
+    k = np.asarray(V).reshape(p, -1).shape[1]
+    if loss is not None and k != 1:
+        raise ValueError("a loss plug-in is evaluated for one coefficient vector at a time")
+    flags = np.asarray(use_label, dtype=np.float64).reshape(k)
+    gidx = [int(j) for j in grad_for]
+    rows, scalars = squared_rows(flags, gidx, loss)
+    src = design if blocked else design.select(F.col(label).cast("double"), F.col(features))
+    n, C, G = row_pass(src, p, V, rows, scalars, len(gidx), "blocks" if blocked else "rows", tasks=tasks)
+    C = C.reshape(k, k)
     C = 0.5 * (C + C.T)
-    return PassResult(int(round(flat[0])), 0.5 * np.diag(C).copy(),
-                      flat[1 + k * k:].reshape((p, g), order="F"), C)
+    return PassResult(n, 0.5 * np.diag(C).copy(), G, C)
 
 
 @dataclass
@@ -370,25 +585,3 @@ def predict(design: DataFrame, w: np.ndarray, features: str = "features",
                                              names=list(b.schema.names) + [out])
 
     return design.mapInArrow(task, schema)
-
-
-def column_sumsq_pass(design: DataFrame, p: int, features: str = "features",
-                      tasks: int | None = None) -> np.ndarray:
-    """Per-column sums of squares in one scan (the Arrow form of O20)."""
-
-    ship_package(design.sparkSession)
-    def task(it):
-        single_thread_blas()
-        s = np.zeros(p)
-        n = 0
-        for b in it:
-            if b.num_rows == 0:
-                continue
-            M = features_matrix(b.column(0), p)
-            s += np.einsum("ij,ij->j", M, M)
-            n += b.num_rows
-        if n:
-            yield emit_blocks(s)
-
-    parts = design.select(features).mapInArrow(task, PARTIAL_SCHEMA)
-    return sum_blocks(parts, p, tasks)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 STRATEGIES = ("auto", "gradient", "fused", "gram")
-LAYOUTS = ("dense", "cells")
+LAYOUTS = ("dense", "cells", "sparse")
 ORDERS = ("safe", "reference")
 
 
@@ -19,11 +19,15 @@ class FitConfig:
     the mean form on rows scaled by sqrt(n).
 
     strategy: ``gradient`` = loss and gradient at y and at x (two full passes
-    per inner step); ``fused`` = one pass per inner step at x, z and x - y;
-    ``gram`` = one pass for A^T A, then no scans; ``auto`` = gram when
-    p <= gram_max_p, else fused. ``gram`` and ``auto`` use gram_max_p as given.
-    loss: None = squared error; another loss (value_np, derivative_np of the
-    residuals, see penfit.functions.loss) needs strategy ``gradient``.
+    per inner step); ``fused`` (default) = the residual form, one pass and one
+    gradient per inner step; ``gram`` = one pass for A^T A, then no scans;
+    ``auto`` = gram when p <= gram_max_p, else fused.
+    loss: None = squared error; another loss of the predictions (see
+    penfit.functions.loss) takes ``gradient`` or ``fused``.
+    linear_map: None = the design's matrix; a user's map of its rows
+    (see penfit.operators.maps) takes ``gradient`` or ``fused``.
+    layout: ``dense`` rows, ``cells`` (SQL only) or ``sparse`` (packed sparse rows made
+    from cells); ``columns`` is the number of columns of cells, None = largest + 1.
     backtrack_order: ``safe`` decides whether the cheap Lipschitz estimate is
     trustworthy before using it; ``reference`` uses it first, then decides.
     """
@@ -45,8 +49,10 @@ class FitConfig:
     backtrack_order: str = "safe"
     average: bool = False
     loss: object = None
-    strategy: str = "auto"
+    linear_map: object = None
+    strategy: str = "fused"
     layout: str = "dense"
+    columns: int | None = None
     gram_max_p: int = 1024
     track_history: bool = True
     persist: bool = True
@@ -64,8 +70,11 @@ class FitConfig:
             raise ValueError(f"backtrack_order must be one of {ORDERS}")
         if self.max_iter < 0:
             raise ValueError("max_iter must be >= 0")
-        if self.loss is not None and (self.strategy != "gradient" or self.layout != "dense"):
-            raise ValueError("a loss other than squared error needs strategy='gradient' and the dense layout")
+        if self.loss is not None and (self.strategy == "gram" or self.layout == "cells"):
+            raise ValueError("a loss other than squared error needs strategy 'gradient' or 'fused' "
+                             "and the dense or sparse layout")
+        if self.linear_map is not None and (self.strategy == "gram" or self.layout != "dense"):
+            raise ValueError("a linear map needs strategy 'gradient' or 'fused' and the dense layout")
         if not (self.L0 > 0 and 0 < self.alpha and 0 < self.beta):
             raise ValueError("L0, alpha and beta must be positive")
 

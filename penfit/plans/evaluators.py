@@ -1,9 +1,17 @@
-"""Linear-map plug-ins (O44): how a fit evaluates the smooth part.
+"""Evaluators (O44): how a fit evaluates the smooth part.
 
 Every evaluator answers ``evaluate(V, use_label, grad_for)``: for each
 column v_j of V the half squared norm of ``A v_j - flag_j b`` and, for the
-requested j, the gradient ``A^T (A v_j - flag_j b)``. ``scans`` counts the
-Spark scans of the design it has made.
+requested j, the gradient ``A^T (A v_j - flag_j b)``. Those over blocks of rows also
+answer ``scan(V, rows, n_scalars, g)``: products A V, any function of the rows'
+products and labels, and the adjoint of what it returns (``passes.row_pass``), which is
+what other losses need. ``scans`` counts the Spark scans of the design it has made.
+
+* ``DenseEvaluator``: packed rows, coefficients as one broadcast; takes a user's map;
+* ``SparseEvaluator``: packed sparse rows made from cells, the same passes;
+* ``ColumnBlockEvaluator``: rows x columns in pieces, coefficients as a table joined by
+  column block: for vectors above the broadcast bound;
+* ``GramEvaluator``: one scan for A'A, then none; ``CellEvaluator``: SQL only.
 """
 
 from __future__ import annotations
@@ -13,8 +21,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from penfit.operators.passes import (INVALID, MAX_BROADCAST_BYTES, GramResult, PassResult,
-                                     blockify, gram_pass, multi_pass)
+from penfit.operators import passes
+from penfit.operators.maps import MatrixMap
+from penfit.operators.passes import (INVALID, MAX_BROADCAST_BYTES, GramResult, PassResult, blockify,
+                                     csr_blocks, gram_pass, row_pass, squared_rows)
 from penfit.sources.design import DesignInfo, validate_cells, validate_design
 
 # Below this many design bytes per task, a task's fixed cost (scheduling, the
@@ -27,6 +37,8 @@ TASKS_PER_CORE = 3
 # A cached partition holding more than this many times the mean rows is a
 # straggler in every pass: the cached blocks are then re-spread once.
 SKEW_FACTOR = 4.0
+# Coefficient vectors that a pass evaluates at once, at most.
+PASS_VECTORS = 3
 
 
 def task_count(spark, parts: int, n: int, p: int) -> int:
@@ -45,7 +57,30 @@ def invalid_input(e: Exception) -> ValueError | None:
     return ValueError(msg[i + len(INVALID):].strip().splitlines()[0])
 
 
-class DenseEvaluator:
+class _BlockEvaluator:
+    """``evaluate`` by means of ``scan``."""
+
+    loss = None
+
+    def evaluate(self, V, use_label, grad_for=()) -> PassResult:
+        V = np.asarray(V, dtype=np.float64).reshape(self.p, -1)
+        k, gidx = V.shape[1], [int(j) for j in grad_for]
+        if self.loss is not None and k != 1:
+            raise ValueError("a loss plug-in is evaluated for one coefficient vector at a time")
+        flags = np.asarray(use_label, dtype=np.float64).reshape(k)
+        rows, scalars = squared_rows(flags, gidx, self.loss)
+        n, C, G = self.scan(V, rows, scalars, len(gidx))
+        C = C.reshape(k, k)
+        C = 0.5 * (C + C.T)
+        return PassResult(n, 0.5 * np.diag(C).copy(), G, C)
+
+    def _checked(self, got):
+        if got[0] != self.n:
+            raise RuntimeError(f"pass saw {got[0]} rows, expected {self.n}")
+        return got
+
+
+class DenseEvaluator(_BlockEvaluator):
     """Arrow passes over the persisted design.
 
     The design is cached once in blocks of rows with packed float64 buffers
@@ -55,8 +90,9 @@ class DenseEvaluator:
     """
 
     def __init__(self, design: DataFrame, persist: bool = True, info: DesignInfo | None = None,
-                 checkpoint: bool = False, loss=None):
+                 checkpoint: bool = False, loss=None, linear_map=None):
         self.loss = loss
+        self.map = linear_map if linear_map is not None else MatrixMap()
         rows = design.select(F.col("label").cast("double").alias("label"), "features")
         self._cached = None
         self.blocked = persist
@@ -102,7 +138,7 @@ class DenseEvaluator:
         else:
             self.df = rows
             self.info = info if info is not None else validate_design(rows)
-        self.n, self.p = self.info.n, self.info.p
+        self.n, self.p = self.info.n, self.map.coefficients(self.info.p)
         self.tasks = self.df.rdd.getNumPartitions()
         if self._cached is not None:
             # several cached partitions per task (coalesce: no shuffle, local
@@ -126,17 +162,16 @@ class DenseEvaluator:
                        F.count(F.lit(1)).alias("used"), F.min("lo").alias("pmin"),
                        F.max("hi").alias("pmax")).first()
 
-    def evaluate(self, V, use_label, grad_for=()) -> PassResult:
+    def scan(self, V, rows, n_scalars: int, g: int):
         self.scans += 1
-        r = multi_pass(self.df, self.p, V, use_label, grad_for, tasks=self.tasks,
-                       blocked=self.blocked, loss=self.loss)
-        if r.n != self.n:
-            raise RuntimeError(f"pass saw {r.n} rows, expected {self.n}")
-        return r
+        return self._checked(row_pass(self.df, self.p, V, rows, n_scalars, g, "blocks" if self.blocked else "rows",
+                                      self.map, self.tasks))
 
     def gram(self) -> GramResult:
         """A^T A, A^T b, b^T b from the cached blocks; the values were checked
         when the cache was filled."""
+        if type(self.map) is not MatrixMap:
+            raise ValueError("the Gram strategy takes the design's own matrix")
         return gram_pass(self.df, self.p, tasks=self.tasks, blocked=self.blocked, validate=not self.blocked)
 
     def close(self):
@@ -145,6 +180,178 @@ class DenseEvaluator:
             self._cached = None
 
 
+class SparseEvaluator(_BlockEvaluator):
+    """Arrow passes over packed sparse rows: a block holds its rows' entries as three
+    buffers, work and memory follow the entries, and a task's partial gradient has the
+    column blocks that its entries touch."""
+
+    def __init__(self, cells: DataFrame, labels: DataFrame, p: int, loss=None, persist: bool = True):
+        self.loss, self.p, self.scans = loss, int(p), 1
+        blocks = csr_blocks(cells, labels, self.p)
+        self._cached = self.df = blocks.persist(StorageLevel.MEMORY_AND_DISK) if persist else blocks
+        try:
+            self.n = int(self.df.agg(F.sum("rows")).first()[0] or 0)
+        except Exception as e:
+            self.close()
+            raise invalid_input(e) or e from None
+        if not self.n:
+            self.close()
+            raise ValueError("design has no rows")
+        self.tasks = self.df.rdd.getNumPartitions()
+
+    def scan(self, V, rows, n_scalars: int, g: int):
+        self.scans += 1
+        return self._checked(row_pass(self.df, self.p, V, rows, n_scalars, g, "csr", None, self.tasks))
+
+    def close(self):
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
+
+
+#: Columns of a piece of the column-blocked layout, and the most bytes of the pieces that
+#: one group (a column block of a slice of the rows) holds.
+COLUMN_BLOCK = 8192
+SLICE_BYTES = 64 * 1024 * 1024
+
+
+class ColumnBlockEvaluator(_BlockEvaluator):
+    """No vector of length p in any task: the design is cut into pieces (row block x
+    column block), kept partitioned by (column block, slice of row blocks) and
+    sorted, written to the checkpoint folder first. A pass joins the coefficients,
+    a table of column blocks, to the pieces; the partial products (one number per row and
+    column block) are summed per row block, the row function is applied there, and what it
+    returns goes back to the pieces for the partial gradients. Only coefficients
+    and row vectors are shuffled, never the matrix."""
+
+    def __init__(self, blocks: DataFrame, n: int, p: int, loss=None, column_block: int | None = None):
+        from penfit.session import ensure_checkpoint_dir
+        self.spark, self.loss, self.n, self.p, self.scans = blocks.sparkSession, loss, n, p, 1
+        self.width = column_block or COLUMN_BLOCK
+        self.columns = -(-p // self.width)
+        self.slices = max(1, -(-n * self.width * 8 // SLICE_BYTES))
+        ensure_checkpoint_dir(self.spark)
+        # written once: the pieces of a row block must come from one evaluation of the input
+        pieces = blocks.mapInArrow(_cut(p, self.width, self.slices), _PIECES).checkpoint(eager=True)
+        target = max(self.columns * self.slices, self.spark.sparkContext.defaultParallelism)
+        self.labels = pieces.where("cb < 0").select("rb", "rs", "rows", "payload")
+        self.pieces = (pieces.where("cb >= 0").repartition(target, "cb", "rs").sortWithinPartitions("cb", "rs")
+                       .persist(StorageLevel.MEMORY_AND_DISK))
+
+    def _coefficients(self, V):
+        import pandas as pd
+        held = [np.ascontiguousarray(V[a:a + self.width]).tobytes() for a in range(0, self.p, self.width)]
+        table = self.spark.createDataFrame(pd.DataFrame({"cb": np.arange(len(held), dtype=np.int32), "v": held}),
+                                           "cb int, v binary")
+        return table.select("cb", F.explode(F.sequence(F.lit(0), F.lit(self.slices - 1))).alias("rs"), "v")
+
+    def products(self, V) -> DataFrame:
+        """(rb, rs, rows, payload): partial products of every piece, rows x k doubles."""
+        V = np.asarray(V, dtype=np.float64).reshape(self.p, -1)
+        return self.pieces.groupBy("cb", "rs").cogroup(self._coefficients(V).groupBy("cb", "rs")).applyInArrow(
+            _multiply(V.shape[1]), "rb bigint, rs int, rows int, payload binary")
+
+    def scan(self, V, rows, n_scalars: int, g: int):
+        self.scans += 1
+        V = np.asarray(V, dtype=np.float64).reshape(self.p, -1)
+        both = self.products(V).withColumn("label", F.lit(False)).unionByName(
+            self.labels.withColumn("label", F.lit(True)))
+        summed = both.groupBy("rs").applyInArrow(
+            _sum_rows(rows, V.shape[1], n_scalars), "rs int, scalars array<double>, rbs binary, sizes binary, payload binary")
+        summed = summed.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            s = summed.agg(*[F.sum(F.col("scalars")[i]).alias(f"s{i}") for i in range(n_scalars + 1)]).first()
+            grads = np.zeros((self.p, g))
+            if g:
+                back = summed.select(F.explode(F.sequence(F.lit(0), F.lit(self.columns - 1))).alias("cb"), "rs", "rbs",
+                                     "sizes", "payload")
+                parts = self.pieces.groupBy("cb", "rs").cogroup(back.groupBy("cb", "rs")).applyInArrow(
+                    _adjoint(g), "block int, v array<double>")
+                for r in passes.sum_table(parts, self.slices).toLocalIterator():
+                    v = np.array(r["v"]).reshape(-1, g)
+                    grads[r["block"] * self.width:r["block"] * self.width + len(v)] = v
+        finally:
+            summed.unpersist()
+        return self._checked((int(round(s[0])), np.array([s[i + 1] for i in range(n_scalars)]), grads))
+
+    def close(self):
+        self.pieces.unpersist()
+
+
+_PIECES = "rb bigint, rs int, cb int, rows int, payload binary"
+
+
+def _cut(p: int, width: int, slices: int):
+    def run(it):
+        import pyarrow as pa
+        from pyspark import TaskContext
+        at = TaskContext.get().partitionId() << 32
+        for b in it:
+            for y, M in passes.iter_xy(b, p, True):
+                rows, payload = [-1], [y.tobytes()]
+                for c in range(0, p, width):
+                    rows.append(c // width)
+                    payload.append(np.ascontiguousarray(M[:, c:c + width]).tobytes())
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([at] * n, pa.int64()), pa.array([(at ^ (at >> 32)) % slices] * n, pa.int32()),
+                     pa.array(rows, pa.int32()), pa.array([len(y)] * n, pa.int32()), pa.array(payload, pa.binary())],
+                    names=["rb", "rs", "cb", "rows", "payload"])
+                at += 1
+    return run
+
+
+def _multiply(k: int):
+    def run(key, pieces, coefficients):
+        import pyarrow as pa
+        v = np.frombuffer(coefficients.column("v")[0].as_buffer(), "<f8").reshape(-1, k)
+        out = []
+        for payload, rows in zip(pieces.column("payload"), pieces.column("rows").to_pylist()):
+            out.append((np.frombuffer(payload.as_buffer(), "<f8").reshape(rows, -1) @ v).tobytes())
+        return pa.table([pieces.column("rb"), pieces.column("rs"), pieces.column("rows"), pa.array(out, pa.binary())],
+                        names=["rb", "rs", "rows", "payload"])
+    return run
+
+
+def _sum_rows(rows, k: int, n_scalars: int):
+    def run(key, table):
+        import pyarrow as pa
+        labels, held = {}, {}
+        for rb, n, payload, is_label in zip(*[table.column(c).to_pylist() for c in ("rb", "rows", "payload", "label")]):
+            v = np.frombuffer(payload, "<f8")
+            if is_label:
+                labels[rb] = v
+            else:
+                held[rb] = held[rb] + v if rb in held else v
+        total, sizes, parts = np.zeros(1 + n_scalars), [], []
+        for rb, y in labels.items():
+            scalars, S = rows(y, held[rb].reshape(len(y), k))
+            total += np.concatenate([[float(len(y))], scalars])
+            sizes.append(len(y))
+            parts.append(b"" if S is None else np.ascontiguousarray(S).tobytes())
+        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tolist()], pa.list_(pa.float64())),
+                         pa.array([np.array(list(labels), np.int64).tobytes()], pa.binary()),
+                         pa.array([np.array(sizes, np.int32).tobytes()], pa.binary()), pa.array([b"".join(parts)], pa.binary())],
+                        names=["rs", "scalars", "rbs", "sizes", "payload"])
+    return run
+
+
+def _adjoint(g: int):
+    def run(key, pieces, back):
+        import pyarrow as pa
+        sizes = np.frombuffer(back.column("sizes")[0].as_buffer(), np.int32)
+        S = np.frombuffer(back.column("payload")[0].as_buffer(), "<f8").reshape(-1, g)
+        ends = np.cumsum(sizes)
+        of = {int(rb): S[e - n:e] for rb, n, e in
+              zip(np.frombuffer(back.column("rbs")[0].as_buffer(), np.int64), sizes, ends)}
+        total = 0.0
+        for rb, rows, payload in zip(pieces.column("rb").to_pylist(), pieces.column("rows").to_pylist(), pieces.column("payload")):
+            total = total + np.frombuffer(payload.as_buffer(), "<f8").reshape(rows, -1).T @ of[rb]
+        return pa.table([pa.array([key[0].as_py()], pa.int32()),
+                         pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["block", "v"])
+    return run
+
+
 class GramEvaluator:
     """One scan for A^T A, A^T b, b^T b; every evaluation after it is local
     (P14). Losses come from 1/2 v^T G v - c^T v + 1/2 b^T b, which cancels
@@ -261,17 +468,28 @@ class CellEvaluator:
 
 
 def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str = "accelerated"):
-    """Pick the evaluator for a config: cells when the layout says so (or only
-    cells are given), Gram for narrow designs, Arrow passes otherwise."""
-    if cfg.layout == "cells" or design is None:
+    """Pick the evaluator for a config: SQL or packed sparse rows when the layout says so
+    (or only cells are given), Gram when asked for, column blocks when the coefficients
+    of a pass are above the broadcast bound, Arrow passes otherwise."""
+    if cfg.layout in ("cells", "sparse") or design is None:
         if cells is None:
             from penfit.sources.design import to_cells
             cells, labels = to_cells(design)
-        return CellEvaluator(cells, labels, persist=cfg.persist)
-    dense = DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss)
-    if cfg.strategy == "gram" or (cfg.strategy == "auto" and dense.p <= cfg.gram_max_p):
+        if cfg.layout != "sparse":
+            return CellEvaluator(cells, labels, persist=cfg.persist)
+        info = validate_cells(cells, labels, cfg.columns)
+        return SparseEvaluator(cells, labels, info.p, loss=cfg.loss, persist=cfg.persist)
+    dense = DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss,
+                           linear_map=cfg.linear_map)
+    if cfg.strategy == "gram" or (cfg.strategy == "auto" and dense.p <= cfg.gram_max_p
+                                  and cfg.loss is None and cfg.linear_map is None):
         try:
             return GramEvaluator(gram=dense.gram(), scans=1)
         finally:
             dense.close()
+    if PASS_VECTORS * dense.p * 8 > passes.MAX_BROADCAST_BYTES and dense.blocked and cfg.linear_map is None:
+        try:
+            return ColumnBlockEvaluator(dense.df, dense.n, dense.p, loss=cfg.loss)
+        finally:
+            dense.close()
     return dense

@@ -98,7 +98,7 @@ def test_user_loss(design):
     gradient = A.T @ Huber.derivative_np(A @ r.weights - b)
     assert np.abs(gradient).max() < 1e-5 * np.abs(A.T @ b).max()
     with pytest.raises(ValueError):
-        FitConfig(strategy="fused", loss=Huber())
+        FitConfig(strategy="gram", loss=Huber())
 
 
 @pytest.mark.parametrize("rows,message", [

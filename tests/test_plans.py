@@ -21,14 +21,14 @@ def test_price_design_scan_is_pruned_and_part_broadcast(spark):
     assert "l_shipdate" not in li and "l_returnflag" not in li and "l_orderkey" not in li
     assert "l_extendedprice" not in li          # the label is not needed for norms
     assert "BroadcastHashJoin" in plan
-    assert "partial_sum" in plan                 # map-side aggregation before the exchange
+    assert "Generate" not in plan                # no row per cell
 
 
-def test_residual_computed_before_explode(spark):
+def test_dense_column_aggregates_make_no_row_per_cell(spark):
     from penfit.sources.tables import embedding_design
-    plan = _plan(linalg.transpose_product(linalg.residuals(embedding_design(spark, SF01),
-                                                           [0.1] * 64)))
-    args = [l for l in plan.splitlines() if l.startswith("Arguments: posexplode(")][0]
-    # the residual is computed once per row and carried through the Generate
-    # node, not re-evaluated per element after it
-    assert "residual" in args
+    d = embedding_design(spark, SF01)
+    for df in (linalg.column_norms(d), linalg.transpose_product(linalg.residuals(d, [0.1] * 64)),
+               linalg.mean_loss_gradient(d, [0.1] * 64)):
+        plan = _plan(df)
+        assert "Generate" not in plan and "posexplode" not in plan
+        assert plan.count("Exchange") >= 2 and "summary" in plan.lower() or "aggregate" in plan.lower()

@@ -16,7 +16,7 @@ probabilities of all texts add up to at most one.
 Jobs: (0) bytes, words and rows of the training texts; (1) one scan gives bit counts
 of the training texts, a table of fixed size per task, added up in Spark, and word counts of
 all texts by hash range; (2) one scan scores all texts with the broadcast
-tables (``TABLE_BITS`` fixes their size, 3 x 2^TABLE_BITS x 4 bytes) and sends each
+tables (``TABLE_BITS`` fixes their size, 3 x 2^TABLE_BITS bytes) and sends each
 text's rare words to their hash ranges, where they meet the counts; the sums go back to
 the texts' blocks. Frequent words (at least a 2^-HOT_BITS-th of all, so at
 most 2^HOT_BITS words) are looked up in the scan instead, so no range holds a
@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from penfit.llm.common import pick, stage
-from penfit.llm.shingles import _IS_SPACE, groups_of_batch, text_buffers, word_hashes
+from penfit.llm.shingles import groups_of_batch, text_buffers, word_hashes
 
 ORDERS = (2, 4, 6)
 TABLE_BITS = 21
 PART_BITS = 18
 HOT_BITS = 18
 FOLDS = 10
-FIRST_BLOCK, LAST_BLOCK, BLOCK_GROWTH = 48, 2048, 1.5
+FIRST_BLOCK, LAST_BLOCK, BLOCK_GROWTH = 64, 8192, 1.5
 START_WEIGHT = 0.55
 RATE = 0.06
 MAP_STEPS, MAP_PRIOR = 24, 24.0
@@ -60,31 +60,26 @@ RANGE_ENTRIES = 2_000_000
 SPACE, END = 0x20, 0x0A
 SMOOTH = 0.1
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+PAD = max(ORDERS)
+_PADDING = bytes(PAD)
+ODDS_STEPS = 16
 GATES = 3  # how many of the two longer contexts were seen in training
 
 
 # -- stream and bits ------------------------------------------------------------
 
 def stream_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, bounds) of neighbouring texts: words with a space behind each, then END."""
-    n = len(offsets) - 1
-    inside = ~_IS_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    edge = offsets[:-1][offsets[:-1] < data.size]
-    begins[edge] = inside[edge]
-    held = np.concatenate(([0], np.cumsum(inside, dtype=np.int64)))
-    words = np.concatenate(([0], np.cumsum(begins, dtype=np.int64)))
-    bounds = held[offsets] + words[offsets] + np.arange(n + 1)
-    out = np.full(int(bounds[-1]), SPACE, np.uint8)
-    at = np.flatnonzero(inside)
-    text = np.repeat(np.arange(n), np.diff(held[offsets]))
-    # bytes before it, words that ended before it, ends of texts before it
-    out[held[at] + words[at + 1] - 1 + text] = _LOWER[data[at]]
-    out[bounds[1:] - 1] = END
-    return out, bounds
+    """(symbols, bounds) of neighbouring texts: ``PAD`` zeros that are not coded, the
+    words with a space behind each, END."""
+    raw, parts, bounds, at = memoryview(np.ascontiguousarray(data)), [], [0], 0
+    for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        words = bytes(raw[lo:hi]).lower().split()  # A-Z; splits at exactly [\x20\x09-\x0D]
+        words.append(b"\n")
+        part = b" ".join(words)
+        parts += (_PADDING, part)
+        at += PAD + len(part)
+        bounds.append(at)
+    return np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64)
 
 
 class Tree:
@@ -110,60 +105,73 @@ class Tree:
             nodes += [p[0] for p in path]
             bits += [p[1] for p in path]
             lengths.append(len(path))
-        self.nodes, self.bits = np.array(nodes, np.uint32), np.array(bits, np.uint8)
-        self.lengths = np.array(lengths, np.int64)
-        self.first = np.cumsum(self.lengths) - self.lengths
-
-    def expand(self, symbols: np.ndarray):
-        """(place of its symbol, node, bit) of every bit."""
-        n = self.lengths[symbols]
-        ends = np.cumsum(n)
-        of = np.repeat(np.arange(symbols.size), n)
-        at = np.arange(int(ends[-1]) if ends.size else 0) + np.repeat(self.first[symbols] - (ends - n), n)
-        return of, self.nodes[at], self.bits[at]
-
-
-def context_hashes(symbols: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
-    """Per order, a 32-bit hash of the bytes before each symbol in its text."""
-    at = np.arange(symbols.size) - np.repeat(bounds[:-1], np.diff(bounds))
+        #: per bit of all paths: a mixed node number, the bit; per byte: where its path starts
+        self.keys = (np.array(nodes, np.uint32) + np.uint32(1)) * np.uint32(0x165667B1)
+        self.bits = np.array(bits, np.uint8)
+        self.lengths = np.array(lengths, np.int32)
+        self.first = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+
+    def coded(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Number of bits of every symbol (none for the padding)."""
+        out = self.lengths.take(symbols)
+        for i in range(PAD):
+            out[bounds[:-1] + i] = 0
+        return out
+
+    def expand(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of its symbol, place in the paths) of every bit."""
+        ends = np.cumsum(lengths, dtype=np.int32)
+        of = np.repeat(np.arange(symbols.size, dtype=np.int32), lengths)
+        move = self.first.take(symbols) - (ends - lengths)
+        return of, np.arange(of.size, dtype=np.int32) + np.repeat(move, lengths)
+
+
+def context_hashes(symbols: np.ndarray) -> list[np.ndarray]:
+    """Per order, a mixed 32-bit hash of the bytes before each symbol; the padding before
+    a text stands for the bytes it lacks."""
+    back = np.zeros((PAD, symbols.size), np.uint32)
+    for k in range(1, PAD + 1):
+        back[k - 1, k:] = symbols[:-k]
     out, h = [], np.zeros(symbols.size, np.uint32)
-    for k in range(1, max(ORDERS) + 1):
-        back = np.zeros(symbols.size, np.uint32)
-        back[k:] = symbols[:-k] if k < symbols.size else 0
-        back[at < k] = 0
-        h = (h + back + np.uint32(k)) * np.uint32(0x9E3779B1)
+    for k in range(1, PAD + 1):
+        h += back[k - 1]
+        h += np.uint32(1)
+        h *= np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         if k in ORDERS:
             out.append(h * np.uint32(0x85EBCA77))
     return out
 
 
-def slots(context: np.ndarray, of: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Slot of every bit in an order's table; ``keys`` are mixed node numbers."""
-    h = (context[of] ^ keys) * np.uint32(0xC2B2AE3D)
-    h ^= h >> np.uint32(16)
+def slots(contexts: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Slots of bits in an order's table, from their contexts and node keys."""
+    h = contexts ^ keys
+    h *= np.uint32(0xC2B2AE3D)
+    h ^= h >> np.uint32(15)
     h *= np.uint32(0x27D4EB2F)
-    return (h >> np.uint32(32 - TABLE_BITS)).astype(np.int32)
+    h >>= np.uint32(32 - TABLE_BITS)
+    return h
 
 
-def node_keys(nodes: np.ndarray) -> np.ndarray:
-    return (nodes + np.uint32(1)) * np.uint32(0x165667B1)
-
-
-def count_bits(tree: Tree, symbols, bounds, counts: np.ndarray) -> None:
+def count_bits(tree: Tree, symbols: np.ndarray, bounds: np.ndarray, counts: np.ndarray) -> None:
     """Adds the bits of a stream to ``counts`` (order, 2 * slot + bit)."""
     if symbols.size == 0:
         return
-    of, nodes, bits = tree.expand(symbols)
-    keys, one = node_keys(nodes), bits.astype(np.int32)
-    for k, context in enumerate(context_hashes(symbols, bounds)):
-        np.add.at(counts[k], slots(context, of, keys) * 2 + one, np.uint32(1))
+    of, path = tree.expand(symbols, tree.coded(symbols, bounds))
+    keys, one = tree.keys.take(path), tree.bits.take(path)
+    for k, context in enumerate(context_hashes(symbols)):
+        at = slots(context.take(of), keys)
+        at <<= np.uint32(1)
+        at += one
+        np.add.at(counts[k], at.view(np.int32), np.uint32(1))
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
-    """(order, slot) log odds of a 1; 0 where nothing was seen."""
+    """(order, slot) log odds of a 1 in steps of 1 / ODDS_STEPS, within one byte; 0 where
+    nothing was seen."""
     zeros, ones = counts[:, 0::2].astype(np.float32), counts[:, 1::2].astype(np.float32)
-    return np.log((ones + np.float32(COUNT_PRIOR)) / (zeros + np.float32(COUNT_PRIOR)))
+    odds = np.log((ones + np.float32(COUNT_PRIOR)) / (zeros + np.float32(COUNT_PRIOR)))
+    return np.clip(np.rint(odds * ODDS_STEPS), -127, 127).astype(np.int8)
 
 
 # -- online mixing ----------------------------------------------------------------
@@ -180,62 +188,77 @@ def block_ends(longest: int) -> list[int]:
 def spans(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Places first[i], first[i] + 1, ... of all i, one after the other."""
     before = np.cumsum(counts) - counts
-    return np.arange(int(counts.sum())) + np.repeat(first - before, counts)
+    return np.arange(int(counts.sum()), dtype=np.int32) + np.repeat((first - before).astype(np.int32), counts)
 
 
-def inputs(tree: Tree, odds: np.ndarray, symbols: np.ndarray, bounds: np.ndarray):
-    """(bits, log odds by order, gate) of every bit of a stream. The gate tells how
-    many of the longer contexts were seen in training."""
-    of, nodes, bits = tree.expand(symbols)
-    keys = node_keys(nodes)
-    x = np.empty((of.size, len(ORDERS)), np.float32)
-    gate = np.zeros(of.size, np.int32)
-    for k, context in enumerate(context_hashes(symbols, bounds)):
-        x[:, k] = odds[k].take(slots(context, of, keys))
-        if k >= len(ORDERS) - GATES + 1:
-            gate += x[:, k] != 0
-    return bits.astype(np.float32), x, gate
+def rounds(first: np.ndarray, total: np.ndarray):
+    """Per block of bits: (texts that reach it, number of their bits in it)."""
+    lo, out = 0, []
+    for hi in block_ends(int(total.max())):
+        live = np.flatnonzero(total > lo)
+        out.append((live, first[live] + lo, np.minimum(total[live], hi) - lo))
+        lo = hi
+    return out
 
 
 def score_stream(tree: Tree, odds: np.ndarray, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Bits that each text of a stream costs."""
     n, orders = len(bounds) - 1, len(ORDERS)
-    if symbols.size == 0:
-        return np.zeros(n)
-    y, x, gate = inputs(tree, odds, symbols, bounds)
-    ends = np.concatenate(([0], np.cumsum(tree.lengths[symbols])))[bounds]
-    first, total = ends[:-1], np.diff(ends)
+    if n == 0:
+        return np.zeros(0)
+    lengths = tree.coded(symbols, bounds)
+    of, path = tree.expand(symbols, lengths)
+    ends = np.concatenate(([0], np.cumsum(lengths)))[bounds]
+    blocks = rounds(ends[:-1], np.diff(ends))
+    # bits in the order of their blocks, so that a block is one slice
+    order = np.concatenate([spans(f, held) for _, f, held in blocks])
+    of, path = of.take(order), path.take(order)
+    keys, y = tree.keys.take(path), tree.bits.take(path).astype(np.float32)
+    x = np.empty((orders, of.size), np.float32)
+    gate = np.zeros(of.size, np.intp)
+    for k, context in enumerate(context_hashes(symbols)):
+        got = odds[k].take(slots(context.take(of), keys).view(np.int32))
+        np.multiply(got, np.float32(1 / ODDS_STEPS), out=x[k])
+        if k >= orders - GATES + 1:
+            gate += got != 0
+
     cells = n * GATES
-    weights = np.full((cells, orders), START_WEIGHT, np.float32)
-    power = np.ones((cells, orders))
+    weights = np.full((orders, cells), START_WEIGHT)
+    power = np.ones((orders, cells))
     middle = (np.arange(MAP_STEPS) + 0.5) / MAP_STEPS * 16 - 8
-    seen = np.full((cells, MAP_STEPS), MAP_PRIOR)
-    ones = np.tile(MAP_PRIOR / (1 + np.exp(-middle)), (cells, 1))
+    seen = np.full(cells * MAP_STEPS, MAP_PRIOR)
+    ones = np.tile(MAP_PRIOR / (1 + np.exp(-middle)), cells)
     cost, lo = np.zeros(n), 0
-    for hi in block_ends(int(total.max())):
-        live = np.flatnonzero(total > lo)
-        held = np.minimum(total[live], hi) - lo
-        at = spans(first[live] + lo, held)
-        cell = np.repeat((live * GATES).astype(np.int32), held) + gate.take(at)
-        xb, yb = x.take(at, axis=0), y.take(at)
-        mixed = np.einsum("ij,ij->i", xb, weights.take(cell, axis=0))
+    for live, _, held in blocks:
+        hi = lo + int(held.sum())
+        xb, yb = x[:, lo:hi], y[lo:hi]
+        cell = np.repeat(live * GATES, held)
+        cell += gate[lo:hi]
+        mixed = np.zeros(hi - lo, np.float32)
+        for k in range(orders):
+            mixed += weights[k].astype(np.float32).take(cell) * xb[k]
         np.clip(mixed, -12, 12, out=mixed)
         p = 1 / (1 + np.exp(-mixed))
-        step = np.clip(mixed * np.float32(MAP_STEPS / 16) + np.float32(MAP_STEPS / 2), 0, MAP_STEPS - 1)
-        step = step.astype(np.int32) + cell * MAP_STEPS
-        known = (ones / seen).astype(np.float32).ravel().take(step)
+        mixed *= np.float32(MAP_STEPS / 16)
+        mixed += np.float32(MAP_STEPS / 2)
+        np.clip(mixed, 0, MAP_STEPS - 1, out=mixed)
+        step = mixed.astype(np.intp)
+        step += cell * MAP_STEPS
+        known = (ones / seen).astype(np.float32).take(step)
         # probability of the bit that came
-        got = 1 - np.abs(yb - np.float32(0.5) * (p + known))
+        known += p
+        known *= np.float32(0.5)
+        got = 1 - np.abs(yb - known)
         starts = np.cumsum(held) - held
         cost[live] -= np.add.reduceat(np.log2(np.maximum(got, np.float32(1e-7))), starts, dtype=np.float64)
         # what the block teaches: weights by its gradient, the map by its frequencies
         miss = yb - p
         for k in range(orders):
-            g = np.bincount(cell, miss * xb[:, k], cells)
-            power[:, k] += g * g
-            weights[:, k] += RATE * g / np.sqrt(power[:, k])
-        seen += np.bincount(step, minlength=cells * MAP_STEPS).reshape(cells, MAP_STEPS)
-        ones += np.bincount(step, yb, cells * MAP_STEPS).reshape(cells, MAP_STEPS)
+            g = np.bincount(cell, miss * xb[k], cells)
+            power[k] += g * g
+            weights[k] += RATE * g / np.sqrt(power[k])
+        seen += np.bincount(step, minlength=seen.size)
+        ones += np.bincount(step, yb, ones.size)
         lo = hi
     return cost
 
@@ -270,8 +293,9 @@ def _totals(batches):
     for b in batches:
         for _, train, own, part in _texts(b):
             symbols, bounds = stream_of(own, part)
-            n = np.diff(bounds)
-            held += np.bincount(symbols[np.repeat(train, n)], minlength=256)
+            of_text = np.repeat(train, np.diff(bounds))
+            held += np.bincount(symbols[of_text], minlength=256)
+            held[0] -= PAD * int(train.sum())
             rows += int(train.sum())
             every += int((symbols == SPACE).sum())
     words = int(held[SPACE])
@@ -410,7 +434,7 @@ def _score(model, ranges: int):
                 words, bounds = word_hashes(own, part)
                 n = len(own) - 1
                 cost_all = score_stream(tree, odds, *(stream := stream_of(own, part)))
-                sizes = np.diff(stream[1])
+                sizes = np.diff(stream[1]) - PAD
                 for first in range(0, n, BLOCK_ROWS):  # a group of many tiny texts is cut
                     last = min(n, first + BLOCK_ROWS)
                     if used + last - first > BLOCK_ROWS or entries > BLOCK_ENTRIES:

@@ -28,7 +28,7 @@ def test_streams():
     texts = ["", "a", " A b\t", "\n", "x" * 50 + " é", "Q", " ", "end\x0b\x0cX"]
     symbols, bounds = cm.stream_of(*buffers(texts))
     for i, t in enumerate(texts):
-        assert symbols[bounds[i]:bounds[i + 1]].tobytes() == plain_stream(t)
+        assert symbols[bounds[i]:bounds[i + 1]].tobytes() == bytes(cm.PAD) + plain_stream(t)
 
 
 def plain_cost(tree, odds, t, block_of):
@@ -57,14 +57,13 @@ def plain_cost(tree, odds, t, block_of):
 
     for i, s in enumerate(data):
         path = slice(int(tree.first[s]), int(tree.first[s] + tree.lengths[s]))
-        one = np.array(data[:i + 1], np.uint8)
-        contexts = [int(c[-1]) for c in cm.context_hashes(one, np.array([0, len(one)]))]
-        for node, y in zip(tree.nodes[path].tolist(), tree.bits[path].tolist()):
+        one = np.array([0] * cm.PAD + data[:i + 1], np.uint8)
+        contexts = [c[-1:] for c in cm.context_hashes(one)]
+        for key, y in zip(tree.keys[path], tree.bits[path].tolist()):
             if at == block_of[block]:
                 learn()
                 block += 1
-            x = [float(odds[k][cm.slots(np.array([c], np.uint32), np.array([0]), cm.node_keys(np.array([node], np.uint32)))[0]])
-                 for k, c in enumerate(contexts)]
+            x = [float(odds[k][cm.slots(c, np.array([key]))[0]]) / cm.ODDS_STEPS for k, c in enumerate(contexts)]
             gate = sum(v != 0 for v in x[len(x) - cm.GATES + 1:])
             w = weights.get(gate, [cm.START_WEIGHT] * len(x))
             mixed = max(-12, min(12, sum(a * b for a, b in zip(x, w))))
@@ -85,7 +84,7 @@ def test_scores_bit_by_bit():
     tree = cm.Tree(np.bincount(symbols, minlength=256))
     counts = np.zeros((len(cm.ORDERS), 2 << cm.TABLE_BITS), np.uint32)
     cm.count_bits(tree, symbols, bounds, counts)
-    assert counts.sum() == len(cm.ORDERS) * tree.lengths[symbols].sum()
+    assert counts.sum() == len(cm.ORDERS) * tree.lengths[np.frombuffer(b"".join(map(plain_stream, learned)), np.uint8)].sum()
     odds = cm.log_odds(counts)
     texts = ["the cat sat", "", "Mats é zzz 日本 on " * 5, "the cat " * 40]
     got = cm.score_stream(tree, odds, *cm.stream_of(*buffers(texts)))
@@ -103,7 +102,7 @@ def test_probabilities_of_next_bytes_add_up():
     counts = np.zeros((len(cm.ORDERS), 2 << cm.TABLE_BITS), np.uint32)
     cm.count_bits(tree, symbols, bounds, counts)
     odds = cm.log_odds(counts)
-    base = np.frombuffer(b"abc ab", np.uint8)
+    base = np.frombuffer(bytes(cm.PAD) + b"abc ab", np.uint8)
     before = cm.score_stream(tree, odds, base, np.array([0, base.size]))[0]
     streams = np.concatenate([np.append(base, np.uint8(s)) for s in range(256)])
     after = cm.score_stream(tree, odds, streams, np.arange(257) * (base.size + 1))

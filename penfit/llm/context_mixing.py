@@ -33,6 +33,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,9 +54,10 @@ START_WEIGHT = 0.55
 RATE = 0.06
 MAP_STEPS, MAP_PRIOR = 24, 24.0
 COUNT_PRIOR = 0.4
-GROUP = 1 << 18
+GROUP = 1 << 17
 BLOCK_ROWS, BLOCK_ENTRIES = 4096, 1_500_000
-WORDS_HELD = 1_500_000
+WORDS_HELD = 500_000
+LEVEL = 16
 RANGE_ENTRIES = 2_000_000
 SPACE, END = 0x20, 0x0A
 SMOOTH = 0.1
@@ -366,21 +368,27 @@ def _count(tree, ranges: int):
     return run
 
 
-def _add_counts(key, table):
-    """One row per range or table part: the tasks' counts added up, chunk by chunk."""
+def _add_counts(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a range's or table part's counts, added up batch by batch."""
     at = key[0].as_py()
     if at < 0:
         total = np.zeros(1 << PART_BITS, np.uint64)
-        for payload in table.column("keys").to_pylist():
-            got = np.frombuffer(zlib.decompress(payload), np.uint32)
-            total[:got.size] += got
-        out = [at, zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1), None, None]
+        for b in batches:
+            for payload in b.column(1).to_pylist():
+                total += np.frombuffer(zlib.decompress(payload), np.uint32)
+        out = [zlib.compress(np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes(), 1), None, None]
     else:
-        cols = [np.frombuffer(b"".join(table.column(c).to_pylist()), t)
-                for c, t in (("keys", np.uint64), ("learned", np.int64), ("held", np.int64))]
-        out = [at, *[x.tobytes() for x in summed(*cols)]]
-    return pa.table([pa.array([out[0]], pa.int32()), *[pa.array([x], pa.binary()) for x in out[1:]]],
-                    names=["at", "keys", "learned", "held"])
+        held, entries, grown = [], 0, 0
+        for b in batches:
+            for row in zip(*[b.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
+                held.append([np.frombuffer(c, t) for c, t in zip(row, (np.uint64, np.int64, np.int64))])
+                entries += held[-1][0].size
+                if entries > 2 * grown + WORDS_HELD:
+                    held = [summed(*[np.concatenate(x) for x in zip(*held)])]
+                    entries = grown = held[0][0].size
+        out = [x.tobytes() for x in summed(*[np.concatenate(x) for x in zip(*held)])]
+    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), *[pa.array([x], pa.binary()) for x in out]],
+                                     names=["at", "keys", "learned", "held"])
 
 
 def _vocabulary(least: int):
@@ -527,6 +535,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = max(16, every // RANGE_ENTRIES)
     tree = spark.sparkContext.broadcast(Tree(held))
     counted = stage(rows.select("fold", "text").mapInArrow(_count(tree, ranges), _COUNTS), "mixing-partials")
+    # two levels: no task reads all tasks' rows of a table part
+    level = F.pmod(F.spark_partition_id(), F.lit(LEVEL))
+    counted = counted.groupBy("at", level.alias("level")).applyInArrow(_add_counts, _COUNTS)
     counts = stage(counted.groupBy("at").applyInArrow(_add_counts, _COUNTS), "mixing-counts")
 
     tables = np.zeros(len(ORDERS) * (2 << TABLE_BITS), np.uint32)

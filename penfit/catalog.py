@@ -14,12 +14,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from penfit.operators import compare, linalg
+from penfit.functions.loss import Huber
+from penfit.operators import compare, linalg, vectors
+from penfit.operators.maps import CentredMap
 from penfit.plans import FitConfig, fit_accelerated, fit_gradient_descent
+from penfit.plans.evaluators import ColumnBlockEvaluator, DenseEvaluator
 from penfit.session import unique_path
 from penfit.sources import design as dsg
 from penfit.sources import results as res
-from penfit.sources.tables import embedding_design, load_table, price_design
+from penfit.sources.tables import EVENT_SLOTS, embedding_design, event_cells, load_table, price_design
 
 # Fixed parameters of the registered queries.
 W_EMB = [(j + 1) / 64.0 for j in range(64)]        # weights i+1 (scaled) on D2
@@ -30,6 +33,7 @@ GD_ITERS = 30
 LABEL_UNIT = 1000.0                                  # fit label: price in thousands
 ACC_ITERS = 20
 CONVERGED_TOL = 0.01
+BAD_STEP = 1e80
 
 
 def sig(x: str, digits: int = 6) -> str:
@@ -313,16 +317,11 @@ def _fits(spark, sf, iters=ACC_ITERS):
 
 
 def q_strategy_agreement(spark, sf):
-    """Weights of the three accelerated strategies against fused."""
+    """The weights of every strategy of the accelerated fit."""
     fits = _fits(spark, sf)
     parts = [fits[m].coefficients(spark).withColumn("method", F.lit(m))
              for m in ("gradient", "fused", "gram")]
-    long = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    rd = compare.relative_difference(long, "fused", "col_id", "weight")
-    rm = compare.rmse(long, "fused", "col_id", "weight")
-    return rd.join(rm, "method").select(
-        "method", (F.col("relative_difference") < 1e-9).alias("close"),
-        (F.col("rmse") < 1e-6).alias("rmse_small"))
+    return rounded(parts[0].unionByName(parts[1]).unionByName(parts[2]))
 
 
 def q_same_iterations(spark, sf):
@@ -439,6 +438,100 @@ def _write_numbers(spark, r, path):
     res.write_numbers(r.history_table(spark), path, "objective", "iteration")
 
 
+# ------------------------------------------------- losses, maps, layouts, vectors
+HUBER_DELTA, LAMBDA_HUBER, HUBER_ITERS = 5.0, 100.0, 10
+LAMBDA_EVENTS, EVENT_COLUMNS = 0.5, 40
+
+
+def q_huber_fit(spark, sf):
+    """The residual form of another loss (Huber) on normalised D1."""
+    cfg = FitConfig(max_iter=HUBER_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference",
+                    loss=Huber(HUBER_DELTA))
+    r = fit_accelerated(_normalised_price(spark, sf), LAMBDA_HUBER, cfg)
+    h = r.history_table(spark).select("iteration", "objective", "lipschitz")
+    return rounded(h.join(r.coefficients(spark).groupBy().agg(
+        F.array_sort(F.collect_list(F.struct("col_id", "weight"))).alias("w")).select(
+        *[F.col("w")[j]["weight"].alias(f"w{j}") for j in range(6)])))
+
+
+def q_huber_mean_gradient(spark, sf):
+    """Mean Huber loss and gradient of D1, by column expressions."""
+    return rounded(linalg.mean_loss_gradient(price_design(spark, sf), W_PRICE, Huber(1000.0)))
+
+
+def q_sparse_fit(spark, sf):
+    """The accelerated fit on packed sparse rows of D3."""
+    cells, labels = event_cells(spark, sf)
+    cfg = FitConfig(max_iter=CELL_FIT_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference",
+                    layout="sparse", columns=EVENT_COLUMNS)
+    return rounded(fit_accelerated(None, LAMBDA_EVENTS, cfg, cells=cells, labels=labels).coefficients(spark))
+
+
+def q_centred_fit(spark, sf):
+    """A linear map plug-in, D2 with its column means taken off inside the map."""
+    d = embedding_design(spark, sf)
+    n = d.count()
+    means = linalg.vector_np(linalg.transpose_product(d.withColumn("one", F.lit(1.0 / n)), "one"), 64, "value")
+    cfg = FitConfig(max_iter=CELL_FIT_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference",
+                    linear_map=CentredMap(means))
+    return rounded(fit_accelerated(d, LAMBDA_EMB, cfg).coefficients(spark))
+
+
+def q_column_block_fit(spark, sf):
+    """The fit of D2 in column blocks, no vector of length p in a task."""
+    cfg = FitConfig(max_iter=CELL_FIT_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference")
+    dense = DenseEvaluator(embedding_design(spark, sf))
+    ev = ColumnBlockEvaluator(dense.df, dense.n, dense.p, column_block=24)
+    dense.close()
+    try:
+        return rounded(fit_accelerated(None, LAMBDA_EMB, cfg, evaluator=ev).coefficients(spark))
+    finally:
+        ev.close()
+
+
+def q_bad_loss_fit(spark, sf):
+    """A gradient descent whose step makes the loss overflow."""
+    cfg = FitConfig(max_iter=GD_ITERS, convergence_test=False, step_size=BAD_STEP)
+    r = fit_gradient_descent(_normalised_price(spark, sf), LAMBDA_PRICE, cfg)
+    return rounded(r.history_table(spark).select("iteration", F.log10("objective").alias("digits"))
+                   .withColumn("status", F.lit(r.status)))
+
+
+def q_price_residual(spark, sf):
+    """Residuals of D1 by the position of the line in its source."""
+    r = linalg.residuals(price_design(spark, sf, row_ids=True), W_PRICE)
+    return r.select("row_id", *[F.round(F.col(c) * 100).cast("bigint").alias(f"{c}_cents") for c in ("label", "residual")])
+
+
+def q_align_positions(spark, sf):
+    """Labels and features of D2 paired by position, no key."""
+    d = embedding_design(spark, sf)
+    both = dsg.align_positions(d.select("label"), d.select("features"))
+    sums = F.aggregate("features", F.lit(0.0), lambda a, v: a + v)
+    return rounded(both.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(sums).alias("total")))
+
+
+def q_row_vectors(spark, sf):
+    """O18/O24/O26 over distributed row vectors of D2: r = A w - b / 2 and its products."""
+    blocks = vectors.row_blocks(embedding_design(spark, sf))
+    b, a = vectors.labels_vector(blocks), vectors.product(blocks, W_EMB)
+    r = vectors.combined(a, 1.0, b, -0.5)
+    g = vectors.adjoint_product(blocks, r)
+    both = vectors.dot(r, a).crossJoin(vectors.dot(r, r).select(F.col("inner_product").alias("square")))  # one row each
+    return rounded(g.join(both))
+
+
+def q_result_folder(spark, sf):
+    """Histories of two methods written below a folder, read in one scan."""
+    folder = unique_path(spark, "results")
+    d = _normalised_price(spark, sf)
+    gd = fit_gradient_descent(d, LAMBDA_PRICE, FitConfig(max_iter=GD_ITERS, convergence_test=False, step_size=0.1))
+    fused = _accelerated(spark, sf, LAMBDA_PRICE)
+    for name, r in (("gd", gd), ("fused", fused)):
+        _write_numbers(spark, r, f"{folder}/{name}.csv.{r.n}-{r.p}")
+    return rounded(res.read_result_folder(spark, folder, "objective"))
+
+
 QUERIES = {
     "column_norms": q_column_norms,
     "column_norms_price": q_column_norms_price,
@@ -487,6 +580,16 @@ QUERIES = {
     "converged_fit": q_converged_fit,
     "align_documents_labels": q_align_documents_labels,
     "read_or_write": q_read_or_write,
+    "huber_fit": q_huber_fit,
+    "huber_mean_gradient": q_huber_mean_gradient,
+    "sparse_fit": q_sparse_fit,
+    "centred_fit": q_centred_fit,
+    "column_block_fit": q_column_block_fit,
+    "bad_loss_fit": q_bad_loss_fit,
+    "price_residual": q_price_residual,
+    "align_positions": q_align_positions,
+    "row_vectors": q_row_vectors,
+    "result_folder": q_result_folder,
 }
 
 
@@ -737,3 +840,114 @@ ORACLES["align_documents_labels"] = """SELECT source, count(*) AS n_joined,
   CAST(sum(quality) AS BIGINT) AS quality FROM documents JOIN labels USING (doc_id) GROUP BY source"""
 ORACLES["read_or_write"] = _with(D2) + f"""SELECT row_id, {_s('label')} AS label,
   CAST(len(features) AS INTEGER) AS n_features, CAST((SELECT count(*) FROM d2) AS DOUBLE) AS n FROM d2"""
+
+ORACLES["strategy_agreement"] = ACC_CTE + f"""SELECT method, CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight
+FROM st, range(0, 6) r(j), (SELECT unnest(['gradient', 'fused', 'gram']) AS method) WHERE it = {ACC_ITERS + 1}"""
+
+
+def loss_cte(rows: str, p: int, lam: float, iters: int, value: str, slope: str) -> str:
+    """Recursive CTE of the accelerated method over rows hr(f, b), any loss of the
+    residual r: ``value`` and ``slope`` are SQL texts with the residual for {{r}}."""
+    zeros = "[" + ", ".join(["0.0"] * p) + "]::DOUBLE[]"
+    lt = lambda body: _lt(body, p)
+    r = lambda v: f"(list_dot_product(f, {v}) - b)"
+    val = lambda v: value.replace("{r}", r(v))
+    der = lambda v: slope.replace("{r}", r(v))
+    sums = ", ".join(f"sum(f[{i}] * {der('y')})" for i in range(1, p + 1))
+    head = "it, xo, zo, lo, tho, l, simple, steps, th"
+    return "WITH RECURSIVE " + rows + f""",
+st(it, xo, zo, lo, tho, l, simple, steps) AS (
+  SELECT 1, {zeros}, {zeros}, {_L0}, CAST('inf' AS DOUBLE), {_ALPHA} * {_L0}, true, 0
+  UNION ALL
+  SELECT CASE WHEN acc THEN it + 1 ELSE it END, CASE WHEN acc THEN x ELSE xo END,
+         CASE WHEN acc AND rs THEN x WHEN acc THEN z ELSE zo END, CASE WHEN acc THEN l ELSE lo END,
+         CASE WHEN acc AND rs THEN CAST('inf' AS DOUBLE) WHEN acc THEN th ELSE tho END,
+         CASE WHEN acc THEN {_ALPHA} * l WHEN isinf(loc) THEN l / {_BETA} ELSE greatest(loc, loc / {_BETA}) END,
+         CASE WHEN acc AND rs THEN true ELSE sn END, steps + 1
+  FROM (SELECT *, (q = 0.0 OR loc <= l) AS acc, list_dot_product(gy, {lt('x[i] - xo[i]')}) > 0.0 AS rs,
+               CASE WHEN q = 0.0 OR NOT simple THEN simple
+                    ELSE abs(fy - fx) >= 1e-10 * greatest(abs(fx), abs(fy)) END AS sn
+  FROM (SELECT *, CASE WHEN q = 0.0 THEN 0.0
+                       WHEN simple THEN l + 2.0 * greatest(fx - (fy + list_dot_product(d, gy) + 0.5 * l * q), 0.0) / q
+                       ELSE 2.0 * cu / q END AS loc
+  FROM (SELECT {head}, y, fy, gy, z, x, d, list_dot_product(d, d) AS q, sum({val('x')}) AS fx,
+               sum(list_dot_product(f, d) * ({der('x')} - {der('y')})) AS cu
+  FROM (SELECT *, {lt('x[i] - y[i]')} AS d
+  FROM (SELECT *, {lt('(1.0 - th) * xo[i] + th * z[i]')} AS x
+  FROM (SELECT *, {lt(f'sign(zo[i] - gy[i] / (th * l)) * greatest(abs(zo[i] - gy[i] / (th * l)) - CAST({lam} AS DOUBLE) / (th * l), 0.0) + 0.0')} AS z
+  FROM (SELECT {head}, y, sum({val('y')}) AS fy, [{sums}] AS gy
+  FROM (SELECT *, {lt('(1.0 - th) * xo[i] + th * zo[i]')} AS y
+  FROM (SELECT st.*, 2.0 / (1.0 + sqrt(1.0 + 4.0 * (l / lo) / (tho * tho))) AS th FROM st WHERE it <= {iters} AND steps < 10000)),
+  hr GROUP BY {head}, y)))), hr GROUP BY {head}, y, fy, gy, z, x, d))))
+"""
+
+
+HUBER_VALUE = f"(CASE WHEN abs({{r}}) <= {HUBER_DELTA} THEN {{r}} * {{r}} / 2.0 ELSE {HUBER_DELTA} * (abs({{r}}) - {HUBER_DELTA} / 2.0) END)"
+HUBER_SLOPE = f"greatest(least({{r}}, {HUBER_DELTA}), -{HUBER_DELTA})"
+HUBER_ROWS = NORMAL[:NORMAL.index(",\nraw AS")] + """,
+hn AS (SELECT [""" + ", ".join(f"sqrt(sum(features[{i}] * features[{i}]))" for i in range(1, 7)) + """] AS n FROM d1),
+hr AS (SELECT """ + _lt("CASE WHEN n[i] <> 0 THEN features[i] / n[i] ELSE 0.0 END") + """ AS f, label AS b FROM d1, hn)"""
+HUBER_CTE = loss_cte(HUBER_ROWS, 6, LAMBDA_HUBER, HUBER_ITERS, HUBER_VALUE, HUBER_SLOPE)
+ORACLES["huber_fit"] = HUBER_CTE + f""",
+ends AS (SELECT *, row_number() OVER (PARTITION BY it ORDER BY steps) AS place FROM st),
+obj AS (SELECT it, lo, xo, sum({HUBER_VALUE.replace('{r}', '(list_dot_product(f, xo) - b)')})
+    + {LAMBDA_HUBER} * list_sum(list_transform(xo, lambda v: abs(v))) AS objective
+  FROM ends, hr WHERE place = 1 AND it > 1 GROUP BY it, lo, xo),
+last AS (SELECT xo AS w FROM obj WHERE it = {HUBER_ITERS + 1})
+SELECT CAST(it - 1 AS INTEGER) AS iteration, {sig('objective')} AS objective, {sig('lo')} AS lipschitz,
+  """ + ", ".join(f"{sig(f'w[{j + 1}]')} AS w{j}" for j in range(6)) + """ FROM obj, last"""
+_HM = HUBER_VALUE.replace(str(HUBER_DELTA), "1000.0").replace("{r}", "r")
+ORACLES["huber_mean_gradient"] = _with(D1, R1, C1R) + f"""SELECT col_id,
+  {_s('sum(value * greatest(least(r, 1000.0), -1000.0)) / count(*)')} AS gradient,
+  {_s(f'sum({_HM}) / count(*)')} AS loss, CAST(count(*) AS BIGINT) AS n FROM c1r GROUP BY col_id"""
+
+NORMAL_EVENTS = f"""types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS place
+  FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL)),
+c3 AS (SELECT user_id AS row_id, place * {EVENT_SLOTS} + event_id % {EVENT_SLOTS} AS col_id, sum(value) / 1000.0 AS value
+  FROM events JOIN types USING (event_type) WHERE user_id IS NOT NULL GROUP BY 1, 2),
+l3 AS (SELECT user_id AS row_id, CAST(count(*) AS DOUBLE) AS label FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+g3 AS (SELECT a.col_id AS i, b.col_id AS j, sum(a.value * b.value) AS g
+  FROM c3 a JOIN c3 b ON a.row_id = b.row_id GROUP BY 1, 2),
+s3 AS (SELECT i, j FROM range(0, {EVENT_COLUMNS}) a(i), range(0, {EVENT_COLUMNS}) b(j)),
+gm AS (SELECT list(rw ORDER BY i) AS G FROM
+  (SELECT i, list(coalesce(g, 0.0) ORDER BY j) AS rw FROM s3 LEFT JOIN g3 USING (i, j) GROUP BY i)),
+k3 AS (SELECT col_id AS i, sum(value * label) AS cc FROM c3 JOIN l3 USING (row_id) GROUP BY 1),
+cv AS (SELECT list(coalesce(cc, 0.0) ORDER BY i) AS c FROM range(0, {EVENT_COLUMNS}) a(i) LEFT JOIN k3 USING (i)),
+bb AS (SELECT sum(label * label) AS bb FROM l3)"""
+
+
+def _weights_of(normal: str, p: int, lam: float) -> str:
+    return acc_cte(normal, p, lam, CELL_FIT_ITERS) + f"""SELECT CAST(j AS INTEGER) AS col_id, {sig('xo[j + 1]')} AS weight
+FROM st, range(0, {p}) r(j) WHERE it = {CELL_FIT_ITERS + 1}"""
+
+
+ORACLES["sparse_fit"] = _weights_of(NORMAL_EVENTS, EVENT_COLUMNS, LAMBDA_EVENTS)
+ORACLES["centred_fit"] = _weights_of(NORMAL_EMB.replace(
+    C2, C2.replace("c2 AS", "u2 AS") + """,
+c2 AS (SELECT row_id, label, col_id, value - avg(value) OVER (PARTITION BY col_id) AS value FROM u2)"""), 64, LAMBDA_EMB)
+ORACLES["column_block_fit"] = ORACLES["cell_fit"]
+_BAD_LOSS = OBJ[:OBJ.index(f" + {LAMBDA_PRICE} *")]
+ORACLES["bad_loss_fit"] = GD_CTE.replace("(0.1 / sqrt(k + 1))", f"({BAD_STEP!r} / sqrt(k + 1))").replace(
+    f"WHERE k < {GD_ITERS}", "WHERE k < 6") + f""",
+o AS (SELECT k + 1 AS iteration, {OBJ} AS objective, {_BAD_LOSS} AS loss FROM it, gm, cv, bb),
+bad AS (SELECT min(iteration) AS ends FROM o WHERE isnan(loss) OR isinf(loss))
+SELECT CAST(iteration AS INTEGER) AS iteration, {sig('log10(objective)')} AS digits, 'bad_loss' AS status
+FROM o, bad WHERE iteration < ends"""
+ORACLES["price_residual"] = f"""WITH li AS (SELECT *, row_number() OVER () - 1 AS row_id FROM lineitem)
+SELECT row_id, CAST(round(label * 100) AS BIGINT) AS label_cents, CAST(round((pred - label) * 100) AS BIGINT) AS residual_cents FROM
+(SELECT row_id, CAST(l_extendedprice AS DOUBLE) AS label,
+        list_dot_product([CAST(l_quantity AS DOUBLE), CAST(l_discount AS DOUBLE), CAST(l_tax AS DOUBLE),
+          CAST(l_linenumber AS DOUBLE), CAST(p_retailprice AS DOUBLE), CAST(p_size AS DOUBLE)], {W_PRICE_SQL}) AS pred
+ FROM li JOIN part ON l_partkey = p_partkey)"""
+ORACLES["align_positions"] = _with(D2) + f"""SELECT {_s('label')} AS label, count(*) AS n,
+  {_s('sum(list_sum(features))')} AS total FROM d2 GROUP BY d2.label"""
+ORACLES["row_vectors"] = _with(D2, C2, P2, "v2 AS (SELECT row_id, prediction AS a, prediction - label / 2.0 AS r FROM p2)") + f"""
+SELECT col_id, {_s('sum(value * r)')} AS value, {_s('(SELECT sum(r * a) FROM v2)')} AS inner_product,
+  (SELECT count(*) FROM v2) AS n, {_s('(SELECT sum(r * r) FROM v2)')} AS square
+FROM c2 JOIN v2 ON c2.row_id = v2.row_id GROUP BY col_id"""
+_N_PRICE = "(SELECT count(*) FROM d1)"
+ORACLES["result_folder"] = _BOTH.replace("pair AS (SELECT gd.x[j + 1] AS s, st.xo[j + 1] AS t FROM gd, st, range(0, 6) r(j)", "unused AS (SELECT 1 AS one FROM gd, st") + f"""
+SELECT 'gd' AS method, {_N_PRICE} AS n_rows, CAST(6 AS BIGINT) AS n_cols, CAST(k + 1 AS INTEGER) AS iteration,
+  {sig(OBJ)} AS objective FROM gd, gm, cv, bb WHERE k < {GD_ITERS}
+UNION ALL SELECT 'fused', {_N_PRICE}, 6, CAST(it - 1 AS INTEGER), {sig(_OBJ_AT)}
+FROM ({_FIRST}), gm, cv, bb WHERE place = 1 AND it > 1"""

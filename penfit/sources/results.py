@@ -79,15 +79,26 @@ def read_wide_times(spark: SparkSession, path: str) -> DataFrame:
                          "method", "ns")
 
 
-def read_run_times(spark: SparkSession, files) -> DataFrame:
-    """Run-time files of one number per line (nanoseconds), one file per
-    (method_no, n_rows, n_cols) -> (method_no, n_rows, n_cols, run, ns).
-    ``files`` maps (method_no, n_rows, n_cols) to a path."""
-    parts = [read_number_file(spark, path, "ns", "run", 1)
-             .select(F.lit(int(m)).alias("method_no"), F.lit(int(r)).cast("bigint").alias("n_rows"),
-                     F.lit(int(c)).cast("bigint").alias("n_cols"), "run", "ns")
-             for (m, r, c), path in files.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+#: File names of result folders: method, rows and columns of the problem; a folder
+#: that Spark wrote holds part files.
+RESULT_NAME = r"([A-Za-z_]+)\.csv\.(\d+)-(\d+)(?:/part-[^/]*)?$"
+
+
+def read_result_folder(spark: SparkSession, folder: str, value: str = "value", index: str = "iteration",
+                       base: int = 1, name: str = RESULT_NAME) -> DataFrame:
+    """All result files below a folder, one number per line, in one scan ->
+    (method, n_rows, n_cols, index, value). Method and size come from the file's path
+    (the groups of ``name``; files with other names are left out), the index is the
+    line's number in its file: a file's lines are numbered on their own, by the place of
+    their split and in it."""
+    from pyspark.sql import Window
+    path = F.col("_metadata.file_path")
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder)
+    named = lines.where(path.rlike(name)).select(
+        F.trim("value").cast("double").alias(value), path.alias("_path"),
+        F.col("_metadata.file_block_start").alias("_from"), F.monotonically_increasing_id().alias("_id"))
+    part = F.regexp_replace("_path", "/part-[^/]*$", "")  # part files of one written table follow each other
+    row = F.row_number().over(Window.partitionBy(part).orderBy("_path", "_from", "_id"))
+    return named.select(*[F.regexp_extract("_path", name, i + 1).cast(t).alias(c) for i, (c, t) in
+                          enumerate((("method", "string"), ("n_rows", "bigint"), ("n_cols", "bigint")))],
+                        (row + F.lit(base - 1)).cast("int").alias(index), value)

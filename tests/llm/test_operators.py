@@ -113,6 +113,39 @@ def test_prefixes_of_linked_sets_share_their_l(seed):
             assert np.intersect1d(pa, pb).size >= min(la, lb)
 
 
+def test_lists_of_classes_hold_every_pair():
+    rng = np.random.default_rng(2)
+    tokens = rng.integers(0, 60, 2000).astype(np.uint64)
+    nodes = rng.integers(0, 200, 2000)
+    steps, ls = (nodes % 23).astype(np.uint8), (1 + nodes % 5).astype(np.uint8)  # a class has one of each
+    want, chained = {}, set()
+    lists, a, b = ngram_join.bucket_lists(tokens, nodes, ls, steps, small=6)
+    assert all(len({tuple(r) for r in n.tolist()}) == len(n) for n, *_ in lists)
+    for t in set(tokens.tolist()):
+        held = sorted({(int(steps[i]), int(nodes[i])) for i in np.flatnonzero(tokens == t)})
+        parts, last = [], None
+        for x in held:
+            if last is None or x[0] - last > ngram_join.SIZE_STEPS:
+                parts.append([])
+            parts[-1].append(x)
+            last = x[0]
+        for part in parts:
+            if len(part) > 6:
+                chained |= {tuple(sorted((x[1], y[1]))) for x, y in zip(part, part[1:])}
+                continue
+            for i, x in enumerate(part):
+                for y in part[i + 1:]:
+                    if y[0] - x[0] <= ngram_join.SIZE_STEPS:
+                        k = tuple(sorted((x[1], y[1])))
+                        want[k] = want.get(k, 0) + 1
+    got = {}
+    for part in lists:
+        for x, y, l, m in zip(*[c.tolist() for c in ngram_join.list_pairs(*part)]):
+            assert l == min(1 + x % 5, 1 + y % 5)
+            got[x, y] = got.get((x, y), 0) + m
+    assert got == want and set(zip(a.tolist(), b.tolist())) == chained and chained
+
+
 def test_one_row_of_a_component_stays(spark):
     rng = np.random.default_rng(8)
     text = {k: " ".join(f"{k}{x}" for x in rng.integers(0, 10_000, 120)) for k in "abcde"}

@@ -8,7 +8,7 @@ the same node, kept in hashed slots. The predictors' log odds are mixed by weigh
 that a gate picks (how many of the longer contexts were seen in training), and the mix is
 refined by an adaptive map from its probability to the frequency of ones seen
 there so far. Weights and map start the same in every text and learn online
-while it is read, in blocks of bits that grow from ``FIRST_BLOCK`` to
+while it is read, in blocks of bytes that grow from ``FIRST_BLOCK`` to
 ``LAST_BLOCK``: a block is predicted with what the blocks before it taught. So a
 text's probability depends on the text and the tables alone, and the
 probabilities of all texts add up to at most one.
@@ -49,7 +49,7 @@ TABLE_BITS = 21
 PART_BITS = 18
 HOT_BITS = 18
 FOLDS = 10
-FIRST_BLOCK, LAST_BLOCK, BLOCK_GROWTH = 64, 8192, 1.5
+FIRST_BLOCK, LAST_BLOCK, BLOCK_GROWTH = 16, 2048, 1.5
 START_WEIGHT = 0.55
 RATE = 0.06
 MAP_STEPS, MAP_PRIOR = 24, 24.0
@@ -120,12 +120,12 @@ class Tree:
             out[bounds[:-1] + i] = 0
         return out
 
-    def expand(self, symbols: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place of its symbol, place in the paths) of every bit."""
+    def expand(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Place in the paths of every bit of a stream."""
         ends = np.cumsum(lengths, dtype=np.int32)
-        of = np.repeat(np.arange(symbols.size, dtype=np.int32), lengths)
-        move = self.first.take(symbols) - (ends - lengths)
-        return of, np.arange(of.size, dtype=np.int32) + np.repeat(move, lengths)
+        out = np.repeat(self.first.take(symbols) - (ends - lengths), lengths)
+        out += np.arange(out.size, dtype=np.int32)
+        return out
 
 
 def context_hashes(symbols: np.ndarray) -> list[np.ndarray]:
@@ -159,10 +159,11 @@ def count_bits(tree: Tree, symbols: np.ndarray, bounds: np.ndarray, counts: np.n
     """Adds the bits of a stream to ``counts`` (order, 2 * slot + bit)."""
     if symbols.size == 0:
         return
-    of, path = tree.expand(symbols, tree.coded(symbols, bounds))
+    lengths = tree.coded(symbols, bounds)
+    path = tree.expand(symbols, lengths)
     keys, one = tree.keys.take(path), tree.bits.take(path)
     for k, context in enumerate(context_hashes(symbols)):
-        at = slots(context.take(of), keys)
+        at = slots(np.repeat(context, lengths), keys)
         at <<= np.uint32(1)
         at += one
         np.add.at(counts[k], at.view(np.int32), np.uint32(1))
@@ -194,7 +195,7 @@ def spans(first: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def rounds(first: np.ndarray, total: np.ndarray):
-    """Per block of bits: (texts that reach it, number of their bits in it)."""
+    """Per block: (texts that reach it, where their symbols in it begin, how many)."""
     lo, out = 0, []
     for hi in block_ends(int(total.max())):
         live = np.flatnonzero(total > lo)
@@ -208,18 +209,19 @@ def score_stream(tree: Tree, odds: np.ndarray, symbols: np.ndarray, bounds: np.n
     n, orders = len(bounds) - 1, len(ORDERS)
     if n == 0:
         return np.zeros(0)
-    lengths = tree.coded(symbols, bounds)
-    of, path = tree.expand(symbols, lengths)
-    ends = np.concatenate(([0], np.cumsum(lengths)))[bounds]
-    blocks = rounds(ends[:-1], np.diff(ends))
-    # bits in the order of their blocks, so that a block is one slice
+    # symbols in the order of their blocks, so that a block's bits are one slice
+    blocks = rounds(bounds[:-1] + PAD, np.diff(bounds) - PAD)
     order = np.concatenate([spans(f, held) for _, f, held in blocks])
-    of, path = of.take(order), path.take(order)
+    contexts = [c.take(order) for c in context_hashes(symbols)]
+    symbols = symbols.take(order)
+    lengths = tree.lengths.take(symbols)
+    path = tree.expand(symbols, lengths)
+    bits_before = np.concatenate(([0], np.cumsum(lengths)))
     keys, y = tree.keys.take(path), tree.bits.take(path).astype(np.float32)
-    x = np.empty((orders, of.size), np.float32)
-    gate = np.zeros(of.size, np.intp)
-    for k, context in enumerate(context_hashes(symbols)):
-        got = odds[k].take(slots(context.take(of), keys).view(np.int32))
+    x = np.empty((orders, path.size), np.float32)
+    gate = np.zeros(path.size, np.intp)
+    for k, context in enumerate(contexts):
+        got = odds[k].take(slots(np.repeat(context, lengths), keys).view(np.int32))
         np.multiply(got, np.float32(1 / ODDS_STEPS), out=x[k])
         if k >= orders - GATES + 1:
             gate += got != 0
@@ -230,9 +232,11 @@ def score_stream(tree: Tree, odds: np.ndarray, symbols: np.ndarray, bounds: np.n
     middle = (np.arange(MAP_STEPS) + 0.5) / MAP_STEPS * 16 - 8
     seen = np.full(cells * MAP_STEPS, MAP_PRIOR)
     ones = np.tile(MAP_PRIOR / (1 + np.exp(-middle)), cells)
-    cost, lo = np.zeros(n), 0
-    for live, _, held in blocks:
-        hi = lo + int(held.sum())
+    cost, lo, at = np.zeros(n), 0, 0
+    for live, _, symbols_held in blocks:
+        ends = bits_before[at + np.cumsum(symbols_held)]
+        at += int(symbols_held.sum())
+        held, hi = np.diff(ends, prepend=lo), int(ends[-1])
         xb, yb = x[:, lo:hi], y[lo:hi]
         cell = np.repeat(live * GATES, held)
         cell += gate[lo:hi]

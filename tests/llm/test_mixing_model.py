@@ -36,7 +36,7 @@ def plain_cost(tree, odds, t, block_of):
     data = list(plain_stream(t))
     weights, power = {}, {}
     seen, ones = {}, {}
-    cost, at, pending = 0.0, 0, []
+    cost, pending = 0.0, []
     start = [1 / (1 + math.exp(-((i + 0.5) / cm.MAP_STEPS * 16 - 8))) for i in range(cm.MAP_STEPS)]
     block = 0
 
@@ -56,13 +56,13 @@ def plain_cost(tree, odds, t, block_of):
         pending.clear()
 
     for i, s in enumerate(data):
+        if i == block_of[block]:
+            learn()
+            block += 1
         path = slice(int(tree.first[s]), int(tree.first[s] + tree.lengths[s]))
         one = np.array([0] * cm.PAD + data[:i + 1], np.uint8)
         contexts = [c[-1:] for c in cm.context_hashes(one)]
         for key, y in zip(tree.keys[path], tree.bits[path].tolist()):
-            if at == block_of[block]:
-                learn()
-                block += 1
             x = [float(odds[k][cm.slots(c, np.array([key]))[0]]) / cm.ODDS_STEPS for k, c in enumerate(contexts)]
             gate = sum(v != 0 for v in x[len(x) - cm.GATES + 1:])
             w = weights.get(gate, [cm.START_WEIGHT] * len(x))
@@ -73,7 +73,6 @@ def plain_cost(tree, odds, t, block_of):
             final = (p + known) / 2
             cost -= math.log2(max(final if y else 1 - final, 1e-7))
             pending.append((gate, x, y - p, step, y))
-            at += 1
     return cost
 
 

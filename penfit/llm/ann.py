@@ -42,6 +42,7 @@ PROBE_SHARE = 0.65
 FIRST_PROBES = 4
 MIN_PROBES = 16
 CHUNK_ROWS = 2048
+QUERY_ROWS = 8192
 BLOCK = 16
 EPS = 2.1
 SEED = 5
@@ -181,19 +182,27 @@ def _search(dims: int, k: int, block: int, eps: float, seed: int):
     return run
 
 
-def _chunks(candidates: DataFrame, queries: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Candidates in their chunk, queries in all chunks of a probed list."""
-    own = candidates.join(F.broadcast(sizes), "list").select(
+def _chunks(candidates: DataFrame, queries: DataFrame, sizes: DataFrame, query_rows: int) -> DataFrame:
+    """Candidates in their chunk, once for each part of their list's queries; queries
+    in their part, once for each chunk of a probed list. So a group holds a chunk's rows
+    and at most about ``query_rows`` queries, however many of either a list has."""
+    asked_of = queries.groupBy("list").agg(F.ceil(F.count("*") / F.lit(query_rows)).cast("int").alias("parts"))
+    both = F.broadcast(sizes.join(asked_of, "list"))  # at most MAX_LISTS rows
+
+    def upto(count):
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    own = candidates.join(both, "list").select(
         "list", F.pmod(F.xxhash64("vec_id", "v"), F.col("chunks")).cast("int").alias("chunk"),
-        "vec_id", "v", F.lit(float("nan")).alias("bar"))
-    asked = queries.join(F.broadcast(sizes), "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "vec_id", "v", "bar")
+        upto("parts").alias("part"), "vec_id", "v", F.lit(float("nan")).alias("bar"))
+    asked = queries.join(both, "list").select(
+        "list", upto("chunks").alias("chunk"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"),
+        "vec_id", "v", "bar")
     return own.unionByName(asked)
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, probe_share: float = PROBE_SHARE,
            first_probes: int = FIRST_PROBES, fit_rows: int = FIT_ROWS, list_rows: int = LIST_ROWS,
-           chunk_rows: int = CHUNK_ROWS, block: int = BLOCK, eps: float = EPS, seed: int = SEED,
+           chunk_rows: int = CHUNK_ROWS, query_rows: int = QUERY_ROWS, block: int = BLOCK, eps: float = EPS, seed: int = SEED,
            id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose
     id is divisible by ``every``, among all other rows."""
@@ -222,7 +231,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, probe_share
     schema = "query_id bigint, vec_id bigint, score double"
 
     def found(queries):
-        return _chunks(candidates, queries, sizes).groupBy("list", "chunk").applyInArrow(find, schema)
+        return _chunks(candidates, queries, sizes, query_rows).groupBy("list", "chunk", "part").applyInArrow(find, schema)
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
@@ -237,5 +246,6 @@ def search(vectors: DataFrame, every: int = 20, k: int = NEIGHBOURS, probe_share
     bars = early.where(F.col("rank") == k).select(F.col("query_id").alias("_q"), F.col("score").alias("_bar"))
     bars = bars.groupBy("_q").agg(F.max("_bar").alias("_bar"))
     late = asked.where(F.col("place") >= first_probes).join(bars, F.col("vec_id") == F.col("_q"), "left")
-    late = found(late.select("list", "vec_id", "v", F.coalesce("_bar", F.lit(float("-inf"))).alias("bar")))
+    late = stage(late.select("list", "vec_id", "v", F.coalesce("_bar", F.lit(float("-inf"))).alias("bar")), "ann-late")
+    late = found(late)
     return top(early.drop("rank").unionByName(late)).select("query_id", "rank", "vec_id", "score")

@@ -16,7 +16,7 @@ from penfit.llm.packing import pack_documents
 from penfit.llm.periodic_runs import looped, periodic_runs
 from penfit.llm.sharding import shard_rows
 from penfit.llm.token_counts import count_tokens
-from penfit.llm.token_files import read_documents, scratch_path, token_digest, write_tokens
+from penfit.llm.token_files import new_token_path, read_documents, token_digest, write_tokens
 from penfit.llm.toxicity import score_documents
 from penfit.llm.url_filters import dated_captures, derived_events, filter_urls
 
@@ -33,7 +33,7 @@ def op2_multi_match_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = write_tokens(read_table(spark, sf_dir, "documents"), scratch_path(spark))
+    path = write_tokens(read_table(spark, sf_dir, "documents"), new_token_path(spark))
     return token_digest(read_documents(spark, path))
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from penfit.llm.common import cut_points, pick, prefix_of_buckets, range_bucket, unique_path
+from penfit.llm.common import pick, prefix_of_buckets, unique_path
 from penfit.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
 END_ID = 2
@@ -75,11 +75,12 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     tokenizer = tokenizer or tokenizer_path(WORD_BPE)
     got = pick(docs, doc_id=id_col, text=text_col)
     parts = max(1, -(-got.count() // docs_per_part))
-    cuts = cut_points(got, "doc_id", parts)
-    ranged = got.withColumn("part", range_bucket(F.col("doc_id"), cuts))
-    # one task per range: the ranges follow row counts, so tasks are even
-    dealt = (ranged.repartitionById(len(cuts) + 2, F.col("part"))
-             .sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), F.xxhash64("text")))
+    # one task and file per sorted range of (id, text hash, row tag): an id, or a copied
+    # row, with many rows is cut into several ranges
+    tagged = got.withColumns({"_hash": F.xxhash64("text"), "_tag": F.monotonically_increasing_id()})
+    keys = [F.col("doc_id").asc_nulls_last(), F.col("_hash"), F.col("_tag")]
+    dealt = (tagged.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+             .withColumn("part", F.spark_partition_id()))
     made = dealt.select("part", "doc_id", "text").mapInArrow(
         _encode_part(tokenizer, end_id),
         "part int, doc_id bigint, start_in_part bigint, n_tokens bigint, tokens array<int>")
@@ -154,5 +155,5 @@ def token_digest(rows: DataFrame) -> DataFrame:
         _digest, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
-def scratch_path(spark: SparkSession) -> str:
+def new_token_path(spark: SparkSession) -> str:
     return unique_path(spark, "token-files")

@@ -48,11 +48,47 @@ def test_dedup_keeps_one_row_of_a_group(odd_documents, no_documents):
 
 
 def test_directory_splits_overfull_buckets(documents):
-    entries = exact_dedup.index_entries(documents)
-    cells = exact_dedup.directory(entries, capacity=16, bits=10)
-    held = {r["bucket"]: (r["depth"], r["held"]) for r in cells.collect()}
-    assert all(n <= 16 or d == 10 for d, n in held.values())
-    assert 1 < exact_dedup.global_depth(cells) <= 10
+    links = exact_dedup.chain_links(exact_dedup.index_entries(documents))
+    buckets = exact_dedup.directory(links, capacity=4)
+    held = [tuple(r) for r in buckets.collect()]
+    assert sum(n for *_, n in held) == links.count() and all(n <= 4 for *_, n in held)
+    assert len({d for d, *_ in held}) > 1 and exact_dedup.global_depth(buckets) == max(d for d, *_ in held)
+    # every link is in one bucket, tasks own whole buckets and chains are in them
+    got = exact_dedup.owned(links, buckets).collect()
+    assert len(got) == links.count()
+    of = {}
+    for r in got:
+        of.setdefault((r["depth"], r["prefix"]), []).append(r["key"])
+    assert sorted((d, p, len(k)) for (d, p), k in of.items()) == sorted(held)
+    for (d, p), keys in of.items():
+        assert all((k & (1 << 64) - 1) >> (64 - d) == p for k in keys) if d else True
+
+
+@pytest.mark.parametrize("keep_bits,same_digest", [(0, False), (2, True)])
+def test_collisions_are_chained(documents, odd_documents, keep_bits, same_digest):
+    """Keys (and digests) that collide on purpose: groups stay right."""
+    from pyspark.sql import functions as F
+
+    def key(norm):  # neighbouring keys, so that buckets split down to the last bits
+        return F.pmod(F.xxhash64(norm), F.lit(1 << keep_bits))
+
+    def digest(norm):
+        return F.lit("same") if same_digest else exact_dedup.digest_of(norm)
+
+    for df in (documents, odd_documents):
+        rows = rows_of(df)
+        got = exact_dedup.exact_dedup(df, capacity=4, key=key, digest=digest).collect()
+        assert len(got) == len(rows)
+        groups = {}
+        for i, t in rows:
+            groups.setdefault(norm(t), []).append((-len(t or ""), i is None, i or 0, i))
+        want = {}
+        for v in groups.values():
+            for *_, i in v:
+                want.setdefault(i, set()).add((min(v)[3], len(v), i == min(v)[3]))
+        assert all((r["keep_id"], r["group_size"], r["kept"]) in want[r["doc_id"]] for r in got)
+        if not same_digest:  # one key: all links are one chain
+            assert {r["chain"] for r in got} == set(range(len(groups)))
 
 
 # -- n-gram join ------------------------------------------------------------
@@ -270,7 +306,7 @@ def test_token_counts(documents, odd_documents, no_documents):
 def test_token_files(spark, documents, odd_documents, no_documents, encoding):
     library = Encoder(tokenizer_path(WORD_BPE)).library
     for df in (documents, odd_documents, no_documents):
-        path = token_files.write_tokens(df, token_files.scratch_path(spark), encoding=encoding, docs_per_part=40)
+        path = token_files.write_tokens(df, token_files.new_token_path(spark), encoding=encoding, docs_per_part=40)
         rows = sorted(rows_of(df), key=lambda r: (r[0] is None, r[0] or 0))
         ids = [np.array(library.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for _, t in rows]
         got = sorted(token_files.token_digest(token_files.read_documents(spark, path)).collect(),
@@ -283,7 +319,7 @@ def test_token_files(spark, documents, odd_documents, no_documents, encoding):
 
 
 def test_selective_token_reads(spark, documents):
-    path = token_files.write_tokens(documents, token_files.scratch_path(spark), docs_per_part=40)
+    path = token_files.write_tokens(documents, token_files.new_token_path(spark), docs_per_part=40)
     rows = sorted(rows_of(documents))
     library = Encoder(tokenizer_path(WORD_BPE)).library
     stream = np.concatenate([library.encode(t, add_special_tokens=False).ids + [2] for _, t in rows])
@@ -295,6 +331,38 @@ def test_selective_token_reads(spark, documents):
     assert not re.search(r"[\[,]tokens#", plan.split("== Physical Plan ==")[1])
 
 
+@pytest.mark.parametrize("encoding", ["dictionary", "delta"])
+def test_token_file_footers(spark, documents, encoding):
+    import pyarrow.parquet as pq
+    path = token_files.write_tokens(documents, token_files.new_token_path(spark), encoding=encoding, docs_per_part=100,
+                                    row_group_bytes=256 << 10, page_bytes=16 << 10, page_rows=20)
+    files = [r[0] for r in spark.read.parquet(f"{path}/tokens").select("_metadata.file_path").distinct().collect()]
+    groups = 0
+    for f in files:
+        meta = pq.ParquetFile(f.replace("file://", "")).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            for c in range(meta.num_columns):
+                col = meta.row_group(g).column(c)
+                assert col.has_offset_index and col.has_column_index
+                if col.path_in_schema.startswith("tokens"):
+                    assert ("RLE_DICTIONARY" in col.encodings) == (encoding == "dictionary")
+                if not col.path_in_schema.startswith("tokens") or encoding == "delta":
+                    assert "DELTA_BINARY_PACKED" in col.encodings
+    assert groups >= len(files) >= 2
+
+
+def test_a_hot_id_is_cut_into_several_files(spark):
+    rows = [(7 if i % 3 else None, f"text number {i % 50}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = token_files.write_tokens(df, token_files.new_token_path(spark), docs_per_part=30)
+    held = [r["documents"] for r in spark.read.parquet(f"{path}/parts").collect()]
+    assert sum(held) == 300 and len(held) >= 5 and max(held) <= 120
+    got = sorted(token_files.read_documents(spark, path).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [7] * 200 + [None] * 100
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+
+
 # -- packing ----------------------------------------------------------------
 
 def check_packing(df, **settings):
@@ -466,6 +534,26 @@ def test_neighbours(spark):
     assert hits / (20 * q.size) >= 0.9
 
 
+def test_lists_of_several_chunks_and_query_parts(spark):
+    rng = np.random.default_rng(4)
+    x = np.round(rng.standard_normal((900, 8)), 1)  # ties, also of bars
+    x[100:160] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = ann.search(df, every=5, probe_share=1.0, first_probes=1, list_rows=450, chunk_rows=100, query_rows=25).collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert len(found) == 180
+    for q, rows in found.items():
+        s = x @ x[q]
+        want = sorted((-s[i], i) for i in range(900) if i != q)[:20]
+        rows.sort()
+        assert [r[0] for r in rows] == list(range(1, 21))
+        assert np.allclose([-w[0] for w in want], [r[2] for r in rows])
+        # ties to the smaller id, up to the last bit of the sums
+        assert all(abs(s[i] - s[w[1]]) < 1e-9 for (_, i, _), w in zip(rows, want))
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),
             (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0], 1), (None, [1.0, 1.0], 1),

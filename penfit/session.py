@@ -49,8 +49,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster that setting names a folder every executor can reach and it
-    is used as is. Only where it is unset on a local master (tests) a scratch
-    folder is made and registered; on a cluster an unset folder is an error, as
+    is used as is. Only where it is unset on a local master (tests) a
+    temporary folder is made and registered; on a cluster an unset folder is an error, as
     executors would write to their own disks.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)

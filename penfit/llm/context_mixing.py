@@ -5,7 +5,7 @@ end sign. Bytes are coded as the bits of their path in the Huffman tree of the
 training texts' bytes (every byte has a path). Each bit has three predictors: tables
 of how often it was 0 and 1 in training after the same 2, 4 or 6 bytes at
 the same node, kept in hashed slots. The predictors' log odds are mixed by weights
-that a gate picks (how many of the longer contexts were seen in training), and the mix is
+that a gate picks (how many of the contexts were seen in training), and the mix is
 refined by an adaptive map from its probability to the frequency of ones seen
 there so far. Weights and map start the same in every text and learn online
 while it is read, in blocks of bytes that grow from ``FIRST_BLOCK`` to
@@ -16,7 +16,7 @@ probabilities of all texts add up to at most one.
 Jobs: (0) bytes, words and rows of the training texts; (1) one scan gives bit counts
 of the training texts, a table of fixed size per task, added up in Spark, and word counts of
 all texts by hash range; (2) one scan scores all texts with the broadcast
-tables (``TABLE_BITS`` fixes their size, 3 x 2^TABLE_BITS bytes) and sends each
+tables (``TABLE_BITS`` fixes their size, 2 x 2^TABLE_BITS bytes) and sends each
 text's rare words to their hash ranges, where they meet the counts; the sums go back to
 the texts' blocks. Frequent words (at least a 2^-HOT_BITS-th of all, so at
 most 2^HOT_BITS words) are looked up in the scan instead, so no range holds a
@@ -44,13 +44,13 @@ from pyspark.sql import functions as F
 from penfit.llm.common import pick, stage
 from penfit.llm.shingles import groups_of_batch, text_buffers, word_hashes
 
-ORDERS = (2, 4, 6)
+ORDERS = (3, 5)
 TABLE_BITS = 21
 PART_BITS = 18
 HOT_BITS = 18
 FOLDS = 10
 FIRST_BLOCK, LAST_BLOCK, BLOCK_GROWTH = 16, 2048, 1.5
-START_WEIGHT = 0.55
+START_WEIGHT = 0.75
 RATE = 0.06
 MAP_STEPS, MAP_PRIOR = 24, 24.0
 COUNT_PRIOR = 0.4
@@ -65,7 +65,7 @@ SMOOTH = 0.1
 PAD = max(ORDERS)
 _PADDING = bytes(PAD)
 ODDS_STEPS = 16
-GATES = 3  # how many of the two longer contexts were seen in training
+GATES = 3  # how many of the contexts were seen in training
 
 
 # -- stream and bits ------------------------------------------------------------
@@ -84,46 +84,62 @@ def stream_of(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.frombuffer(b"".join(parts), np.uint8), np.array(bounds, np.int64)
 
 
+def pairs_of(symbols: np.ndarray) -> np.ndarray:
+    """256 * the byte before + the byte, of every symbol."""
+    out = symbols.astype(np.int32)
+    out[1:] += symbols[:-1].astype(np.int32) << 8
+    return out
+
+
+def huffman(counts: np.ndarray) -> list[list[tuple[int, int]]]:
+    """Per symbol its path, (inner node, bit) from the root, in the Huffman tree of the
+    counts plus one (ties by the order of creation)."""
+    heap = [(int(c) + 1, i) for i, c in enumerate(counts)]
+    heapq.heapify(heap)
+    up, made = {}, 0
+    while len(heap) > 1:
+        (a, x), (b, y) = heapq.heappop(heap), heapq.heappop(heap)
+        up[x], up[y] = (made, 0), (made, 1)
+        heapq.heappush(heap, (a + b, len(counts) + made))
+        made += 1
+    paths = []
+    for s in range(len(counts)):
+        path, x = [], s
+        while x in up:
+            path.append(up[x])
+            x = len(counts) + up[x][0]
+        paths.append(path[::-1])
+    return paths
+
+
 class Tree:
-    """Paths of the 256 bytes in a Huffman tree (ties by the order of creation)."""
-
-    def __init__(self, counts):
-        heap = [(int(c) + 1, i, i) for i, c in enumerate(counts)]
-        heapq.heapify(heap)
-        up, made = {}, 0
-        while len(heap) > 1:
-            (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
-            node = 256 + made
-            up[x], up[y] = (made, 0, node), (made, 1, node)
-            heapq.heappush(heap, (a + b, node, node))
-            made += 1
+    """Paths of the 256 bytes after each byte: one Huffman tree per byte before. ``counts``
+    is 256 x 256, by the byte before and the byte."""
+
+    def __init__(self, counts: np.ndarray):
         nodes, bits, lengths = [], [], []
-        for s in range(256):
-            path, x = [], s
-            while x in up:
-                inner, bit, x = up[x]
-                path.append((inner, bit))
-            path.reverse()
-            nodes += [p[0] for p in path]
-            bits += [p[1] for p in path]
-            lengths.append(len(path))
-        #: per bit of all paths: a mixed node number, the bit; per byte: where its path starts
+        for before in range(256):
+            for path in huffman(counts[before]):
+                nodes += [before << 8 | inner for inner, _ in path]
+                bits += [bit for _, bit in path]
+                lengths.append(len(path))
+        #: per bit of all paths: a mixed node number, the bit; per pair: where its path starts
         self.keys = (np.array(nodes, np.uint32) + np.uint32(1)) * np.uint32(0x165667B1)
         self.bits = np.array(bits, np.uint8)
         self.lengths = np.array(lengths, np.int32)
         self.first = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
 
-    def coded(self, symbols: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    def coded(self, pairs: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Number of bits of every symbol (none for the padding)."""
-        out = self.lengths.take(symbols)
+        out = self.lengths.take(pairs)
         for i in range(PAD):
             out[bounds[:-1] + i] = 0
         return out
 
-    def expand(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def expand(self, pairs: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Place in the paths of every bit of a stream."""
         ends = np.cumsum(lengths, dtype=np.int32)
-        out = np.repeat(self.first.take(symbols) - (ends - lengths), lengths)
+        out = np.repeat(self.first.take(pairs) - (ends - lengths), lengths)
         out += np.arange(out.size, dtype=np.int32)
         return out
 
@@ -159,8 +175,9 @@ def count_bits(tree: Tree, symbols: np.ndarray, bounds: np.ndarray, counts: np.n
     """Adds the bits of a stream to ``counts`` (order, 2 * slot + bit)."""
     if symbols.size == 0:
         return
-    lengths = tree.coded(symbols, bounds)
-    path = tree.expand(symbols, lengths)
+    pairs = pairs_of(symbols)
+    lengths = tree.coded(pairs, bounds)
+    path = tree.expand(pairs, lengths)
     keys, one = tree.keys.take(path), tree.bits.take(path)
     for k, context in enumerate(context_hashes(symbols)):
         at = slots(np.repeat(context, lengths), keys)
@@ -213,9 +230,9 @@ def score_stream(tree: Tree, odds: np.ndarray, symbols: np.ndarray, bounds: np.n
     blocks = rounds(bounds[:-1] + PAD, np.diff(bounds) - PAD)
     order = np.concatenate([spans(f, held) for _, f, held in blocks])
     contexts = [c.take(order) for c in context_hashes(symbols)]
-    symbols = symbols.take(order)
-    lengths = tree.lengths.take(symbols)
-    path = tree.expand(symbols, lengths)
+    pairs = pairs_of(symbols).take(order)
+    lengths = tree.lengths.take(pairs)
+    path = tree.expand(pairs, lengths)
     bits_before = np.concatenate(([0], np.cumsum(lengths)))
     keys, y = tree.keys.take(path), tree.bits.take(path).astype(np.float32)
     x = np.empty((orders, path.size), np.float32)
@@ -223,8 +240,7 @@ def score_stream(tree: Tree, odds: np.ndarray, symbols: np.ndarray, bounds: np.n
     for k, context in enumerate(contexts):
         got = odds[k].take(slots(np.repeat(context, lengths), keys).view(np.int32))
         np.multiply(got, np.float32(1 / ODDS_STEPS), out=x[k])
-        if k >= orders - GATES + 1:
-            gate += got != 0
+        gate += got != 0
 
     cells = n * GATES
     weights = np.full((orders, cells), START_WEIGHT)
@@ -292,22 +308,35 @@ def chosen(offsets: np.ndarray, data: np.ndarray, mask: np.ndarray):
     return np.concatenate(([0], np.cumsum(sizes[mask]))), data[np.repeat(mask, sizes)]
 
 
+_TOTALS = "pairs binary, rows bigint, words bigint, every bigint"
+
+
+def _total_row(pairs, rows, words, every):
+    return pa.RecordBatch.from_arrays(
+        [pa.array([zlib.compress(pairs.tobytes(), 1)], pa.binary()), *[pa.array([x], pa.int64()) for x in (rows, words, every)]],
+        names=["pairs", "rows", "words", "every"])
+
+
 def _totals(batches):
-    """One row per task: bytes of the training texts by value, training rows, words of
+    """One row per task: pairs of bytes of the training texts, training rows, words of
     the training texts, words of all texts."""
-    held, rows, words, every = np.zeros(256, np.int64), 0, 0, 0
+    held, rows, every = np.zeros(1 << 16, np.int64), 0, 0
     for b in batches:
         for _, train, own, part in _texts(b):
             symbols, bounds = stream_of(own, part)
-            of_text = np.repeat(train, np.diff(bounds))
-            held += np.bincount(symbols[of_text], minlength=256)
-            held[0] -= PAD * int(train.sum())
+            held += np.bincount(pairs_of(symbols)[np.repeat(train, np.diff(bounds))], minlength=1 << 16)
             rows += int(train.sum())
             every += int((symbols == SPACE).sum())
-    words = int(held[SPACE])
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([held.tolist()], pa.list_(pa.int64())), *[pa.array([x], pa.int64()) for x in (rows, words, every)]],
-        names=["bytes", "rows", "words", "every"])
+    yield _total_row(held, rows, int(held.reshape(256, 256)[:, SPACE].sum()), every)
+
+
+def _add_totals(batches):
+    held, sums = np.zeros(1 << 16, np.int64), np.zeros(3, np.int64)
+    for b in batches:
+        for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            held += np.frombuffer(zlib.decompress(row[0]), np.int64)
+            sums += row[1:]
+    yield _total_row(held, *sums.tolist())
 
 
 def ranged(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -529,12 +558,12 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "cast(doc_id as bigint) doc_id", "coalesce(cast(text as string), '') text")
     rows = got.select(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(FOLDS)).cast("int").alias("fold"),
                       "text", "doc_id")
-    per_task = rows.select("fold", "text").mapInArrow(
-        _totals, "bytes array<bigint>, rows bigint, words bigint, every bigint")
-    sums = per_task.agg(*[F.sum(F.col("bytes")[i]).alias(f"b{i}") for i in range(256)],
-                        *[F.sum(c).alias(c) for c in ("rows", "words", "every")]).first()
-    held = [sums[f"b{i}"] or 0 for i in range(256)]
-    trained, words, every = (sums[c] or 0 for c in ("rows", "words", "every"))
+    per_task = rows.select("fold", "text").mapInArrow(_totals, _TOTALS)
+    held, trained, words, every = np.zeros(1 << 16, np.int64), 0, 0, 0
+    for r in per_task.repartition(8).mapInArrow(_add_totals, _TOTALS).collect():  # 8 rows
+        held += np.frombuffer(zlib.decompress(r["pairs"]), np.int64)
+        trained, words, every = trained + r["rows"], words + r["words"], every + r["every"]
+    held = held.reshape(256, 256)
     tokens = words + trained
     ranges = max(16, every // RANGE_ENTRIES)
     tree = spark.sparkContext.broadcast(Tree(held))

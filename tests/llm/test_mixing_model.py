@@ -59,12 +59,13 @@ def plain_cost(tree, odds, t, block_of):
         if i == block_of[block]:
             learn()
             block += 1
-        path = slice(int(tree.first[s]), int(tree.first[s] + tree.lengths[s]))
+        pair = (data[i - 1] if i else 0) << 8 | s
+        path = slice(int(tree.first[pair]), int(tree.first[pair] + tree.lengths[pair]))
         one = np.array([0] * cm.PAD + data[:i + 1], np.uint8)
         contexts = [c[-1:] for c in cm.context_hashes(one)]
         for key, y in zip(tree.keys[path], tree.bits[path].tolist()):
             x = [float(odds[k][cm.slots(c, np.array([key]))[0]]) / cm.ODDS_STEPS for k, c in enumerate(contexts)]
-            gate = sum(v != 0 for v in x[len(x) - cm.GATES + 1:])
+            gate = sum(v != 0 for v in x)
             w = weights.get(gate, [cm.START_WEIGHT] * len(x))
             mixed = max(-12, min(12, sum(a * b for a, b in zip(x, w))))
             p = 1 / (1 + math.exp(-mixed))
@@ -80,10 +81,11 @@ def test_scores_bit_by_bit():
     rng = np.random.default_rng(3)
     learned = [" ".join(rng.choice(["the", "cat", "sat", "on", "mats", "é"], 60)) for _ in range(20)]
     symbols, bounds = cm.stream_of(*buffers(learned))
-    tree = cm.Tree(np.bincount(symbols, minlength=256))
+    tree = cm.Tree(np.bincount(cm.pairs_of(symbols), minlength=1 << 16).reshape(256, 256))
     counts = np.zeros((len(cm.ORDERS), 2 << cm.TABLE_BITS), np.uint32)
     cm.count_bits(tree, symbols, bounds, counts)
-    assert counts.sum() == len(cm.ORDERS) * tree.lengths[np.frombuffer(b"".join(map(plain_stream, learned)), np.uint8)].sum()
+    each = [b"\0" + plain_stream(t) for t in learned]
+    assert counts.sum() == len(cm.ORDERS) * sum(int(tree.lengths[a << 8 | b]) for t in each for a, b in zip(t, t[1:]))
     odds = cm.log_odds(counts)
     texts = ["the cat sat", "", "Mats é zzz 日本 on " * 5, "the cat " * 40]
     got = cm.score_stream(tree, odds, *cm.stream_of(*buffers(texts)))
@@ -97,7 +99,7 @@ def test_scores_bit_by_bit():
 def test_probabilities_of_next_bytes_add_up():
     """After any history the 256 continuations' probabilities add up to one."""
     symbols, bounds = cm.stream_of(*buffers(["abc abd abc xyz"]))
-    tree = cm.Tree(np.bincount(symbols, minlength=256))
+    tree = cm.Tree(np.bincount(cm.pairs_of(symbols), minlength=1 << 16).reshape(256, 256))
     counts = np.zeros((len(cm.ORDERS), 2 << cm.TABLE_BITS), np.uint32)
     cm.count_bits(tree, symbols, bounds, counts)
     odds = cm.log_odds(counts)

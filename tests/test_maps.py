@@ -128,30 +128,27 @@ def test_intercept_map(spark, design):
     assert abs(huber.weights[0]) < 0.3 < got.weights[0]
 
 
-class Squares:
-    """A user's map: the rows' features and their squares."""
-
-    def coefficients(self, width):
-        return 2 * width
+def test_user_map_and_adjoint_check(spark, design):
+    class Squares:  # local, so it travels to the workers by value
+        """The rows' features and their squares."""
 
-    def raw_width(self, p):
-        return p // 2
+        def coefficients(self, width):
+            return 2 * width
 
-    def apply(self, M, V):
-        return np.hstack([M, M * M]) @ V
+        def raw_width(self, p):
+            return p // 2
 
-    def adjoint(self, M, S):
-        return np.hstack([M, M * M]).T @ S
+        def apply(self, M, V):
+            return np.hstack([M, M * M]) @ V
 
+        def adjoint(self, M, S):
+            return np.hstack([M, M * M]).T @ S
 
-def test_user_map_and_adjoint_check(spark, design):
     A, b, d = design
-    squares = type("Squares", (), dict(vars(Squares)))  # by value to the workers
-    squares.__module__ = "__main__"
-    got = fit_accelerated(d, 5.0, BASE.with_(linear_map=squares()))
+    got = fit_accelerated(d, 5.0, BASE.with_(linear_map=Squares()))
     want = fit_accelerated(make_design(spark, np.hstack([A, A * A]), b), 5.0, BASE)
     np.testing.assert_allclose(got.weights, want.weights, rtol=1e-8, atol=1e-10)
-    for m in (squares(), CentredMap(A.mean(axis=0)), InterceptMap(), MatrixMap()):
+    for m in (Squares(), CentredMap(A.mean(axis=0)), InterceptMap(), MatrixMap()):
         ev = DenseEvaluator(d, linear_map=m)
         assert adjoint_gap(ev) < 1e-12
         ev.close()

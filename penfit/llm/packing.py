@@ -136,16 +136,18 @@ class Index:
         for ids in items:
             t, c = np.unique(ids, return_counts=True)
             terms.append(t)
-            tfs.append(c)
-        sizes = np.array([len(x) for x in items], np.float64)
-        mean = sizes.mean() if len(items) else 1.0
-        item = np.repeat(np.arange(len(items)), [t.size for t in terms])
-        term = np.concatenate(terms).astype(np.int64)
-        tf = np.concatenate(tfs).astype(np.float64)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[item] / mean))
+            tfs.append(c.astype(np.int32))
+        sizes = np.array([len(x) for x in items], np.float32)
+        mean = sizes.mean() if len(items) else np.float32(1.0)
+        # 32-bit numbers: a shard has at most a few million postings
+        item = np.repeat(np.arange(len(items), dtype=np.int32), [t.size for t in terms])
+        term = np.concatenate(terms).astype(np.int32)
+        tf = np.concatenate(tfs).astype(np.float32)
+        long = (np.float32(K1 * (1 - B)) + np.float32(K1 * B) * sizes / mean)[item]
+        weight = idf.astype(np.float32)[term] * tf * np.float32(K1 + 1) / (tf + long)
         order = np.argsort(term, kind="stable")
         self.item, self.weight = item[order], weight[order]
-        self.begin = np.searchsorted(term[order], np.arange(idf.size + 1))
+        self.begin = np.searchsorted(term[order], np.arange(idf.size + 1, dtype=np.int32))
         self.idf, self.n = idf, len(items)
 
     def scores(self, ids: np.ndarray, terms: int) -> np.ndarray:
@@ -250,6 +252,7 @@ def pack_shard(ids: list, docs: list[np.ndarray], idf: np.ndarray, window: int =
 def _pack(idf_bytes, window: int, wide: bool):
     def run(key, table):
         import pyarrow as pa
+        encoder.cache_clear()  # this worker encodes no more: its caches make room for the shard
         idf = np.frombuffer(idf_bytes.value, "<f8")
         shard = key[0].as_py()
         kind = "<u4" if wide else "<u2"
@@ -258,6 +261,7 @@ def _pack(idf_bytes, window: int, wide: bool):
                       key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         ids = [r[0] for r in rows]
         docs = [np.frombuffer(r[1], kind) for r in rows]
+        del rows, table  # the arrays hold their bytes
         got = pack_shard(ids, docs, idf, window)
         crc = [zlib.crc32(docs[d][a:a + n].astype("<u4")) for d, a, n, _, _ in got]
         cols = list(zip(*got)) if got else [[]] * 5

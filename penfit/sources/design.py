@@ -162,13 +162,14 @@ def source_positions(df: DataFrame, name: str = "row_id") -> DataFrame:
     """``df``, freshly read from Parquet files, with the position of every row in the
     source: files in the order of their paths, rows in the order of their file. Spark
     knows a row's place in its file; the files' row counts (one row per file) are
-    summed up, so nothing depends on how splits are dealt to tasks."""
+    summed up and broadcast, so nothing depends on how splits are dealt to tasks, and
+    no row moves: shuffled by path, a file's rows would meet in one task."""
     from pyspark.sql import Window
     tagged = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.row_index").alias("_row"))
     held = df.groupBy(F.col("_metadata.file_path").alias("_path")).agg(F.count(F.lit(1)).alias("_held"))
     before = Window.orderBy("_path").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     starts = held.select("_path", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    return (tagged.join(starts, "_path").withColumn(name, (F.col("_before") + F.col("_row")).cast("bigint"))
+    return (tagged.join(F.broadcast(starts), "_path").withColumn(name, (F.col("_before") + F.col("_row")).cast("bigint"))
             .drop("_path", "_row", "_before"))
 
 
@@ -176,7 +177,7 @@ def positions(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Any DataFrame with the position of every row: partitions in their order, rows in
     the order of their partition. The rows are written to the checkpoint folder with
     their places, so that numbers and rows belong to one evaluation; the partitions'
-    counts (one row each) are summed up."""
+    counts (one row each) are summed up and broadcast, no row moves."""
     from pyspark.sql import Window
 
     from penfit.session import ensure_checkpoint_dir
@@ -187,7 +188,7 @@ def positions(df: DataFrame, name: str = "row_id") -> DataFrame:
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     starts = kept.groupBy("_part").agg(F.count(F.lit(1)).alias("_held")).select(
         "_part", F.coalesce(F.sum("_held").over(before), F.lit(0)).alias("_before"))
-    return kept.join(starts, "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
+    return kept.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at")).drop("_part", "_at", "_before")
 
 
 def align_positions(a: DataFrame, b: DataFrame, name: str = "row_id") -> DataFrame:

@@ -94,3 +94,17 @@ def test_align_rejects_repeated_and_null_keys(spark):
     with pytest.raises(ValueError, match="partner"):
         align(b, b.where("row_id = 1"))
     assert align(b, b.withColumnRenamed("y", "z")).count() == 2
+
+
+def test_positions_move_no_row(spark):
+    """A file's or partition's rows stay in their tasks, also those of a table that Spark
+    would not broadcast: only the counts are exchanged."""
+    lines = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for made in (dsg.source_positions(lines), dsg.positions(lines.select("l_quantity"))):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            assert sorted(r[0] for r in made.select("row_id").collect()) == list(range(lines.count()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -7,6 +7,7 @@ expression (``sig``), so sums taken in different orders compare equal.
 
 from __future__ import annotations
 
+import contextlib
 import math
 
 import numpy as np
@@ -18,7 +19,7 @@ from penfit.functions.loss import Huber
 from penfit.operators import compare, linalg, vectors
 from penfit.operators.maps import CentredMap
 from penfit.plans import FitConfig, fit_accelerated, fit_gradient_descent
-from penfit.plans.evaluators import ColumnBlockEvaluator, DenseEvaluator
+from penfit.plans.evaluators import ColumnBlockEvaluator, DenseEvaluator, GramEvaluator, make_evaluator
 from penfit.session import unique_path
 from penfit.sources import design as dsg
 from penfit.sources import results as res
@@ -316,6 +317,16 @@ def _fits(spark, sf, iters=ACC_ITERS):
     return out
 
 
+@contextlib.contextmanager
+def _one_design(d, cfg):
+    """An evaluator that several fits of a design share: its rows are made and cached once."""
+    ev = make_evaluator(d, cfg)
+    try:
+        yield ev
+    finally:
+        ev.close()
+
+
 def q_strategy_agreement(spark, sf):
     """The weights of every strategy of the accelerated fit."""
     fits = _fits(spark, sf)
@@ -337,13 +348,20 @@ def q_timing_table(spark, sf):
                                                   (F.col("value") * 1e6).alias("ns"))))
 
 
-def _gd_and_accelerated(spark, sf):
+def _both_fits(spark, sf):
+    """Gradient descent and the accelerated fit of one cached design."""
     d = _normalised_price(spark, sf)
-    gd = fit_gradient_descent(d, LAMBDA_PRICE, FitConfig(max_iter=GD_ITERS, convergence_test=False,
-                                                         step_size=0.1))
-    acc = fit_accelerated(d, LAMBDA_PRICE, FitConfig(
-        max_iter=ACC_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference",
-        strategy="fused"))
+    descent = FitConfig(max_iter=GD_ITERS, convergence_test=False, step_size=0.1)
+    with _one_design(d, descent) as ev:
+        gd = fit_gradient_descent(d, LAMBDA_PRICE, descent, evaluator=ev)
+        acc = fit_accelerated(d, LAMBDA_PRICE, FitConfig(
+            max_iter=ACC_ITERS, L0=10.0, convergence_test=False, backtrack_order="reference",
+            strategy="fused"), evaluator=ev)
+    return gd, acc
+
+
+def _gd_and_accelerated(spark, sf):
+    gd, acc = _both_fits(spark, sf)
     return gd.coefficients(spark).withColumn("method", F.lit("gd")).unionByName(
         acc.coefficients(spark).withColumn("method", F.lit("accelerated")))
 
@@ -524,9 +542,7 @@ def q_row_vectors(spark, sf):
 def q_result_folder(spark, sf):
     """Histories of two methods written below a folder, read in one scan."""
     folder = unique_path(spark, "results")
-    d = _normalised_price(spark, sf)
-    gd = fit_gradient_descent(d, LAMBDA_PRICE, FitConfig(max_iter=GD_ITERS, convergence_test=False, step_size=0.1))
-    fused = _accelerated(spark, sf, LAMBDA_PRICE)
+    gd, fused = _both_fits(spark, sf)
     for name, r in (("gd", gd), ("fused", fused)):
         _write_numbers(spark, r, f"{folder}/{name}.csv.{r.n}-{r.p}")
     return rounded(res.read_result_folder(spark, folder, "objective"))

@@ -18,6 +18,7 @@ from penfit.functions.columns import (MAX_LITERAL_ARRAY, array_dot, array_scale,
                                       soft_threshold)
 from penfit.functions.loss import SquaredError
 from penfit.operators import passes
+from penfit.sources.design import WIDTH
 
 
 def exploded(design: DataFrame, *extra: str) -> DataFrame:
@@ -56,7 +57,7 @@ def _map_features(design: DataFrame, fn_np, literal_col_fn, vec: np.ndarray) ->
     """Apply a per-row feature transform with a p-length vector: literal
     arrays in SQL for narrow designs, a broadcast + Arrow for wide ones."""
     if len(vec) <= MAX_LITERAL_ARRAY:
-        return design.withColumn("features", literal_col_fn(vec))
+        return design.withColumn("features", literal_col_fn(vec).alias("features", metadata={WIDTH: len(vec)}))
     import pyarrow as pa
     from penfit.session import ship_package
     ship_package(design.sparkSession)

@@ -8,6 +8,7 @@ products and labels, and the adjoint of what it returns (``passes.row_pass``), w
 what other losses need. ``scans`` counts the Spark scans of the design it has made.
 
 * ``DenseEvaluator``: packed rows, coefficients as one broadcast; takes a user's map;
+* ``NarrowEvaluator``: a few scalar columns and SQL aggregates, for squared error;
 * ``SparseEvaluator``: packed sparse rows made from cells, the same passes;
 * ``ColumnBlockEvaluator``: rows x columns in pieces, coefficients as a table joined by
   column block: for vectors above the broadcast bound;
@@ -25,7 +26,7 @@ from penfit.operators import passes
 from penfit.operators.maps import MatrixMap
 from penfit.operators.passes import (INVALID, MAX_BROADCAST_BYTES, GramResult, PassResult, blockify,
                                      csr_blocks, gram_pass, row_pass, squared_rows)
-from penfit.sources.design import DesignInfo, validate_cells, validate_design
+from penfit.sources.design import NARROW, DesignInfo, known_width, validate_cells, validate_design
 
 # Below this many design bytes per task, a task's fixed cost (scheduling, the
 # Python round trip) outweighs its work: small cached designs are coalesced.
@@ -180,6 +181,111 @@ class DenseEvaluator(_BlockEvaluator):
             self._cached = None
 
 
+class NarrowEvaluator:
+    """Squared error of a design of ``p`` columns, few and known before it runs: rows are
+    cached as scalar columns, and a pass is one aggregate whose sums run in the scan's
+    stage. No row goes to Python. The job that fills the cache checks every value, and
+    the input runs once."""
+
+    def __init__(self, design: DataFrame, p: int, checkpoint: bool = False):
+        self.p, self.scans = p, 1
+        self._x = [f"x{i}" for i in range(p)]
+        self._cached = None
+        try:
+            rows = design.select(*_checked_columns(p))
+            if checkpoint:
+                from penfit.session import ensure_checkpoint_dir
+                ensure_checkpoint_dir(rows.sparkSession)
+                rows = rows.checkpoint(eager=True)
+            self.df = self._cached = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            per = self.df.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n"))
+            s = per.agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("used")).first()
+        except Exception as e:  # bad values found while writing or caching
+            self.close()
+            err = invalid_input(e)
+            if err is not None:
+                raise err from None
+            raise
+        if not s["n"]:
+            self.close()
+            raise ValueError("design has no rows")
+        self.n, used = int(s["n"]), int(s["used"])
+        target = rows.sparkSession.sparkContext.defaultParallelism
+        small = self.n * (p + 1) * 8 <= MIN_TASK_BYTES
+        self.rebalanced = s["largest"] > SKEW_FACTOR * self.n / used and not small
+        if self.rebalanced or (used < target and not small):
+            # a hot partition or fewer splits than cores: the rows are spread once
+            spread = self._cached.repartition(max(used, target)).persist(StorageLevel.MEMORY_AND_DISK)
+            spread.count()
+            self._cached.unpersist()
+            self.df = self._cached = spread
+        self.info = DesignInfo(self.n, p)
+        parts = self.df.rdd.getNumPartitions()
+        self.tasks = task_count(self.df.sparkSession, parts, self.n, p)
+        if self.tasks < parts:
+            self.df = self._cached.coalesce(self.tasks)
+
+    def _sums(self, src: DataFrame, terms: list) -> list[float]:
+        """Sums of the terms over all rows, one scan."""
+        self.scans += 1
+        r = src.agg(F.count(F.lit(1)), *[F.sum(t) for t in terms]).first()
+        if r[0] != self.n:
+            raise RuntimeError(f"pass saw {r[0]} rows, expected {self.n}")
+        return [float(v) for v in r[1:]]
+
+    def evaluate(self, V, use_label, grad_for=()) -> PassResult:
+        V = np.asarray(V, dtype=np.float64).reshape(self.p, -1)
+        k, gidx = V.shape[1], [int(j) for j in grad_for]
+        flags = np.asarray(use_label, dtype=np.float64).reshape(k)
+        made = []
+        for j in range(k):
+            product = F.col("x0") * F.lit(float(V[0, j]))
+            for i in range(1, self.p):
+                product = product + F.col(f"x{i}") * F.lit(float(V[i, j]))
+            made.append((product - F.col("label") * F.lit(float(flags[j]))).alias(f"r{j}"))
+        pairs = [(j, l) for j in range(k) for l in range(j, k)]
+        got = self._sums(self.df.select(*self._x, *made),
+                         [F.col(f"r{j}") * F.col(f"r{l}") for j, l in pairs]
+                         + [F.col(x) * F.col(f"r{j}") for j in gidx for x in self._x])
+        C = np.zeros((k, k))
+        for (j, l), v in zip(pairs, got):
+            C[j, l] = C[l, j] = v
+        G = np.array(got[len(pairs):]).reshape(len(gidx), self.p).T
+        return PassResult(self.n, 0.5 * np.diag(C).copy(), G, C)
+
+    def gram(self) -> GramResult:
+        """A^T A, A^T b, b^T b from the cached columns."""
+        cols = [*self._x, "label"]
+        pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+        G = np.zeros((len(cols), len(cols)))
+        for (i, j), v in zip(pairs, self._sums(self.df, [F.col(cols[i]) * F.col(cols[j]) for i, j in pairs])):
+            G[i, j] = G[j, i] = v
+        return GramResult(self.n, float(G[-1, -1]), G[:-1, -1].copy(), G[:-1, :-1].copy())
+
+    def close(self):
+        if self._cached is not None:
+            self._cached.unpersist()
+            self._cached = None
+
+
+def _checked_columns(p: int) -> list:
+    """label, x0, x1, ...: never null; a row with another number of features, or a null,
+    NaN or infinite value is an error of the job that reads it."""
+    def stop(why):
+        return F.raise_error(F.lit(f"{INVALID} {why}")).cast("double")
+
+    def finite(v):
+        return F.when(v.isNull() | F.isnan(v) | (F.abs(v) == F.lit(float("inf"))),
+                      stop("null, NaN or infinite label or feature")).otherwise(v)
+
+    width = F.coalesce(F.size("features"), F.lit(-1))
+    label = F.when(width != p, stop(f"feature arrays must all have length {p}")).otherwise(
+        finite(F.col("label").cast("double")))
+    cells = [finite(F.get("features", F.lit(i)).cast("double")) for i in range(p)]
+    return [F.coalesce(v, F.lit(0.0)).alias(name)
+            for v, name in zip([label, *cells], ["label", *[f"x{i}" for i in range(p)]])]
+
+
 class SparseEvaluator(_BlockEvaluator):
     """Arrow passes over packed sparse rows: a block holds its rows' entries as three
     buffers, work and memory follow the entries, and a task's partial gradient has the
@@ -469,8 +575,9 @@ class CellEvaluator:
 
 def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str = "accelerated"):
     """Pick the evaluator for a config: SQL or packed sparse rows when the layout says so
-    (or only cells are given), Gram when asked for, column blocks when the coefficients
-    of a pass are above the broadcast bound, Arrow passes otherwise."""
+    (or only cells are given), Gram when asked for, SQL aggregates for squared error of a
+    few known columns, column blocks when the coefficients of a pass are above the
+    broadcast bound, Arrow passes otherwise."""
     if cfg.layout in ("cells", "sparse") or design is None:
         if cells is None:
             from penfit.sources.design import to_cells
@@ -479,15 +586,19 @@ def make_evaluator(design=None, cfg=None, cells=None, labels=None, method: str =
             return CellEvaluator(cells, labels, persist=cfg.persist)
         info = validate_cells(cells, labels, cfg.columns)
         return SparseEvaluator(cells, labels, info.p, loss=cfg.loss, persist=cfg.persist)
-    dense = DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss,
-                           linear_map=cfg.linear_map)
+    width = known_width(design)
+    if width is not None and 1 <= width <= NARROW and cfg.persist and cfg.loss is None and cfg.linear_map is None:
+        dense = NarrowEvaluator(design, width, checkpoint=cfg.checkpoint)
+    else:
+        dense = DenseEvaluator(design, persist=cfg.persist, checkpoint=cfg.checkpoint, loss=cfg.loss,
+                               linear_map=cfg.linear_map)
     if cfg.strategy == "gram" or (cfg.strategy == "auto" and dense.p <= cfg.gram_max_p
                                   and cfg.loss is None and cfg.linear_map is None):
         try:
             return GramEvaluator(gram=dense.gram(), scans=1)
         finally:
             dense.close()
-    if PASS_VECTORS * dense.p * 8 > passes.MAX_BROADCAST_BYTES and dense.blocked and cfg.linear_map is None:
+    if PASS_VECTORS * dense.p * 8 > passes.MAX_BROADCAST_BYTES and cfg.persist and cfg.linear_map is None:
         try:
             return ColumnBlockEvaluator(dense.df, dense.n, dense.p, loss=cfg.loss)
         finally:

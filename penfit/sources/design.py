@@ -67,10 +67,25 @@ def validate_design(df: DataFrame, label: str = "label", features: str = "featur
 def design_from_columns(df: DataFrame, label: str, features: Sequence[str],
                         key: str | None = None) -> DataFrame:
     """Labelled design from scalar columns: features cast to DOUBLE and packed
-    into one array, in the given order (column i of the design = features[i])."""
+    into one array, in the given order (column i of the design = features[i]), whose
+    width is noted in the schema (``known_width``)."""
     rid = F.col(key).cast("bigint") if key else F.lit(None).cast("bigint")
     return df.select(rid.alias("row_id"), F.col(label).cast("double").alias("label"),
-                     F.array(*[F.col(c).cast("double") for c in features]).alias("features"))
+                     F.array(*[F.col(c).cast("double") for c in features])
+                     .alias("features", metadata={WIDTH: len(features)}))
+
+
+#: Key of the feature column's metadata that holds the number of features.
+WIDTH = "penfit.width"
+#: Designs of at most so many known columns are summed by SQL aggregates: their code stays
+#: small (a Gram pass has 46 sums at this width), and moving a row to Python costs more.
+NARROW = 8
+
+
+def known_width(design: DataFrame, features: str = "features") -> int | None:
+    """Width noted in the schema by whoever made the feature column, None if there is
+    none. No job runs; who relies on it checks every row."""
+    return design.schema[features].metadata.get(WIDTH)
 
 
 def select_label(design: DataFrame) -> DataFrame:

@@ -311,9 +311,12 @@ def _fits(spark, sf, iters=ACC_ITERS):
     out = {}
     base = FitConfig(max_iter=iters, L0=10.0, convergence_test=False,
                      backtrack_order="reference")
-    for strat in ("gradient", "fused", "gram"):
-        out[strat] = fit_accelerated(d, LAMBDA_PRICE, base.with_(strategy=strat))
-    out["gd"] = fit_gradient_descent(d, LAMBDA_PRICE, base.with_(step_size=0.1))
+    with _one_design(d, base) as ev:
+        for strat in ("gradient", "fused"):
+            out[strat] = fit_accelerated(d, LAMBDA_PRICE, base.with_(strategy=strat), evaluator=ev)
+        out["gram"] = fit_accelerated(d, LAMBDA_PRICE, base.with_(strategy="gram"),
+                                      evaluator=GramEvaluator(gram=ev.gram(), scans=1))
+        out["gd"] = fit_gradient_descent(d, LAMBDA_PRICE, base.with_(step_size=0.1), evaluator=ev)
     return out
 
 

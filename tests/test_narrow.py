@@ -69,7 +69,7 @@ def test_hot_partition_is_spread(spark):
         ev.close()
 
 
-@pytest.mark.parametrize("name", ["rmse", "relative_difference", "result_folder"])
+@pytest.mark.parametrize("name", ["strategy_agreement", "rmse", "relative_difference", "result_folder"])
 def test_a_query_caches_its_design_once_and_fits_without_python(spark, name):
     made = []
     with pytest.MonkeyPatch.context() as m:

@@ -57,6 +57,22 @@ def test_width_is_known_and_checked(spark, problem):
         make_evaluator(d.limit(0), FitConfig())
 
 
+def test_column_norms_in_sql(spark, problem):
+    A, b = problem
+    A[:, 2] = 0.0
+    d = narrow(spark, A, b)
+    made = linalg.column_norms(d)
+    assert "MapInArrow" not in made._jdf.queryExecution().executedPlan().toString()
+    got = made.toPandas().sort_values("col_id")
+    assert got["col_id"].tolist() == list(range(5))
+    np.testing.assert_allclose(got["norm"], np.linalg.norm(A, axis=0), rtol=1e-12)
+    assert linalg.column_norms(d.limit(0)).count() == 0
+    for row in ([1.0] * 4, [1.0] * 4 + [None], None):
+        bad = d.unionByName(spark.createDataFrame([(None, 1.0, row)], "row_id bigint, label double, features array<double>"))
+        with pytest.raises(Exception, match="length 5"):
+            linalg.column_norms(bad).collect()
+
+
 def test_hot_partition_is_spread(spark):
     rng = np.random.default_rng(3)
     A = rng.standard_normal((60_000, 8))

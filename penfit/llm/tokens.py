@@ -42,6 +42,7 @@ _LATIN_BYTE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p
 #: Letters, digits and white space below this are the same in all Unicode versions in use.
 _STABLE = "\u0180"
 _WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN_WORD = regex.compile(_WORD_PATTERN)
 
 
 def tokenizer_path(name: str) -> str:
@@ -131,6 +132,10 @@ class Encoder:
         if unit.isascii():
             found = _ASCII_WORD.findall(unit.lower())
             return [p if p.isalnum() else p.translate(self.table) for p in found]
+        lower = unit.lower()
+        if max(lower) < _STABLE and max(unit) < _STABLE and _ODD_SPACE.search(unit) is None:  # NFC already
+            found = [p.encode().decode("latin-1") for p in _LATIN_WORD.findall(lower)]
+            return [p if p.isalnum() and p.isascii() else p.translate(self.table) for p in found]
         norm = self.library.normalizer.normalize_str(unit)
         return [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 

@@ -644,3 +644,12 @@ def test_held_out_labels_are_not_read(spark):
     flipped = labels.withColumn("toxic", F.when(toxicity.is_held_out(F.col("doc_id")), 1 - F.col("toxic"))
                                 .otherwise(F.col("toxic")))
     assert toxicity.train(docs, labels) == toxicity.train(docs, flipped)
+
+
+def test_latin_words_need_no_library_normaliser():
+    e = Encoder(tokenizer_path(WORD_BPE))
+    text, library = "ÉTÉ, ça_va 'Où'LL ²³½ ŸÅŉ", e.library
+    odd = " İi a\u030b É\x85É\u00a0é \x1cÀ Σας"
+    assert np.frombuffer(e.encode(text + odd), "<u4").tolist() == library.encode(text + odd, add_special_tokens=False).ids
+    e.library, e.young, e.old = None, {}, {}  # neither normalised nor split by it
+    assert np.frombuffer(e.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

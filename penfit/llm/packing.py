@@ -48,18 +48,23 @@ PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tok
           "sequence_id bigint, offset bigint")
 
 
+def _ended(enc, column, end_id: int, most: int = 512):
+    """Ids of each text with its end id, for runs of at most ``most`` texts of a column."""
+    for n, ids, offsets in enc.encode_column(column):
+        for lo in range(0, n, most):
+            at = offsets[lo:lo + most + 1] - offsets[lo]
+            held = np.insert(ids[offsets[lo]:offsets[lo] + at[-1]], at[1:], end_id)
+            yield np.split(held, at[1:-1] + np.arange(1, at.size - 1))
+
+
 def _sample(path: str, end_id: int, window: int):
     """(ids, counts) of the remainder of each text."""
-    end = np.array([end_id], "<u4")
-
     def run(batches):
         import pyarrow as pa
         enc = encoder(path)
         for b in batches:
-            made = []
-            for t in b.column(0):
-                ids = np.concatenate((np.frombuffer(enc.encode(t.as_py()), "<u4"), end))
-                made.append(np.unique(ids[ids.size // window * window:], return_counts=True))
+            made = [np.unique(ids[ids.size // window * window:], return_counts=True)
+                    for texts in _ended(enc, b.column(0), end_id) for ids in texts]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x.astype("<u4").tobytes() for x, _ in made], pa.binary()),
                  pa.array([c.astype("<u4").tobytes() for _, c in made], pa.binary())], names=["ids", "counts"])
@@ -83,8 +88,6 @@ def placing_tree(docs: DataFrame, tokenizer: str, end_id: int, window: int, shar
 
 
 def _encode(path: str, end_id: int, window: int, tree):
-    end = np.array([end_id], "<u4")
-
     def run(batches):
         import pyarrow as pa
         enc = encoder(path)
@@ -94,11 +97,11 @@ def _encode(path: str, end_id: int, window: int, tree):
         names = ["doc_id", "n", "ids", "leaf", "cell", "counts"]
         placed = tree.value if tree is not None else None
         for b in batches:
-            for lo in range(0, b.num_rows, 512):
-                s = b.slice(lo, 512)
+            row = 0
+            for texts in _ended(enc, b.column(1), end_id):
+                s, row = b.slice(row, len(texts)), row + len(texts)
                 n, made, rest = [], [], []
-                for t in s.column(1):
-                    ids = np.concatenate((np.frombuffer(enc.encode(t.as_py()), "<u4"), end))
+                for ids in texts:
                     terms, counts = np.unique(ids, return_counts=True)
                     df[terms] += 1
                     if placed is not None:
@@ -156,8 +159,9 @@ class Index:
             value = self.idf[t] * (c / (c + K1))
             t = t[np.argsort(-value, kind="stable")[:terms]]
         lo, hi = self.begin[t], self.begin[t.astype(np.int64) + 1]
-        at = np.concatenate([np.arange(a, b) for a, b in zip(lo, hi)]) if t.size else np.empty(0, np.int64)
-        return np.bincount(self.item[at], self.weight[at], self.n)
+        lists = [slice(a, b) for a, b in zip(lo.tolist(), hi.tolist())] or [slice(0)]
+        return np.bincount(np.concatenate([self.item[x] for x in lists]),
+                           np.concatenate([self.weight[x] for x in lists]), self.n)
 
 
 def ranked(score: np.ndarray, first: int):

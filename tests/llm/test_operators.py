@@ -291,6 +291,49 @@ def test_encoder_equals_the_library(tokenizer, documents):
                    (token_counts.units(t)) for p in tokenizer.pre_tokens(u)) == len(w.ids)
 
 
+def column_ids(e, column):
+    out = []
+    for n, ids, offsets in e.encode_column(column):
+        assert len(offsets) == n + 1 and offsets[0] == 0 and offsets[-1] == ids.size
+        out += [ids[offsets[k]:offsets[k + 1]].tolist() for k in range(n)]
+    return out
+
+
+def test_a_column_is_encoded_as_its_texts(tokenizer, documents, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from penfit.llm import tokens
+    rnd = random.Random(5)
+    al = [*" \n\t\r\x0b\x1c\x85\xa0\u2003\u3000\u0301\u0338abzISAZ09'.,!=|<>éß×÷İıΣ三١\u200d😀", "<|endoftext|>",
+          "<|startoftext|>", "'ll", "  ", " the", "word.", "É,", "İ."]
+    texts = [t for _, t in rows_of(documents)][:60]
+    texts += ["".join(rnd.choice(al) for _ in range(rnd.randint(0, 30))) for _ in range(6000)]
+    texts += [f"a{chr(c)}b {chr(c)}.{chr(c)}{chr(c)}'s,A{chr(c)}" for c in range(0x250)]
+    want = [w.ids for w in tokenizer.library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 5000)
+    monkeypatch.setattr(tokens, "COLUMN_UNITS", 300)
+    for kind in (pa.string(), pa.large_string()):
+        assert column_ids(tokenizer, pa.array(texts, kind)) == want
+    holes = pa.array([None, "", *texts[:200], None, ""])
+    assert column_ids(tokenizer, holes) == [[], [], *want[:200], [], []]
+    assert column_ids(tokenizer, holes.slice(50, 100)) == want[48:148]
+    assert column_ids(tokenizer, pa.array([], pa.string())) == []
+    assert column_ids(tokenizer, pa.array([None, ""], pa.string())) == [[], []]
+    monkeypatch.setattr(tokens, "LONG_TEXT", 100)
+    assert column_ids(tokenizer, pa.array(texts[:80])) == want[:80]
+
+
+def test_missing_units_share_a_call(monkeypatch):
+    import pyarrow as pa
+    e = Encoder(tokenizer_path(BYTE_BPE))
+    texts = ["One two, three.\nÉté où?", "Four's five!"]
+    want = [w.ids for w in e.library.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(e, "piece_ids", None)  # no unit goes through the model on its own
+    assert column_ids(e, pa.array(texts)) == want
+
+
 def test_token_counts(documents, odd_documents, no_documents):
     library = Encoder(tokenizer_path(BYTE_BPE)).library
     for df, hot in ((documents, 50), (odd_documents, 1 << 19)):

@@ -37,28 +37,23 @@ PAGE_ROWS = 1_000
 
 
 def _encode_part(path: str, end_id: int):
-    end = np.array([end_id], "<i4")
-
     def run(batches):
         import pyarrow as pa
         enc, part, at = encoder(path), None, 0
         for b in batches:
-            # slices bound the ids held at once
-            for lo in range(0, b.num_rows, 512):
-                s = b.slice(lo, 512)
-                made, starts = [], []
-                for p, t in zip(s.column(0).to_pylist(), s.column(2).to_pylist(), strict=True):
-                    if p != part:
-                        part, at = p, 0
-                    ids = np.concatenate((np.frombuffer(enc.encode(t), "<i4"), end))
-                    made.append(ids)
-                    starts.append(at)
-                    at += ids.size
-                sizes = np.array([m.size for m in made], np.int64)
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            row = 0
+            # runs of texts of a bounded size bound the ids held at once
+            for n, ids, offsets in enc.encode_column(b.column(2)):
+                s, row = b.slice(row, n), row + n
+                made = np.insert(ids, offsets[1:], end_id)
+                offsets = offsets + np.arange(n + 1)
+                sizes, starts, parts = np.diff(offsets), offsets[:-1] + at, s.column(0).to_numpy()
+                for k in np.flatnonzero(np.append(parts[0] != part, parts[1:] != parts[:-1])):
+                    starts[k:] = offsets[k:-1] - offsets[k]
+                part, at = parts[-1], int(starts[-1] + sizes[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [s.column(0), s.column(1), pa.array(starts, pa.int64()), pa.array(sizes),
-                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(made)))],
+                    [s.column(0), s.column(1), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(made.view("<i4")))],
                     names=["part", "doc_id", "start_in_part", "n_tokens", "tokens"])
     return run
 

@@ -374,6 +374,26 @@ def test_selective_token_reads(spark, documents):
     assert not re.search(r"[\[,]tokens#", plan.split("== Physical Plan ==")[1])
 
 
+def test_a_part_is_encoded_by_columns(monkeypatch):
+    import pyarrow as pa
+
+    from penfit.llm import tokens
+    texts = ["one two", None, "three", "", "four five six, seven", "eight.", "nine ten"]
+    parts, path = [0, 0, 0, 1, 1, 1, 4], tokenizer_path(WORD_BPE)
+    library = Encoder(path).library
+    want = [library.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+    monkeypatch.setattr(tokens, "CHUNK_BYTES", 12)
+    monkeypatch.setattr(Encoder, "encode", None)  # no text goes alone
+    batch = pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(range(7), pa.int64()), pa.array(texts)],
+                                       names=["part", "doc_id", "text"])
+    made = list(token_files._encode_part(path, 2)([batch.slice(0, 2), batch.slice(2)]))
+    got = [r for b in made for r in b.to_pylist()]
+    assert len(made) > 2 and [r["tokens"] for r in got] == want
+    assert [(r["part"], r["doc_id"], r["n_tokens"]) for r in got] == list(zip(parts, range(7), map(len, want)))
+    assert [r["start_in_part"] for r in got] == [
+        sum(len(w) for w, p in zip(want[:k], parts) if p == parts[k]) for k in range(7)]
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 def test_token_file_footers(spark, documents, encoding):
     import pyarrow.parquet as pq

@@ -338,6 +338,8 @@ class Encoder:
                 ids, offsets = self._chunk(data[sizes[lo]:sizes[hi]], texts)
                 yield hi - lo, ids, offsets.astype(np.int64)
             lo = hi
+        import pyarrow as pa
+        pa.default_memory_pool().release_unused()  # an idle worker would keep the chunks' memory
 
     # -- whole texts ------------------------------------------------------
     def encode(self, text: str | None) -> bytes:

@@ -1,13 +1,18 @@
 import re
+import time
 import zlib
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures_llm import documents, no_documents, odd_documents  # noqa: F401
 
+from pyspark.sql import functions as F
+
 from penfit.llm import (ann, exact_dedup, mixing, ngram_join, packing, placement, sharding,
                         token_counts, token_files, toxicity, url_filters)
+from penfit.llm.common import stage
 from penfit.llm.tokens import BYTE_BPE, WORD_BPE, Encoder, tokenizer_path
 
 
@@ -182,6 +187,54 @@ def test_lists_of_classes_hold_every_pair():
     assert got == want and set(zip(a.tolist(), b.tolist())) == chained and chained
 
 
+def test_sets_of_families_are_shuffled_once(spark):
+    rng = np.random.default_rng(12)
+    bases = [rng.integers(0, 10_000, 60) for _ in range(4)]
+    texts = []
+    for k in range(120):  # near copies, some of them twice
+        words = bases[k % 4].copy()
+        words[rng.integers(0, 60)] = 20_000 + k // 2
+        texts.append(" ".join(f"w{x}" for x in words))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    sets = {ngram_join.set_key(s): s for s in ngram_join.sets_of_batch(*ngram_join.text_buffers(pa.array(texts)), 5)}
+    keys = sorted(sets)
+    one = spark.createDataFrame([(a, b) for a, b in zip(keys, keys[1:])], "a bigint, b bigint")
+    sizes = spark.createDataFrame([(k, int(s.size)) for k, s in sets.items()], "node bigint, n bigint")
+    pairs = [(a, b) for a in keys for b in keys if a < b and 100 * np.intersect1d(sets[a], sets[b]).size
+             >= 75 * np.union1d(sets[a], sets[b]).size]
+
+    def connected(links):
+        label = {k: k for k in keys}
+        for a, b in links:
+            x, y = label[a], label[b]
+            label = {k: x if v == y else v for k, v in label.items()}
+        return {tuple(k for k in keys if label[k] == c) for c in set(label.values())}
+
+    want = connected(pairs)
+    for limits in ({}, {"most": 0}, {"block": 7}, {"block": 7, "most": 0}, {"block_shingles": 300},
+                   {"block_shingles": 300, "most": 0}):
+        links = ngram_join.family_links(df, one, sizes, **limits)
+        assert connected([tuple(r) for r in links.collect()]) == want
+        plan = links._jdf.queryExecution().sparkPlan().toString()
+        assert ("Join" in plan) == ("most" in limits)  # the sets meet no table by a shuffle
+
+
+def test_a_released_stage_leaves_no_shuffle_files(spark):
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {str(b) for b in (blocks.apply(i) for i in range(blocks.size())) if str(b).startswith("shuffle_")}
+
+    before = shuffled()
+    got = stage(spark.range(10_000).groupBy((F.col("id") % 7).alias("k")).count(), "released", release=True)
+    for _ in range(50):  # files go in the background
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and got.count() == 7
+    stage(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "kept")
+    assert shuffled() - before
+
+
 def test_one_row_of_a_component_stays(spark):
     rng = np.random.default_rng(8)
     text = {k: " ".join(f"{k}{x}" for x in rng.integers(0, 10_000, 120)) for k in "abcde"}

@@ -670,6 +670,44 @@ def test_lists_of_several_chunks_and_query_parts(spark):
         assert all(abs(s[i] - s[w[1]]) < 1e-9 for (_, i, _), w in zip(rows, want))
 
 
+def test_a_query_goes_to_a_cell_once():
+    rng = np.random.default_rng(6)
+    lists, dims = 300, 4
+    centroids, x = rng.standard_normal((lists, dims)), rng.standard_normal((700, dims))
+    b = pa.RecordBatch.from_arrays([pa.array(range(700), pa.int64()), pa.array(x.tolist())], names=["vec_id", "v"])
+    probed = list(ann._probe(centroids, dims, 4, 195)([b]))
+    first, count, cells = ann.cells_of(rng.integers(0, 50, lists) + 990 * (np.arange(lists) == 7), 400)
+    assert cells[first[7]] == [7] and count[7] == 3 and sorted(set(sum(cells, []))) == list(range(lists))
+    got = pa.Table.from_batches(probed).append_column("bar", pa.array(np.zeros(700))).select(["vec_id", "v", "late", "bar"])
+    out = list(ann._to_cells(cells, lists)(got.to_batches()))
+    # no batch holds a vector for each probed list
+    assert max(r.num_rows for r in probed + out) <= ann.SLICE and sum(r.num_rows for r in out) <= 700 * len(cells)
+    asked = {i: set() for i in range(700)}
+    for r in out:
+        own = cells[r.column(0)[0].as_py()]
+        for i, bits in zip(r.column(1).to_pylist(), r.column(4).to_pylist()):
+            asked[i] |= {own[k] for k in np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)))}
+    far = 0.5 * (centroids ** 2).sum(1) - x @ centroids.T
+    best = np.argsort(far, axis=1, kind="stable")
+    near = sum((r.column(2).to_pylist() for r in probed), [])
+    assert all(asked[i] == set(best[i, 4:195]) and near[i] == best[i, :4].tolist() for i in range(700))
+
+
+def test_a_cell_holds_the_best_of_its_lists():
+    rng = np.random.default_rng(7)
+    x, lists, ids = np.round(rng.standard_normal((600, 8)), 1), rng.integers(0, 6, 600), rng.permutation(600)
+    q, qids, asks = x[:90], ids[:90], rng.random((90, 6)) < 0.6
+    bars = np.where(rng.random(90) < 0.5, -np.inf, 1.0)
+    got = ann.search_cell(lists, ids, x, list(range(6)), qids, q, bars, asks, ann.rotation(8), 5, 40, 8, 2.1)
+    found = {}
+    for i, v, s in zip(*got):
+        found.setdefault(i, []).append((-s, v))
+    for i in range(90):
+        s = x @ q[i]
+        want = sorted(-s[j] for j in range(600) if asks[i, lists[j]] and ids[j] != qids[i] and s[j] >= bars[i] - 1e-12)[:5]
+        assert np.allclose([a for a, _ in sorted(found.get(qids[i], []))], want)
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.0, 1.0], 1), (3, None, 1), (4, [0.0, 0.0], 1),
             (5, [float("nan"), 1.0], 1), (6, [None, 1.0], 1), (7, [1.0], 1), (None, [1.0, 1.0], 1),

@@ -186,7 +186,9 @@ def scan_chunk(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray,
     rot, qrot = x @ turn, q @ turn
     norms, qnorms = (x * x).sum(1), (q * q).sum(1)
     spans = [(a, min(a + block, dims)) for a in range(0, dims, block)]
-    part = [((rot[:, a:b] ** 2).sum(1), (qrot[:, a:b] ** 2).sum(1)) for a, b in spans]
+    # partial distances of a block as one product: [-2 x, |x|2, 1] . [q, 1, |q|2]
+    part = [(np.column_stack((-2.0 * rot[:, a:b], (rot[:, a:b] ** 2).sum(1), np.ones(len(ids)))),
+             np.column_stack((qrot[:, a:b], np.ones(len(qids)), (qrot[:, a:b] ** 2).sum(1)))) for a, b in spans]
     out = []
     for lo in range(0, len(qids), 256):
         rows = np.arange(lo, min(lo + 256, len(qids)))
@@ -194,16 +196,16 @@ def scan_chunk(ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray,
         partial = np.zeros((rows.size, cols.size))
         alive = ids[None, :] != qids[rows][:, None]
         limit = qnorms[rows][:, None] + norms[None, :] - 2.0 * bars[rows][:, None]
+        over = 1e-9 * (1.0 + np.abs(limit))
         for i, (a, b) in enumerate(spans):
-            partial += part[i][1][rows][:, None] + part[i][0][cols][None, :] \
-                - 2.0 * (qrot[rows, a:b] @ rot[cols, a:b].T)
+            partial += part[i][1][rows] @ part[i][0][cols].T
             slack = 1.0 if b == dims else (1.0 + eps / np.sqrt(b)) ** 2
-            alive &= partial <= limit * ((b / dims) * slack) + 1e-9 * (1.0 + np.abs(limit))
+            alive &= partial <= limit * ((b / dims) * slack) + over
             some_col, some_row = alive.any(0), alive.any(1)
             if some_col.mean() < 0.7 or some_row.mean() < 0.7:
                 keep = np.ix_(some_row, some_col)
                 rows, cols = rows[some_row], cols[some_col]
-                partial, alive, limit = partial[keep], alive[keep], limit[keep]
+                partial, alive, limit, over = partial[keep], alive[keep], limit[keep], over[keep]
             if not alive.size:
                 break
         if not alive.size:
